@@ -93,12 +93,14 @@ def _per_10k(part: str, whole: str) -> Column:
     return F.col(part) * F.lit(10000.0) / F.greatest(F.col(whole), F.lit(1))
 
 
-MEASURES = {
-    "symbols": _per_10k("n_symbols", "word_chars"),
-    "dup_lines": _per_10k("n_dup_lines", "n_lines"),
-    "repeats": _per_10k("n_repeat_words", "n_words"),
-    "word_length": F.col("word_chars") * F.lit(1000.0) / F.greatest(F.col("n_words"), F.lit(1)),
-}
+def ratios() -> dict[str, Column]:
+    """The measures that have fences, as whole-number scale ratios of the base measures."""
+    return {
+        "symbols": _per_10k("n_symbols", "word_chars"),
+        "dup_lines": _per_10k("n_dup_lines", "n_lines"),
+        "repeats": _per_10k("n_repeat_words", "n_words"),
+        "word_length": F.col("word_chars") * F.lit(1000.0) / F.greatest(F.col("n_words"), F.lit(1)),
+    }
 
 
 def bucket(value: Column) -> Column:
@@ -109,7 +111,7 @@ def bucket(value: Column) -> Column:
 def sketches(measures: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n) over the documents that pass the base rule; merging is adding ``n``."""
     long = measures.where(~F.col("base_failed")).select(
-        "lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in MEASURES.items()])).alias("m")
+        "lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in ratios().items()])).alias("m")
     )
     return long.select("lang", "source", "m.*").groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
@@ -144,7 +146,7 @@ def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         F.when(few, F.col("m.lang_high")).otherwise(F.col("o.high")).alias("high"),
     )
     pick = lambda k, end: F.max(F.when(F.col("measure") == k, F.col(end))).alias(f"{end}_{k}")
-    return long.groupBy("lang", "source").agg(*[pick(k, end) for k in MEASURES for end in ("low", "high")])
+    return long.groupBy("lang", "source").agg(*[pick(k, end) for k in FENCES for end in ("low", "high")])
 
 
 def judged(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -153,7 +155,7 @@ def judged(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     limits = fences(sketches(measures), min_docs)
     joined = measures.alias("d").join(limits.alias("f"), F.expr("d.lang <=> f.lang AND d.source <=> f.source"), "left")
     inside = F.lit(True)
-    for name, value in MEASURES.items():
+    for name, value in ratios().items():
         inside = inside & F.coalesce((value >= F.col(f"low_{name}")) & (value <= F.col(f"high_{name}")), F.lit(True))
     return joined.select(
         "d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
