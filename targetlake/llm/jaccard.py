@@ -235,7 +235,7 @@ def links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between set classes whose components are those of all links."""
     spark = docs.sparkSession
     index = written(indexed(docs, partitions(spark)), "jaccard-index")
-    band = F.floor(F.log(F.lit(4.0 / 3.0), F.col("n"))).cast("int")
+    band = F.floor(F.log(4.0 / 3.0, F.col("n"))).cast("int")
     postings = index.select("node", "n", F.explode("prefix").alias("p")).select("node", "n", "p.key", "p.pos")
     representative = lambda salt: F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(salt))).alias(f"r{salt}")
     lists = postings.groupBy("key").agg(representative(0), representative(1), F.count("*").alias("c")).where("c > 1")
@@ -252,7 +252,7 @@ def links(docs: DataFrame) -> DataFrame:
     # A posting at place p can link with sizes from 3n/4 to (7 (n - p) - 3 n) / 3, and so visits only these blocks.
     largest = F.least(F.col("n") * 4 / 3, (F.col("n") * 4 - F.col("pos") * 7) / 3)
     visits = open_lists.where("comp <> main").withColumn("low", F.col("n") * 3 / 4).withColumn("high", largest).where("high >= low")
-    of = lambda x: F.floor(F.log(F.lit(4.0 / 3.0), F.greatest(x, F.lit(1.0))) + F.lit(0.0)).cast("int")
+    of = lambda x: F.floor(F.log(4.0 / 3.0, F.greatest(x, F.lit(1.0)))).cast("int")
     visits = visits.withColumn("band", F.explode(F.sequence(F.greatest(of(F.col("low")) - 1, F.lit(0)), of(F.col("high")) + 1)))
     met = visits.alias("a").join(open_lists.alias("b"), ["key", "band"]).where("a.comp <> b.comp").where(_near("a", "b"))
     more = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"), F.when(F.col("a.node") < F.col("b.node"), F.col("a.n")).otherwise(F.col("b.n")).alias("n_a"), F.when(F.col("a.node") < F.col("b.node"), F.col("b.n")).otherwise(F.col("a.n")).alias("n_b")).distinct()
