@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .words import blank_separated, slices
+from .words import blank_separated, raw_texts, slices
 
 #: Labelled documents that the regression is fitted on, at most: those with the least hash of their id.
 LABELS = 20_000
@@ -41,16 +41,12 @@ def _classes() -> dict[str, np.ndarray]:
 
 def features(texts: pa.Array) -> np.ndarray:
     """A row of ``FEATURES`` for each text."""
-    import pyarrow.compute as pc
-
     words = blank_separated(texts)
     n = np.maximum(words.counts, 1)
     owner = np.repeat(np.arange(len(words.counts)), words.counts)
     pairs = np.unique(owner << 32 | words.index.astype(np.int64)) if len(owner) else np.zeros(0, np.int64)
     types = np.bincount(pairs >> 32, minlength=len(n)) / n
-    strings = pc.fill_null(texts, "").cast(pa.large_string())
-    bounds = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    raw, bounds = raw_texts(texts, lower=False)
     size = np.maximum(np.diff(bounds), 1)
 
     def share(table: np.ndarray) -> np.ndarray:

@@ -69,8 +69,21 @@ def hashed(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.cast(pa.string()).to_numpy(zero_copy_only=False), categorize=False)
 
 
-def _lowered(texts: pa.Array) -> pa.LargeStringArray:
-    return pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def raw_texts(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row, A to Z lower-cased if asked, and each text's bounds in them; a null text is empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    wide = pa.types.is_large_string(texts.type)
+    _, places, data = texts.buffers()
+    bounds = np.frombuffer(places, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return _LOWER[raw] if lower else raw, bounds - bounds[0]
 
 
 def blank_separated(texts: pa.Array, lower: bool = True) -> Words:
@@ -91,13 +104,7 @@ _ALNUM[0x41:0x5B] = True
 
 
 def _by_class(texts: pa.Array, inside: np.ndarray, lower: bool) -> Words:
-    strings = _lowered(texts) if lower else pc.fill_null(texts, "").cast(pa.large_string())
-    if isinstance(strings, pa.ChunkedArray):
-        strings = strings.combine_chunks()
-    bounds = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    data = strings.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
-    bounds = bounds - bounds[0]
+    raw, bounds = raw_texts(texts, lower)
     mask = inside[raw]
     first = mask.copy()
     first[1:] &= ~mask[:-1]
