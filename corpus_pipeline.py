@@ -1,29 +1,55 @@
-"""Corpus pipeline: quality rules, n-gram Jaccard join, decontamination, secret scans, packing."""
+"""Corpus pipeline: quality rules, n-gram Jaccard join, decontamination, secret scans, packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a DataFrame that is written as Parquet and reread as the next one's docs.
+All but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from targetlake.llm import quality_rules, secret_scans
+from targetlake.llm import decontamination, jaccard, packing, quality_rules, secret_scans
 from targetlake.llm.scratch import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep."""
+    """Documents that the adaptive quality rules keep; rows with equal ids stay or go together with any kept one."""
     kept = quality_rules.judged(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets masked."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    return jaccard.deduplicated(docs).select(*COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word of a benchmark window."""
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked; ``n_chars`` follows the new text."""
     clean = secret_scans.redacted(docs, secret_scans.scan(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality), ("secret_scans", secrets)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_free),
+    ("secret_scans", secret_free),
+    ("best_fit_packing", packed),
+]
 
 #: The packing stage runs a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
