@@ -138,9 +138,13 @@ def _blocks(benchmark: DataFrame, block_windows: int) -> list[DataFrame]:
     return [benchmark.where(part == i) for i in range(parts)]
 
 
+RUNS = "array<struct<a:bigint,b:bigint>>"
+
+
 def _spans(docs: DataFrame, items: pd.DataFrame) -> DataFrame:
-    """(doc_id, n_words, hits, items) for one block; ``hits`` are start and end of hit runs."""
+    """(doc_id, text_hash, n_words, runs, items) for one block; a run has the first word that is hit and the one after the last."""
     sent = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WINDOWS windows
+    run = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value)
@@ -151,54 +155,53 @@ def _spans(docs: DataFrame, items: pd.DataFrame) -> DataFrame:
             named = [[] for _ in range(batch.num_rows)]
             for t, ids in found.items():
                 a, b = int(words.offsets[t]), int(words.offsets[t + 1])
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8)))
-                runs[t], named[t] = edges.tolist(), sorted(map(str, ids))
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8))).reshape(-1, 2)
+                runs[t], named[t] = [{"a": x, "b": y} for x, y in edges.tolist()], sorted(map(str, ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(runs, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "hits", "items"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(words.counts.astype(np.int64)), pa.array(runs, pa.list_(run)), pa.array(named, pa.list_(pa.string()))],
+                names=["doc_id", "text_hash", "n_words", "runs", "items"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(search, "doc_id long, n_words long, hits array<long>, items array<string>")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return keyed.mapInArrow(search, f"doc_id long, text_hash long, n_words long, runs {RUNS}, items array<string>")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row a document: ``n_words``, ``hits`` (start and end of hit runs of words, in turn) and ``items``."""
+    """One row a document: ``n_words``, ``runs`` of hit words and ``items``."""
     blocks = [b.select("item_id", "text").toPandas() for b in _blocks(benchmark, block_windows)]
     if len(blocks) == 1:
-        return _spans(docs, blocks[0])
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("_id"))
+        return _spans(docs, blocks[0]).drop("text_hash")
     found = None
     for block in blocks:
-        part = _spans(numbered, block).where(F.size("hits") > 0)
+        part = _spans(docs, block).where(F.size("runs") > 0)
         found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("doc_id").agg(F.collect_list("hits").alias("parts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # Runs of several blocks may overlap: their union is taken in order of start.
-    pairs = F.array_sort(F.flatten(F.transform("parts", lambda p: F.transform(F.sequence(F.lit(0), F.size(p) / 2 - 1), lambda i: F.struct(F.get(p, (i * 2).cast("int")).alias("a"), F.get(p, (i * 2 + 1).cast("int")).alias("b"))))))
-    union = F.aggregate(
-        pairs, F.array().cast("array<bigint>"),
-        lambda out, x: F.when(
-            F.coalesce(F.element_at(F.when(F.size(out) > 0, out), -1) >= x["a"], F.lit(False)),
-            F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.greatest(F.element_at(F.when(F.size(out) > 0, out), -1), x["b"]))),
-        ).otherwise(F.concat(out, F.array(x["a"], x["b"]))),
+    # Equal rows have equal hits, so they may meet in one group.
+    merged = found.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.flatten(F.collect_set("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
-    words = _spans(numbered, blocks[0].iloc[:0]).select("doc_id", "n_words")
-    whole = words.join(numbered.select("doc_id", "_id"), "doc_id").join(merged.select("doc_id", union.alias("hits"), "items"), "doc_id", "left")
-    none = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    return whole.select(F.col("_id").alias("doc_id"), "n_words", F.coalesce("hits", none[0]).alias("hits"), F.coalesce("items", none[1]).alias("items"))
+
+    def joined(out, x):
+        """Runs so far with one more, which may overlap the last."""
+        last = F.element_at(out, -1)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
+        return F.when(F.size(out) == 0, F.array(x)).when(last["b"] >= x["a"], longer).otherwise(F.concat(out, F.array(x)))
+
+    union = merged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.aggregate("runs", F.array().cast(RUNS), joined).alias("runs"), "items")
+    every = _spans(docs, blocks[0].iloc[:0]).select("doc_id", "text_hash", "n_words")
+    both = every.join(union, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    return both.select("doc_id", "n_words", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Hit words, items and verdict of every document."""
-    ends = lambda parity: F.aggregate(F.filter("hits", lambda _, i: i % 2 == parity), F.lit(0).cast("long"), lambda t, x: t + x)
+    length = F.aggregate("runs", F.lit(0).cast("long"), lambda total, run: total + run["b"] - run["a"])
     return hits(docs, benchmark).select(
-        "doc_id", "n_words", (ends(1) - ends(0)).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        "doc_id", "n_words", length.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Whole rows of the documents without a hit word."""
-    dirty = hits(docs, benchmark).where(F.size("hits") > 0).select("doc_id").distinct()
+    dirty = hits(docs, benchmark).where(F.size("runs") > 0).select("doc_id").distinct()
     return docs.join(dirty, "doc_id", "left_anti")
-
-

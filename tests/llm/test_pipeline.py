@@ -1,0 +1,19 @@
+"""Pipeline stages, one after the other, on the smallest tables."""
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, d), f"test-{name}")
+        assert docs.columns == corpus_pipeline.COLUMNS
+        sizes.append(docs.count())
+    assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] == sizes[4] > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+    assert packed.select("doc_id").distinct().count() == sizes[4]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "best_fit_packing"]
