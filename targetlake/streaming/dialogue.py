@@ -1,0 +1,280 @@
+"""Simulated users in dialogue with a recommender: one grouped state for each session.
+
+Spark prepares each session: its facts with aliases and both sentences, and the
+histogram of catalog masks from which every candidate count follows. A session
+then runs in its group's task, turn by turn, against a recommender made there.
+The target never enters a call to the recommender.
+"""
+
+from __future__ import annotations
+
+import re
+import uuid
+from collections.abc import Callable, Iterable
+from typing import Any, Protocol
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.vocab import ASKED_FOR, ATTRIBUTE_ALIASES, ATTRIBUTES, BROAD, COMPATIBLE, MAX_TURNS, NO_PREFERENCE, QUESTION, REPLIES, TOP_K
+from ..operators.facts import fact_aliases, render_fact
+from ..operators.masks import mask_histogram
+
+TRACE = (
+    "sample_id string, scenario_type string, target string, start_turn int, obs_pos int, turn int, user_message string, response_message string, ask_attribute string, "
+    "recommendations array<string>, scores array<double>, status string, simulator_message string, revealed array<string>, candidate_count bigint, route_reason string, reply_reason string, "
+    "question_reason string, hidden_remaining int, stage_ranks map<string,int>, error string"
+)
+STAGES = ("retrieved_ids", "feature_input_ids", "feature_ranked_ids", "semantic_input_ids", "semantic_ranked_ids", "final_ids")
+
+
+class Recommender(Protocol):
+    """What is evaluated. ``respond`` returns message, ask_attribute, recommendations and, if it likes, stages."""
+
+    def reset(self, session_id: str, user_profile: dict) -> None: ...
+
+    def respond(self, session_id: str, user_message: str, turn: int, top_k: int) -> Any: ...
+
+
+def normal(text: str) -> str:
+    """Comparison form of one message."""
+    return " ".join(re.sub(r"[^\w]+", " ", text.casefold()).split())
+
+
+def asked(message: object, ask_attribute: object) -> dict:
+    """One message's question: resolved attributes, breadth, conflict, reason and signature."""
+    text = str(message or "")[:1200]
+    padded = f" {normal(text)} "
+    named = [a for a in ATTRIBUTES[:-1] if any(f" {w} " in padded for w in ATTRIBUTE_ALIASES[a]) or any(re.search(p, text, re.I) for p in ASKED_FOR[a])]
+    raw = ask_attribute.casefold().strip() if isinstance(ask_attribute, str) else ""
+    wanted = raw if raw in ATTRIBUTES else ""
+    broad, conflict, resolved = bool(re.search(BROAD, text, re.I)), False, []
+    if raw and not wanted:
+        reason = "invalid_structured_attribute"
+    elif named and wanted in ("", "other"):
+        resolved, reason = named, "natural_language_over_other" if wanted else "natural_language"
+    elif wanted and wanted != "other":
+        conflict = any(a != wanted and (wanted, a) not in COMPATIBLE for a in named)
+        reason = "structured_text_conflict" if conflict else "structured_text_agree" if named else "structured_only"
+        resolved = [] if conflict else list(dict.fromkeys([wanted, *named]))
+    else:
+        reason = "broad_question" if broad else "unsupported"
+    if conflict:
+        signature = "conflict:" + "+".join(sorted([wanted, *named]))
+    else:
+        signature = "ask:" + "+".join(sorted(resolved)) if resolved else "ask:broad" if broad else "unsupported"
+    return {"resolved": resolved, "broad": broad, "question": bool(wanted or re.search(QUESTION, text, re.I)), "conflict": conflict, "reason": reason, "signature": signature}
+
+
+class SimulatedUser:
+    """State of one session; discloses configured hidden facts only."""
+
+    def __init__(self, shown: list[dict], hidden: list[dict], histogram: list[dict], max_turns: int = MAX_TURNS):
+        self.hidden, self.shown, self.histogram, self.max_turns = hidden, list(shown), histogram, max(int(max_turns), 1)
+        self.known = {f["fact_id"] for f in shown}
+        self.signatures: set[str] = set()
+        self.turns = 0
+
+    def count(self, extra: int = 0) -> int:
+        """Products that satisfy all that was disclosed, and ``extra`` bits."""
+        bits = extra
+        for f in self.shown:
+            bits |= f["bit"]
+        return sum(h["n"] for h in self.histogram if h["mask"] & bits == bits)
+
+    def left(self) -> int:
+        """Hidden facts not disclosed yet."""
+        return sum(f["fact_id"] not in self.known for f in self.hidden)
+
+    def _reply(self, status: str, message: str, reason: str = "", route: str = "", revealed: Iterable[str] = ()) -> dict:
+        return {"status": status, "message": message, "reply_reason": reason, "route_reason": route, "revealed": list(revealed), "candidate_count": self.count(), "hidden_remaining": self.left()}
+
+    def _disclose(self, fact: dict) -> None:
+        self.shown.append(fact)
+        self.known.add(fact["fact_id"])
+
+    def _routed(self, facts: list[dict], question: dict, padded: str) -> tuple[dict, str] | None:
+        best, before = None, self.count()
+        wanted = question["resolved"]
+        for f in facts:
+            score, why = 0.0, []
+            if f["attribute"] in wanted:
+                score, why = 8.0, ["resolved_attribute"]
+            elif "use_case" in wanted and f["attribute"] == "feature":
+                score, why = 2.5, ["compatible_feature"]
+            elif "feature" in wanted and f["attribute"] in ("feature", "use_case", "style"):
+                score, why = 3.0, ["compatible_feature"]
+            elif question["broad"]:
+                score, why = 0.5, ["broad_fallback"]
+            for alias in f["aliases"]:
+                if f" {alias} " in padded:
+                    score += 3.0 if alias in ATTRIBUTE_ALIASES.get(f["attribute"], ()) else 1.2
+                    why.append(alias)
+            if score > 0:
+                gain = max(before - self.count(f["bit"]), 0)
+                key = (-(score + min(gain / max(before, 1), 1.0) * 2.0), -gain, f["fact_id"])
+                if best is None or key < best[0]:
+                    best = (key, f, ",".join(why))
+        return best and best[1:]
+
+    def override(self, fact_id: str | None) -> dict:
+        """The configured change of mind: discloses the new fact."""
+        if not fact_id:
+            return self._reply("unsupported", REPLIES["bad_override"])
+        fact = next((f for f in self.hidden if f["fact_id"] == fact_id), None)
+        if fact is None:
+            return self._reply("unsupported", REPLIES["no_override"])
+        if fact_id not in self.known:
+            self._disclose(fact)
+        return self._reply("intent_override", fact["replies"][(self.turns + 1) % 2], route="explicit_override", revealed=[fact_id])
+
+    def answer(self, ask_attribute: object, message: str, turn: int | None = None) -> dict:
+        """One answer. Limits, refusals and unclear questions disclose nothing."""
+        self.turns = max(self.turns + 1, int(turn or 0))
+        question = asked(message, ask_attribute)
+        reply = self._answer(question, str(message or ""))
+        return reply | {"question_reason": question["reason"]}
+
+    def _answer(self, question: dict, message: str) -> dict:
+        if self.turns > self.max_turns:
+            return self._reply("max_turns", REPLIES["max_turns"])
+        if re.search(NO_PREFERENCE, message, re.I):
+            return self._reply("no_preference", REPLIES["no_preference"])
+        if not question["question"]:
+            return self._reply("unsupported", REPLIES["not_a_question"])
+        if question["conflict"]:
+            return self._reply("ambiguous", REPLIES["ambiguous"], "structured_text_conflict")
+        if not question["resolved"] and not question["broad"]:
+            return self._reply("unsupported", REPLIES["unsupported"])
+        if question["signature"] in self.signatures:
+            return self._reply("repeated", REPLIES["repeated"], "semantic_repeat")
+        padded = f" {normal(message)} "
+        found = self._routed([f for f in self.hidden if f["fact_id"] not in self.known], question, padded)
+        if found:
+            fact, why = found
+            self.signatures.add(question["signature"])
+            self._disclose(fact)
+            return self._reply("revealed", fact["replies"][self.turns % 2], "revealed_hidden_fact", why, [fact["fact_id"]])
+        if question["resolved"] and not question["broad"]:
+            again = self._routed(self.shown, question, padded)
+            if again:
+                self.signatures.add(question["signature"])
+                return self._reply("reconfirmed", again[0]["replies"][self.turns % 2], "reconfirmed_disclosed_fact", again[1])
+        if not self.left():
+            return self._reply("exhausted", REPLIES["exhausted"], "no_hidden_facts")
+        return self._reply("unsupported", REPLIES["unsupported"], "no_matching_fact")
+
+
+def _field(response: Any, name: str, default: Any = None) -> Any:
+    return response.get(name, default) if isinstance(response, dict) else getattr(response, name, default)
+
+
+def recommended(payload: Any, allowed: set[str] | None, limit: int) -> list[tuple[str, float | None]]:
+    """Known ids in order, first occurrences, with numeric scores."""
+    out: dict[str, float | None] = {}
+    for item in payload if isinstance(payload, list) else []:
+        ident = (item.get("parent_asin") or item.get("product_id") or "") if isinstance(item, dict) else item or ""
+        score = item.get("score") if isinstance(item, dict) else None
+        ident = str(ident).strip()
+        if ident and ident not in out and (allowed is None or ident in allowed):
+            out[ident] = float(score) if isinstance(score, int | float) and not isinstance(score, bool) else None
+        if len(out) >= max(limit, 1):
+            break
+    return list(out.items())
+
+
+def run_session(row: dict, agent: Recommender, max_turns: int = MAX_TURNS, top_k: int = TOP_K) -> list[dict]:
+    """All observations of a session; ``row`` comes from :func:`sessions`."""
+    target, sample = row["target"], row["sample_id"]
+    start = row["override_turn"] if (row["override_turn"] or 0) > 0 else 1
+    base = {"sample_id": sample, "scenario_type": row["scenario_type"], "target": target, "start_turn": start}
+    user = SimulatedUser(row["shown"], row["hidden"], row["hist"], max_turns)
+    session = f"nlb-{sample}-{uuid.uuid5(uuid.NAMESPACE_URL, sample).hex[:10]}"
+    out: list[dict] = []
+
+    def fail(text: str) -> list[dict]:
+        out.append(base | {"obs_pos": len(out), "turn": None, "error": text})
+        return out
+
+    try:
+        agent.reset(session, row["user_profile"])
+    except Exception as e:
+        return fail(f"reset: {type(e).__name__}: {e}")
+    message = row["query"]
+    for turn in range(1, max(int(max_turns), 1) + 1):
+        if target.casefold() in message.casefold():
+            return fail(f"target ID leaked into Agent input at turn {turn}")
+        try:
+            response = agent.respond(session, message, turn, top_k)
+        except Exception as e:
+            return fail(f"turn {turn}: {type(e).__name__}: {e}")
+        said, attribute = str(_field(response, "message", "") or ""), _field(response, "ask_attribute")
+        found = recommended(_field(response, "recommendations", []), None, 10**9)
+        stages = _field(response, "stages") or {}
+        ranks = {k: [str(x).strip() for x in stages[k]].index(target) + 1 for k in STAGES if isinstance(stages.get(k), list) and target in [str(x).strip() for x in stages[k]]}
+        seen = base | {
+            "obs_pos": len(out), "turn": turn, "user_message": message, "response_message": said, "ask_attribute": attribute if isinstance(attribute, str) else None,
+            "recommendations": [k for k, _ in found], "scores": [v for _, v in found], "stage_ranks": ranks,
+            "error": f"target ID leaked into Agent response message at turn {turn}" if target.casefold() in said.casefold() else None,
+        }
+        following = None
+        if turn + 1 == row["override_turn"] and row["override_message"] is not None:
+            reply = user.override(row["override_fact"])
+            following = row["override_message"]
+            seen |= {k: reply[k] for k in ("revealed", "candidate_count", "route_reason", "hidden_remaining")} | {"status": "intent_override_scheduled"}
+        elif asked(said, attribute)["question"]:
+            reply = user.answer(attribute, said, turn)
+            following = reply["message"]
+            seen |= {k: reply[k] for k in ("status", "revealed", "candidate_count", "route_reason", "reply_reason", "question_reason", "hidden_remaining")} | {"simulator_message": following}
+        out.append(seen)
+        if following is None:
+            break
+        message = following
+    return out
+
+
+def sessions(catalog: DataFrame, posting: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row a session: what :func:`run_session` needs."""
+    everything = F.concat("query_facts", "profile_facts", "clarification_facts")
+    hist = mask_histogram(catalog, posting, samples.select("sample_id", "target", everything.alias("facts")))
+    counted = hist.groupBy("sample_id").agg(F.collect_list(F.struct("mask", "n")).alias("hist"))
+
+    def told(facts: Column, first: Column) -> Column:
+        return F.transform(facts, lambda f, i: F.struct(
+            f["fact_id"].alias("fact_id"), f["attribute"].alias("attribute"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (first + i).cast("int")).alias("bit"),
+            fact_aliases(f).alias("aliases"), F.array(render_fact(f, F.lit(0), reply=True), render_fact(f, F.lit(1), reply=True)).alias("replies"),
+        ))
+
+    visible = F.size("query_facts") + F.size("profile_facts")
+    o = F.col("override")
+    return samples.join(counted, "sample_id", "left").select(
+        "sample_id", "scenario_type", "target", "query", "user_profile", told(F.concat("query_facts", "profile_facts"), F.lit(0)).alias("shown"),
+        told(F.col("clarification_facts"), visible).alias("hidden"), F.coalesce("hist", F.array().cast("array<struct<mask:bigint,n:bigint>>")).alias("hist"),
+        o["turn"].alias("override_turn"), o["message"].alias("override_message"), o["new_fact"]["fact_id"].alias("override_fact"),
+    )
+
+
+def evaluated(catalog: DataFrame, posting: DataFrame, samples: DataFrame, make: Callable[[], Recommender], max_turns: int = MAX_TURNS, top_k: int = TOP_K) -> DataFrame:
+    """Traces of all samples, recommendations cut to known products.
+
+    ``make`` creates the recommender in the task that runs a session.
+    """
+    packed = sessions(catalog, posting, samples).select("sample_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("session"))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        import json
+
+        names = [x.split()[0] for x in TRACE.split(", ")]
+        agent = make()
+        for batch in batches:
+            for text in batch["session"]:
+                rows = run_session(json.loads(text), agent, max_turns, top_k)
+                yield pd.DataFrame(rows).reindex(columns=names).astype(object).where(lambda d: d.notna(), None)
+
+    trace = packed.repartition("sample_id").mapInPandas(run, TRACE)
+    # Unknown products leave the lists by a semi join, so no task holds the catalog's ids.
+    listed = trace.select("sample_id", "obs_pos", F.posexplode("recommendations").alias("p", "id")).join(catalog.select(F.col("parent_asin").alias("id")), "id", "left_semi")
+    kept = listed.groupBy("sample_id", "obs_pos").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("p", "id"))), lambda x: x["id"]), 1, max(int(top_k), 1)).alias("recommendations"))
+    none = F.array().cast("array<string>")
+    return trace.drop("recommendations", "scores").join(kept, ["sample_id", "obs_pos"], "left").withColumn("recommendations", F.coalesce("recommendations", none))
