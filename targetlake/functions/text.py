@@ -16,17 +16,18 @@ ID_LIKE = r"\b(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{8,}\b"
 
 
 @cache
-def _folds() -> dict[str, str]:
-    """Characters whose case folding differs from their lower case, by rule."""
-    return {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c.lower()} | {"Σ": "σ"}
+def _folds() -> tuple[str, str]:
+    """Characters whose case folding is one other character than their lower case, and those, by rule."""
+    lower = [c for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c.lower() and len(c.casefold()) == 1]
+    return "".join(lower) + "ς", "".join(c.casefold() for c in lower) + "σ"
 
 
 def casefold(text: Column) -> Column:
-    """Unicode case folding. Texts without special characters are only lower-cased."""
-    special = _folds()
-    pairs = F.create_map(*[F.lit(x) for pair in special.items() for x in pair])
-    each = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), F.lower(c)))
-    return F.when(text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in special) + "]"), F.array_join(each, "")).otherwise(F.lower(text))
+    """Unicode case folding. Of the characters that fold to several, ß and the Latin ligatures are expanded."""
+    out = F.replace(F.translate(F.lower(text), *_folds()), F.lit("ß"), F.lit("ss"))
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = F.replace(out, F.lit(ligature), F.lit(letters))
+    return out
 
 
 def normalize_text(text: Column) -> Column:

@@ -41,7 +41,7 @@ def mask_histogram(catalog: DataFrame, posting: DataFrame, samples: DataFrame, b
     number = flagged.count()
     products = (catalog if "vals" in catalog.columns else with_values(catalog)).select("parent_asin", "vals", "indexed", "price", "rating", "rating_count")
     mask = F.aggregate(
-        F.transform("facts", lambda x: F.when(member(x["fact"], x["held"]), F.shiftleft(F.lit(1).cast("bigint"), x["pos"])).otherwise(F.lit(0).cast("bigint"))),
+        F.transform("facts", lambda x: F.when(member(x["fact"], x["held"]), F.call_function("shiftleft", F.lit(1).cast("bigint"), x["pos"].cast("int"))).otherwise(F.lit(0).cast("bigint"))),
         F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b),
     )
     blocks = max(1, -(-number // block))

@@ -14,7 +14,7 @@ from ..functions.vocab import MAX_TURNS, TOP_K
 
 def target_rank(values: Column, target: Column) -> Column:
     """1-based place of the target among trimmed ids, or null."""
-    place = F.array_position(F.transform(values, F.trim), target)
+    place = F.array_position(F.transform(values, lambda v: F.trim(v)), target)
     return F.when(place > 0, place)
 
 
