@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, jaccard, language_id, lm_scoring, packing, quality_classifier, quality_rules, secret_scans, sharding
+from . import decontamination, html_extraction, jaccard, language_id, lm_scoring, oracles, packing, quality_classifier, quality_rules, secret_scans, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return oracles.oracle_sql()
