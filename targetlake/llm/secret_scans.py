@@ -97,7 +97,8 @@ def scanned(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
 def unseen(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """One copy of each blob of ``versions`` (``blob``, ``text``) that the ledger lacks under this rule version."""
     seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
-    return versions.join(seen, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    # Copies meet before the shuffle, task by task, and only then the ledger.
+    return versions.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
