@@ -13,8 +13,9 @@ Skipping by position. Lists are cut into blocks of similar set size. A shingle a
 place p of n leaves n - p shingles for the overlap, so the partner's size has an
 upper bound, and a posting visits only the blocks within it.
 
-Derived answers. Each list is first linked to two representatives, found alike in
-all lists, and those pairs are counted exactly. Sets that this puts into one
+Derived answers. Each list is first linked to representatives, found alike in
+all lists (the most central set and one by hash, then the most central one that is
+not yet connected), and those pairs are counted exactly. Sets that this puts into one
 component need no more comparisons with each other. The other pairs of a list get
 bounds from the representative's counted overlaps: o(x,r) + o(b,r) - |r| at least
 and o(x,r) + |b| - o(b,r) at most. Only pairs that the bounds leave open are
@@ -177,8 +178,8 @@ def _shared_shingles(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def indexed(docs: DataFrame, parts: int) -> DataFrame:
-    """(node, n, shared, prefix) of the sets that can link: their shared shingles, and the postings of their prefix."""
-    kind = "node long, n long, shared binary, prefix array<struct<key:long,pos:int>>"
+    """(node, n, single, shared, prefix) of the sets that can link: how many shingles no other set has, the shared ones, and the postings of the prefix."""
+    kind = "node long, n long, single long, shared binary, prefix array<struct<key:long,pos:int>>"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = _Gathered(batches)
@@ -194,12 +195,12 @@ def indexed(docs: DataFrame, parts: int) -> DataFrame:
         single = n - number
         prefix = n - (3 * n + 3) // 4 + 1
         for some in np.array_split(np.flatnonzero(single < prefix), max(1, len(nodes) // 500)):
-            rows = {"node": nodes[some], "n": n[some], "shared": [], "prefix": []}
+            rows = {"node": nodes[some], "n": n[some], "single": single[some], "shared": [], "prefix": []}
             for i in some.tolist():
                 own = keys[begin[i] : begin[i + 1]]
                 rows["shared"].append(_packed48(np.sort(own)))
                 rows["prefix"].append([{"key": k, "pos": int(single[i]) + p} for p, k in enumerate(own[: prefix[i] - single[i]].tolist())])
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
     return _shared_shingles(docs, parts).repartitionById(parts, F.col("part")).mapInArrow(gather, kind)
@@ -231,24 +232,41 @@ def _linked(counted: DataFrame) -> DataFrame:
     return counted.where("7 * overlap >= 3 * (n_a + n_b)").select("a", "b")
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs of nodes from met postings ``a`` and ``b`` that may link."""
+    near = met.where("a.node <> b.node").where(_near("a", "b"))
+    return near.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+
+
+def _mains(held: DataFrame) -> DataFrame:
+    """(key, main): the largest component of each list that has several."""
+    sizes = held.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    return sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Links (a, b) between set classes whose components are those of all links."""
     spark = docs.sparkSession
     index = written(indexed(docs, partitions(spark)), "jaccard-index")
     band = F.floor(F.log(4.0 / 3.0, F.col("n"))).cast("int")
-    postings = index.select("node", "n", F.explode("prefix").alias("p")).select("node", "n", "p.key", "p.pos")
-    representative = lambda salt: F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(salt))).alias(f"r{salt}")
-    lists = postings.groupBy("key").agg(representative(0), representative(1), F.count("*").alias("c")).where("c > 1")
+    postings = index.select("node", "n", "single", F.explode("prefix").alias("p")).select("node", "n", "single", "p.key", "p.pos")
+    # The set with the fewest shingles of its own is nearest to the others that have the list's shingle.
+    entry, central = F.struct("node", "n", "pos"), F.struct("single", "node")
+    lists = postings.groupBy("key").agg(F.min_by(entry, central).alias("r0"), F.min_by(entry, F.xxhash64("node")).alias("r1"), F.count("*").alias("c")).where("c > 1")
     stars = postings.alias("b").join(lists.select("key", F.explode(F.array_distinct(F.array("r0", "r1"))).alias("a")).alias("l"), "key")
-    stars = stars.select(F.col("l.a").alias("a"), F.struct("b.node", "b.n", "b.pos").alias("b")).where("a.node <> b.node").where(_near("a", "b"))
-    pairs = stars.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    counted = written(_counted(pairs, index), "jaccard-counted")
+    counted = written(_counted(_pairs(stars.select(F.col("l.a").alias("a"), F.struct("b.node", "b.n", "b.pos").alias("b"))), index), "jaccard-counted")
+    first = components(_linked(counted)).withColumnRenamed("component", "comp")
+    held = written(postings.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-held")
+    # Once more, with the most central set outside the list's largest component.
+    outside = held.join(_mains(held), "key").where("comp <> main").groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "comp"), central).alias("a"))
+    again = held.alias("b").join(outside, "key").where("a.comp <> b.comp").select(F.struct("a.node", "a.n", "a.pos").alias("a"), F.struct("b.node", "b.n", "b.pos").alias("b"))
+    found = _pairs(again).join(counted.select("a", "b"), ["a", "b"], "left_anti")
+    counted = written(counted.unionByName(_counted(found, index)), "jaccard-counted")
     first = components(_linked(counted)).withColumnRenamed("component", "comp")
 
     # What is left: pairs of a list whose components still differ.
     held = postings.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    groups = held.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    open_lists = written(held.join(groups.select("key", "main"), "key").withColumn("band", band), "jaccard-open")
+    open_lists = written(held.join(_mains(held), "key").withColumn("band", band), "jaccard-open")
     # A posting at place p can link with sizes from 3n/4 to (7 (n - p) - 3 n) / 3, and so visits only these blocks.
     largest = F.least(F.col("n") * 4 / 3, (F.col("n") * 4 - F.col("pos") * 7) / 3)
     visits = open_lists.where("comp <> main").withColumn("low", F.col("n") * 3 / 4).withColumn("high", largest).where("high >= low")
