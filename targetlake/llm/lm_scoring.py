@@ -221,7 +221,11 @@ def scored(docs: DataFrame) -> DataFrame:
     pairs = written(_corpus_counts(chunks, parts, pairs=True), "lm-pairs")
     totals = {r["chunk"]: (r["n"] or 0, r["v"] or 0) for r in words.where("chunk < 0").groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     (n, v), (n_in, v_in) = totals.get(-1, (0, 0)), totals.get(-2, (0, 0))
-    answers = words.unionByName(pairs).where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "first", "whole")).alias("answers"))
+    every = words.unionByName(pairs).where("chunk >= 0")
+
+    def answers(field: str) -> DataFrame:
+        """Each chunk's answers with one of the counts; only development chunks have both."""
+        return every.where(F.col(field).isNotNull()).groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", field)).alias("answers"))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +235,7 @@ def scored(docs: DataFrame) -> DataFrame:
                 key, number = np.unique(np.column_stack([_bucket(ch), grid(p2), grid(p1)]), axis=0, return_counts=True)
                 yield _batch([(int(b), int(x), int(y), int(k)) for (b, x, y), k in zip(key, number, strict=True)], "b long, x long, y long, k long")
 
-    dev = chunks.where(F.col("role") == DEV).join(answers, "chunk").mapInArrow(cells, "b long, x long, y long, k long")
+    dev = chunks.where(F.col("role") == DEV).join(answers("first"), "chunk").mapInArrow(cells, "b long, x long, y long, k long")
     found = dev.groupBy("b", "x", "y").agg(F.sum("k").alias("k")).collect()  # at most the histogram's grid
     real = lambda x: 0.0 if x > 0 else 2.0 ** (x / GRID)
     weights = learned(np.array([(r["b"], real(r["x"]), real(r["y"]), r["k"]) for r in found], float).reshape(-1, 4), v_in)
@@ -254,4 +258,4 @@ def scored(docs: DataFrame) -> DataFrame:
                     names=_names(RESULT),
                 )
 
-    return chunks.join(answers, "chunk").mapInArrow(score, RESULT)
+    return chunks.join(answers("whole"), "chunk").mapInArrow(score, RESULT)
