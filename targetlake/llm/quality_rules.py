@@ -22,15 +22,16 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 #: Relative width of the sketch's buckets.
-GAMMA = 1.05
+GAMMA = 1.01
 #: A source with fewer documents than this uses its language's merged sketch.
 MIN_DOCS = 200
 #: measure: (lower quantile, upper quantile, spreads allowed beyond them, least slack as a share of the quantile, least slack)
+#: The share is the sketch's own error; the last figure only stands in for a spread of zero.
 FENCES = {
-    "symbols": (0.25, 0.75, 3.0, 0.0, 300.0),
-    "dup_lines": (0.25, 0.75, 3.0, 0.0, 4000.0),
-    "repeats": (0.25, 0.75, 3.0, 0.0, 4500.0),
-    "word_length": (0.25, 0.75, 4.0, 0.35, 0.0),
+    "symbols": (0.5, 0.9, 2.0, 0.02, 50.0),
+    "dup_lines": (0.5, 0.99, 0.25, 0.02, 200.0),
+    "repeats": (0.5, 0.95, 1.0, 0.02, 200.0),
+    "word_length": (0.1, 0.9, 2.0, 0.02, 0.0),
 }
 
 

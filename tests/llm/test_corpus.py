@@ -77,6 +77,17 @@ def test_adaptive_fences_follow_their_group(spark):
     assert not kept.pop(9999) and all(kept.values())
 
 
+def test_fences_come_from_the_sketches(spark):
+    def text(i, lines, copies):
+        return "\n".join([" ".join(f"w{i}x{k}y{j}" for j in range(6)) for k in range(lines - copies)] + [f"c{i}xxxxx"] * copies)
+
+    # A tenth of the forum's documents have up to 6 copies of a line in 20; the press has none.
+    rows = [(i, text(i, 20, 2 + i // 10 % 5 if i % 10 == 0 else 0), "en", "forum") for i in range(1000, 1300)] + [(i, text(i, 20, 0), "en", "press") for i in range(2000, 2300)]
+    rows += [(1, text(1000, 20, 5), "en", "forum"), (2, text(2000, 20, 5), "en", "press"), (3, text(3000, 30, 11), "en", "press")]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept.pop(1) and not kept.pop(2) and not kept.pop(3) and all(kept.values())
+
+
 RULES = [
     ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24),
