@@ -4,8 +4,11 @@
    tags with their first class, digits generalised.
 2. Each page scores its containers by the text in them, less its links, and votes
    with the shares. Votes are added up by host and path on Spark.
-3. Each page is extracted again from the containers on its host's winning path;
-   a page that lacks it uses its own best one.
+3. The winning path is climbed to the container of the whole article: the outermost
+   article or else main on it, or else the highest container below the body that
+   adds text other than links on that host.
+4. Each page is extracted again from everything under that path; a page that
+   lacks it climbs from its own best one.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out wherever they stand, by tag, role, class or id.
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,7 +38,12 @@ BROADCAST_HOSTS = 100_000
 # Element names by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas".split())
+MATH = frozenset(
+    "math mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics".split()
+)
+INLINE |= MATH
+RAW = frozenset("script style noscript template textarea title svg annotation annotation-xml iframe object select canvas".split())
 LEFT_OUT = frozenset("nav header footer aside form button dialog menu head".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th figcaption caption".split())
 #: A start tag that ends an open element of these names.
@@ -47,6 +55,8 @@ NAMES = re.compile(
     re.I,
 )
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
+#: The end of an empty tag's attributes; a slash that ends an unquoted value is not one.
+_EMPTY = re.compile(r"(?<!=)(?:^|[\s\"'])/\Z|(?:^|\s)[^\s=\"'/]+/\Z")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -116,6 +126,8 @@ def blocks(page: str) -> list[Block]:
                         in_link -= name == "a"
                     break
             continue
+        if (name in MATH or name in ("svg", "annotation", "annotation-xml")) and _EMPTY.search(m[3]):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else size
@@ -168,6 +180,31 @@ def container_scores(found: list[Block]) -> dict[str, float]:
     return {k: v / total for k, v in scores.items()} if total else {}
 
 
+def article_path(path: str) -> str | None:
+    """The outermost article on a path, or else its outermost main."""
+    labels = path.split(">")
+    for name in ("article", "main"):
+        for i, label in enumerate(labels):
+            if label.partition(".")[0] == name:
+                return ">".join(labels[: i + 1])
+    return None
+
+
+def above(path: str, other: str) -> str | None:
+    """The nearest container below the body that holds both paths."""
+    labels: list[str] = []
+    for a, b in zip(path.split(">"), other.split(">"), strict=False):
+        if a != b:
+            break
+        labels.append(a)
+    return ">".join(labels) if labels and labels[-1].partition(".")[0] not in ("", "html", "body") else None
+
+
+def climbed(path: str, others: Iterable[str]) -> str:
+    """The container of the whole article around ``path``; ``others`` are paths with text other than links."""
+    return article_path(path) or min((x for o in others if (x := above(path, o)) is not None), key=len, default=path)
+
+
 def extracted(found: list[Block], winner: str | None) -> str:
     """Blocks on the winning path, or on the page's own best one if it has none there."""
     inside = [b for b in found if winner is not None and (b.path == winner or b.path.startswith(f"{winner}>"))]
@@ -176,6 +213,7 @@ def extracted(found: list[Block], winner: str | None) -> str:
         if not own:
             return ""
         best = min(own, key=lambda k: (-own[k], k))
+        best = climbed(best, {b.path for b in found if len(b.text) > 2 * b.links})
         inside = [b for b in found if b.path == best or b.path.startswith(f"{best}>")]
     return "\n\n".join(b.text for b in inside)
 
@@ -186,27 +224,42 @@ def host(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, score) summed over pages."""
+    """(host, path, score, held) summed over pages; ``held`` tells whether the container itself has text other than links."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "html")):
             total: dict[tuple[str, str], float] = {}
+            held: set[tuple[str, str]] = set()
             for name, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for path, share in container_scores(blocks(page or "")).items():
+                found = blocks(page or "")
+                held.update((name, b.path) for b in found if len(b.text) > 2 * b.links)
+                for path, share in container_scores(found).items():
                     total[name, path] = total.get((name, path), 0.0) + share
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.float64())],
-                names=["host", "path", "score"],
+                [
+                    pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()),
+                    pa.array(list(total.values()), pa.float64()), pa.array([k in held for k in total], pa.bool_()),
+                ],
+                names=["host", "path", "score", "held"],
             )
 
-    scored = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(score, "host string, path string, score double")
-    return scored.groupBy("host", "path").agg(F.sum("score").alias("score"))
+    scored = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(score, "host string, path string, score double, held boolean")
+    return scored.groupBy("host", "path").agg(F.sum("score").alias("score"), F.bool_or("held").alias("held"))
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path) of the winning container; equal scores go to the first path by name."""
-    best = F.min_by("path", F.struct(-F.round("score", 6), F.col("path")))
-    return votes(pages).groupBy("host").agg(best.alias("path"))
+    """(host, path) of the container of the article: the winning one, climbed; equal scores go to the first path by name."""
+    found = written(votes(pages), "host-votes")
+    best = found.groupBy("host").agg(F.min_by("path", F.struct(-F.round("score", 6), F.col("path"))).alias("best"))
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top = [climbed(b, [p]) for b, p in zip(batch.column("best").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(top, pa.string())], names=["host", "path"])
+
+    # Each path with text gives the container it shares with the winner; the highest holds them all.
+    tops = found.where("held").join(best, "host").select("host", "best", "path").mapInArrow(climb, "host string, path string")
+    return tops.groupBy("host").agg(F.min_by("path", F.length("path")).alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -24,3 +24,19 @@ def test_consensus_beats_a_page_of_its_own(spark):
     assert len(got) == len(rows) and by[9] == "short" and by[10] == "" and by[11] == "alone"
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_whole_article_is_kept(spark):
+    lead, body = "lead " * 20, "body " * 80
+    pages = [
+        ("a", f"<html><body><nav>menu</nav><article><div class=lead><p>{lead}</div><div class=body><p>{body}</div></article><div class=x>out</div></body></html>"),
+        ("b", f"<html><body><article><h1>Title</h1><p>{lead}</p><section><p>{body}</section><section><p>{body}</section></article></body></html>"),
+        ("c", f"<html><body><main><p>{lead}</p><ul><li>{body}<li>{body}</ul></main></body></html>"),
+        ("d", f"<html><body><div class=page><div class=lead><p>{lead}</div><div class=body><p>{body}</div><div class=links><a href=x>{lead}</a></div></div><div class=x>out</div></body></html>"),
+        ("e", "<article>one <svg/> two <svg width='5' /> three <math><mi>x</mi><mo>=</mo><mspace/><mn>5</mn><annotation>tex</annotation></math> four</article>"),
+    ]
+    rows = [(i, f"http://{name}.example/{i}", html) for name, html in pages for i in range(2)]
+    got = {r["url"][7]: r["text"] for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    lead, body = lead.strip(), body.strip()
+    assert got["a"] == f"{lead}\n\n{body}" and got["b"] == f"Title\n\n{lead}\n\n{body}\n\n{body}" and got["c"] == f"{lead}\n\n{body}\n\n{body}"
+    assert got["d"].startswith(f"{lead}\n\n{body}") and "out" not in got["d"] and got["e"] == "one two three x=5 four"
