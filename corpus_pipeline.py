@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and reread as the next one's docs.
-All but the last keep the columns of ``documents``.
+All but the last keep the columns of ``documents``. Verdicts belong to rows, by id
+and text: a null id is an id like others, and rows that repeat an id don't share theirs.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the adaptive quality rules keep; rows with equal ids stay or go together with any kept one."""
-    kept = quality_rules.judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that the adaptive quality rules keep, each row by its own verdict."""
+    parts = [x for c in ("text", "lang", "source") for x in (c, F.isnull(c))]
+    rows = docs.withColumn("_row", F.xxhash64(*parts))
+    kept = quality_rules.judged(rows, keys=("_row",)).where("kept").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_kept")).distinct()
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept")), "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    return jaccard.deduplicated(docs).select(*COLUMNS)
+    """One document of each group of near duplicates: the one with the least id. Null ids take part in nothing and stay."""
+    return jaccard.deduplicated(docs.where("doc_id IS NOT NULL")).select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def secret_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked; ``n_chars`` follows the new text."""
-    clean = secret_scans.redacted(docs, secret_scans.scan(docs))
+    clean = secret_scans.redacted(docs, secret_scans.by_blob(docs))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

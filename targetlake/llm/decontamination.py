@@ -168,9 +168,14 @@ def _spans(docs: DataFrame, items: pd.DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row a document: ``n_words``, ``runs`` of hit words and ``items``."""
+    return _hits(docs, benchmark, block_windows).drop("text_hash")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """:func:`hits` with ``text_hash``."""
     blocks = [b.select("item_id", "text").toPandas() for b in _blocks(benchmark, block_windows)]
     if len(blocks) == 1:
-        return _spans(docs, blocks[0]).drop("text_hash")
+        return _spans(docs, blocks[0])
     found = None
     for block in blocks:
         part = _spans(docs, block).where(F.size("runs") > 0)
@@ -189,7 +194,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDO
     union = merged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.aggregate("runs", F.array().cast(RUNS), joined).alias("runs"), "items")
     every = _spans(docs, blocks[0].iloc[:0]).select("doc_id", "text_hash", "n_words")
     both = every.join(union, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return both.select("doc_id", "n_words", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return both.select("doc_id", "text_hash", "n_words", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -203,5 +208,5 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Whole rows of the documents without a hit word."""
-    dirty = hits(docs, benchmark).where(F.size("runs") > 0).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti")
+    dirty = _hits(docs, benchmark).where(F.size("runs") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")

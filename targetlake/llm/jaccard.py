@@ -86,15 +86,16 @@ def _unpacked48(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every document."""
+def set_table(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, node) of every document; ``keys`` are long columns kept with them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             s = Sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s.n.astype(np.int64)), pa.array(s.node)], names=["doc_id", "n_shingles", "node"])
+            own = [batch.column("doc_id"), pa.array(s.n.astype(np.int64)), pa.array(s.node)]
+            yield pa.RecordBatch.from_arrays([*own, *(batch.column(k) for k in keys)], names=["doc_id", "n_shingles", "node", *keys])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text", *keys).mapInArrow(sets, "doc_id long, n_shingles long, node long" + "".join(f", {k} long" for k in keys))
 
 
 _CHUNK = "part int, nodes binary, sizes binary, counts binary, keys binary, classes binary"
@@ -292,21 +293,33 @@ def links(docs: DataFrame) -> DataFrame:
     return _linked(counted).unionByName(derived).unionByName(_linked(_counted(to_count, index)))
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    sets = written(set_table(docs), "jaccard-sets")
+def _labelled(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, component, keys) of every document; ``component`` is null for an empty set."""
+    sets = written(set_table(docs, keys), "jaccard-sets")
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     found = components(links(docs))
     labelled = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = labelled.join(least, "component").select("node", "component_id")
+    ids = labelled.join(least, "component").select("node", "component", "component_id")
     out = sets.join(ids, "node", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "component", *keys)
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    return _labelled(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Whole rows, one document of each component: the one with the least id."""
-    first = joined(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Whole rows with an id, one document of each component: the one with the least id.
+
+    Rows that repeat an id with texts that aren't linked are of different components,
+    and one of each stays; without words every different text is one. Of linked texts
+    with the same id the one with the least hash stays. Rows with a null id are left out.
+    """
+    rows = docs.withColumn("_text", F.xxhash64("text"))
+    own = F.when(F.col("n_shingles") > 0, F.col("component")), F.when(F.col("n_shingles") == 0, F.col("_text"))
+    first = _labelled(rows, ("_text",)).where("doc_id = component_id").groupBy("doc_id", own[0].alias("_c"), own[1].alias("_e")).agg(F.min("_text").alias("_text"))
+    kept = rows.join(first.select("doc_id", "_text"), ["doc_id", "_text"], "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -72,8 +72,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(bound(hashes, windows))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """Base measures of every document, one row each, without the text."""
+def measured(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Base measures of every document, one row each, without the text; ``keys`` are columns kept with them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     of_words = bound(
@@ -82,10 +82,10 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     of_lines = bound(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     return docs.select(
-        "doc_id", "lang", "source", of_words.alias("w"), of_lines.alias("l"),
+        "doc_id", *keys, "lang", "source", of_words.alias("w"), of_lines.alias("l"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
     ).select(
-        "doc_id", "lang", "source", F.col("w.n").cast("long").alias("n_words"), F.col("w.chars").cast("long").alias("word_chars"), "n_symbols",
+        "doc_id", *keys, "lang", "source", F.col("w.n").cast("long").alias("n_words"), F.col("w.chars").cast("long").alias("word_chars"), "n_symbols",
         F.col("l.d").cast("long").alias("n_dup_lines"), F.col("w.r").cast("long").alias("n_repeat_words"), F.col("l.n").cast("long").alias("n_lines"),
     ).withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
 
@@ -150,15 +150,15 @@ def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return long.groupBy("lang", "source").agg(*[pick(k, end) for k in FENCES for end in ("low", "high")])
 
 
-def judged(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, keys: tuple[str, ...] = ()) -> DataFrame:
     """Measures and verdict of every document: ``kept`` is false beyond its group's fences or if the base rule fails."""
-    measures = written(measured(docs), "quality-measures")
+    measures = written(measured(docs, keys), "quality-measures")
     limits = fences(sketches(measures), min_docs)
     joined = measures.alias("d").join(limits.alias("f"), F.expr("d.lang <=> f.lang AND d.source <=> f.source"), "left")
     inside = F.lit(True)
     for name, value in ratios().items():
         inside = inside & F.coalesce((value >= F.col(f"low_{name}")) & (value <= F.col(f"high_{name}")), F.lit(True))
     return joined.select(
-        "d.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "d.doc_id", *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"),
     )

@@ -114,6 +114,11 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rule_version: str = RU
 
     Without a path the ledger is a new one in the shared scratch folder.
     """
+    return by_blob(docs, ledger_path, rule_version).drop("blob")
+
+
+def by_blob(docs: DataFrame, ledger_path: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+    """:func:`scan` with the ``blob`` of each row's text."""
     spark = docs.sparkSession
     path = ledger_path or f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -124,7 +129,7 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rule_version: str = RU
     paths = versions.select("doc_id", "blob")
     none = F.sha2(F.lit("").cast("binary"), 256)
     return paths.join(held, "blob", "left").select(
-        "doc_id",
+        "doc_id", "blob",
         *[F.coalesce(F.col(f"n_{k}"), F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE],
         F.coalesce(F.sha2(F.encode("base_spans", "UTF-8"), 256), none).alias("base_sha256"),
         F.coalesce(F.col("spans"), F.lit("")).alias("spans"),
@@ -135,11 +140,15 @@ def redacted(docs: DataFrame, findings: DataFrame, mask: str = "[SECRET]") -> Da
     """``docs`` with the secrets that the rules find replaced in their texts, whole rows kept.
 
     Only documents with findings are rewritten; ``findings`` has a row for each of them.
+    They are known by their texts if ``findings`` names blobs, else by their ids, null being one.
     """
-    hit = findings.where(F.length("spans") > 0).select("doc_id").distinct().withColumn("_hit", F.lit(True))
+    name = "blob" if "blob" in findings.columns else "doc_id"
+    key = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256) if name == "blob" else F.col("doc_id")
+    hit = findings.where(F.length("spans") > 0).select(F.col(name).alias("_key")).distinct().withColumn("_hit", F.lit(True))
     clean = F.col("text")
     for pattern, group, least in RULES.values():
         if group:
             pattern = pattern.replace("[A-Za-z0-9+/_.=-]+", f"[A-Za-z0-9+/_.=-]{{{least},}}+")
         clean = F.regexp_replace(clean, pattern, mask)
-    return docs.join(hit, "doc_id", "left").withColumn("text", F.when(F.col("_hit"), clean).otherwise(F.col("text"))).drop("_hit")
+    both = docs.withColumn("_own", key).join(hit, F.col("_own").eqNullSafe(F.col("_key")), "left")
+    return both.withColumn("text", F.when(F.col("_hit"), clean).otherwise(F.col("text"))).drop("_hit", "_own", "_key")
