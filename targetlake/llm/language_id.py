@@ -3,7 +3,8 @@
 Evidence of a row: the likelihood of its text under each language's byte trigrams,
 the language declared in the markup or metadata, the suffix of its address, and a
 prior of its host. Trigram counts are added up over all rows with a declared
-language into a table of fixed size. How often a declared language or a suffix goes
+language; every declared language has a model, and the languages are scored in
+broadcast blocks, one pass over the texts each, that meet again by row. How often a declared language or a suffix goes
 with a language, and the priors of hosts, are grouped sums of text posteriors;
 a host is smoothed towards its domain and that towards all rows, so that small
 hosts follow the larger group.
@@ -28,8 +29,8 @@ from .scratch import written
 from .words import raw_texts, slices
 
 GRAMS = 1 << 16
-#: Languages told apart at most: those declared most often.
-LANGUAGES = 64
+#: Languages whose models one broadcast holds (GRAMS numbers each); all declared ones are told apart.
+BLOCK = 64
 #: Weight of the text's log likelihood, as neighbouring trigrams repeat each other.
 TEMPER = 0.25
 #: Rows' worth of the wider group that a host's and a domain's prior hold.
@@ -50,53 +51,86 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return gram[np.cumsum(inside[:-1]) > 0], np.append(0, np.cumsum(size))
 
 
-def trigram_model(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (gram bucket, language) from all rows (``text``, ``declared``)."""
+def trigram_counts(rows: DataFrame) -> tuple[list[str], DataFrame]:
+    """All declared languages, and the counts (i, g, n) of gram bucket g in language i, from all rows (``text``, ``declared``)."""
     named = rows.where("declared IS NOT NULL AND declared <> ''")
-    top = named.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()
-    languages = sorted(r["declared"] for r in top)
+    languages = sorted(r["declared"] for r in named.select("declared").distinct().collect())
+    number = {x: i for i, x in enumerate(languages)}
+
+    def emitted(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, counts in total.items():
+            g = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i), pa.int64()), pa.array(g, pa.int64()), pa.array(counts[g])], names=["i", "g", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), GRAMS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in (part for whole in batches for part in slices(whole)):
             gram, bounds = _grams(batch.column("text"))
-            label = np.array([languages.index(x) if x in languages else -1 for x in batch.column("declared").to_pylist()])
+            label = np.array([number[x] for x in batch.column("declared").to_pylist()])
             of = np.repeat(label, np.diff(bounds))
-            for i in range(len(languages)):
-                total[i] += np.bincount(gram[of == i], minlength=GRAMS)
-        i, g = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(g, pa.int64()), pa.array(total[i, g])], names=["i", "g", "n"])
+            for i in np.unique(label).tolist():
+                if i not in total and len(total) == BLOCK:  # sums so far go on to the shuffle
+                    yield from emitted(total)
+                    total = {}
+                total[i] = total.get(i, 0) + np.bincount(gram[of == i], minlength=GRAMS)
+        yield from emitted(total)
 
     counted = named.select("text", "declared").mapInArrow(count, "i long, g long, n long").groupBy("i", "g").agg(F.sum("n").alias("n"))
-    table = np.full((GRAMS, max(len(languages), 1)), 0.5)
-    for r in counted.toPandas().itertuples():  # at most LANGUAGES * GRAMS numbers
-        table[r.g, r.i] += r.n
-    return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
+    return languages, written(counted, "language-grams")
+
+
+def trigram_model(counted: DataFrame, first: int, size: int) -> np.ndarray:
+    """Log probabilities (gram bucket, language) of ``size`` languages from number ``first`` on."""
+    table = np.full((GRAMS, size), 0.5)
+    held = counted.where((F.col("i") >= first) & (F.col("i") < first + size)).toPandas()  # at most BLOCK * GRAMS numbers
+    table[held["g"].to_numpy(np.int64), held["i"].to_numpy(np.int64) - first] += held["n"].to_numpy(np.float64)
+    return np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def _evidence(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
-    """Each row with ``ll``: the tempered log likelihood of its text by language, the greatest being 0."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # GRAMS * LANGUAGES numbers
+def _scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
+    """Each row with ``ll``: the log likelihood of its text by language of one block."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # at most GRAMS * BLOCK numbers
+    size = model.shape[1]
     names = [c for c in rows.columns if c != "text"]
     kind = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "text") + ", ll array<double>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             gram, bounds = _grams(batch.column("text"))
-            out = np.zeros((batch.num_rows, len(languages)))
-            for i in range(len(languages)):
+            out = np.zeros((batch.num_rows, size))
+            for i in range(size):
                 total = np.append(0.0, np.cumsum(sent.value[gram, i], dtype=np.float64))
                 out[:, i] = total[bounds[1:]] - total[bounds[:-1]]
-            out = (out - out.max(axis=1, keepdims=True)) * TEMPER if len(languages) else out
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out.tolist(), pa.list_(pa.float64()))], names=[*names, "ll"])
 
     return rows.select(*names, "text").mapInArrow(score, kind)
 
 
-def _sums(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+def _evidence(rows: DataFrame, counted: DataFrame, languages: int) -> DataFrame:
+    """Each row with ``ll``: the tempered log likelihood of its text by every language, the greatest being 0."""
+    starts = range(0, languages, BLOCK)
+    if len(starts) == 1:
+        scored = _scored(rows, trigram_model(counted, 0, languages))
+    else:
+        keyed = written(rows.withColumn("_row", F.monotonically_increasing_id()), "language-rows")
+        names = [c for c in rows.columns if c != "text"]
+        parts = None
+        for a in starts:
+            block = _scored(keyed.select("_row", "text"), trigram_model(counted, a, min(BLOCK, languages - a)))
+            part = written(block.select("_row", F.struct(F.lit(a).alias("a"), "ll").alias("part")), "language-block")
+            parts = part if parts is None else parts.unionByName(part)
+        whole = parts.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["ll"])).alias("ll"))
+        scored = keyed.select("_row", *names).join(whole, "_row").drop("_row")
+    top = scored.withColumn("_top", F.array_max("ll"))
+    return top.withColumn("ll", F.transform("ll", lambda x: (x - F.col("_top")) * TEMPER)).drop("_top")
+
+
+def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of the text posteriors by ``keys``, as ``s``."""
-    grouped = rows.groupBy(*keys).agg(*[F.sum(F.get("post", i)).alias(f"_{i}") for i in range(size)])
-    return grouped.select(*keys, F.array(*[f"_{i}" for i in range(size)]).alias("s"))
+    names = F.posexplode("post").alias("_i", "_x")
+    summed = rows.select(*keys, names).groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
+    lists = summed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("s"))
+    return lists.select(*keys, F.transform("s", lambda e: e["_x"]).alias("s"))
 
 
 def _normal(logs: Column) -> Column:
@@ -107,25 +141,25 @@ def _normal(logs: Column) -> Column:
 
 def identified(rows: DataFrame) -> DataFrame:
     """``rows`` (ids, text, declared, suffix, host, domain) without text, with ``language``, ``probability`` and ``kept``."""
-    languages, model = trigram_model(rows)
+    languages, counted = trigram_counts(rows)
     ids = [c for c in rows.columns if c not in ("text", "suffix", "host", "domain")]
     if not languages:
         return rows.select(*ids, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), F.lit(True).alias("kept"))
     size = len(languages)
-    scored = _evidence(rows, languages, model)
+    scored = _evidence(rows, counted, size)
     seen = written(scored.withColumn("post", _normal(F.col("ll"))), "language-evidence")
-    total = seen.agg(*[F.sum(F.get("post", i)).alias(f"_{i}") for i in range(size)]).first()
-    mass = np.array([float(x or 0) for x in total]) + 1
+    total = _sums(seen, []).first()
+    mass = np.array(total["s"]) + 1
     prior = F.array(*[F.lit(float(x)) for x in mass / mass.sum()])
     smooth = lambda s, towards: F.zip_with(s, towards, lambda a, b: (a + b * STRENGTH) / (F.aggregate(s, F.lit(0.0), lambda t, x: t + x) + STRENGTH))
-    domains = _sums(seen, ["domain"], size).select(F.col("domain").alias("_domain"), smooth(F.col("s"), prior).alias("p_domain"))
-    hosts = _sums(seen, ["host", "domain"], size).join(domains, F.col("domain").eqNullSafe(F.col("_domain")), "left").select(
+    domains = _sums(seen, ["domain"]).select(F.col("domain").alias("_domain"), smooth(F.col("s"), prior).alias("p_domain"))
+    hosts = _sums(seen, ["host", "domain"]).join(domains, F.col("domain").eqNullSafe(F.col("_domain")), "left").select(
         F.col("host"), smooth(F.col("s"), F.coalesce("p_domain", prior)).alias("p_host")
     ).dropDuplicates(["host"])
 
     def likelihood(column: str) -> DataFrame:
         """log P(value | language): the value's share of each language's mass, smoothed by one row."""
-        values = _sums(seen, [column], size)
+        values = _sums(seen, [column])
         whole = F.array(*[F.lit(float(x)) for x in mass])
         return values.select(column, F.zip_with("s", whole, lambda a, b: F.log((a + 1.0) / (b + 2.0))).alias(f"l_{column}"))
 

@@ -331,3 +331,14 @@ def test_languages(spark, docs, empty):
     assert language_id.identified(language_id.of_documents(empty)).count() == 0
     page = spark.createDataFrame([(1, "http://a.example.fr/x", '<html lang="fr"><p>le chat et la maison</p>'), (2, None, None)], "page_id long, url string, html string")
     assert language_id.identified(language_id.of_pages(page)).count() == 2
+
+
+def test_every_declared_language_has_a_model(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = {f"l{k:02d}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(8)] for k in range(language_id.BLOCK + 3 if hasattr(language_id, "BLOCK") else 67)}
+    rows = [(None, " ".join(rng.choice(v) for _ in range(40)), name, "web") for name, v in vocab.items() for _ in range(1 if name in ("l00", "l66") else 2)]
+    table = spark.createDataFrame(rows + [(1, " ".join(vocab["l66"]), None, "web")], "doc_id long, text string, lang string, source string")
+    got = language_id.identified(language_id.of_documents(table)).collect()
+    assert len(got) == len(rows) + 1 and all(r["language"] == (r["declared"] or "l66") for r in got)
+    assert {r["language"] for r in got} == set(vocab)
