@@ -13,12 +13,25 @@ def quality_sql() -> str:
         "symbols": "n_symbols * 10000.0::DOUBLE / greatest(word_chars, 1)", "dup_lines": "n_dup_lines * 10000.0::DOUBLE / greatest(n_lines, 1)",
         "repeats": "n_repeat_words * 10000.0::DOUBLE / greatest(n_words, 1)", "word_length": "word_chars * 1000.0::DOUBLE / greatest(n_words, 1)",
     }
-    gamma = quality_rules.GAMMA
-    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, CASE WHEN {v} < 1 THEN 0 ELSE floor(ln({v}) / ln({gamma})) + 1 END AS bucket FROM m WHERE NOT base_failed" for k, v in measures.items())
-    widths = " UNION ALL ".join(f"SELECT '{k}' AS measure, {a} AS ql, {b} AS qh, {s} AS spread, {r} AS share, {z} AS slack" for k, (a, b, s, r, z) in quality_rules.FENCES.items())
-    tests = " AND ".join(f"coalesce(({v}) BETWEEN (SELECT low FROM f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.measure = '{k}') AND (SELECT high FROM f WHERE f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.measure = '{k}'), true)" for k, v in measures.items())
-    rank = lambda keys: f"SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS whole, CASE WHEN bucket = 0 THEN 0 ELSE pow({gamma}, bucket - 0.5) END AS mid"
-    ends = "min(mid) FILTER (upto >= whole * ql) AS lo, min(mid) FILTER (upto >= whole * qh) AS hi, any_value(spread) AS spread, any_value(share) AS share, any_value(slack) AS slack"
+    sizes = {"chars": "word_chars::DOUBLE", "lines": "n_lines::DOUBLE", "words": "n_words::DOUBLE"}
+    gamma, prior = quality_rules.GAMMA, f"{quality_rules.PRIOR}::DOUBLE"
+    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, CASE WHEN {v} < 1 THEN 0 ELSE floor(ln({v}) / ln({gamma})) + 1 END AS bucket FROM m WHERE NOT base_failed" for k, v in (measures | sizes).items())
+    value = lambda measure, q: f"min(mid) FILTER (measure = '{measure}' AND share >= {q})"
+    ends = []
+    for name, (low, tail, spreads, size, events) in quality_rules.UPPER.items():
+        width = f"greatest({value(name, tail)} - {value(name, low)}, {events * quality_rules.SCALE} / greatest({value(size, 0.5)}, 1.0::DOUBLE)) * {spreads}"
+        ends += [f"{value(name, low)} - {width} AS low_{name}" if name in quality_rules.LOWER else f"NULL::DOUBLE AS low_{name}", f"{value(name, tail)} + {width} AS high_{name}"]
+    tests = ", ".join(f"CASE WHEN {v} > high_{k} OR coalesce({v} < low_{k}, false) THEN '{k}' END" for k, v in measures.items())
+
+    def upto(keys: str) -> str:
+        """Documents of each group up to each of the table's buckets."""
+        same = "".join(f"g.{k} IS NOT DISTINCT FROM c.{k} AND " for k in keys.split(", ") if k)
+        own = f"{keys}, " if keys else ""
+        grid = f"SELECT g.*, bucket FROM (SELECT {own}measure, sum(n) AS docs FROM s GROUP BY ALL) g JOIN (SELECT DISTINCT measure, bucket FROM s) USING (measure)"
+        counts = f"SELECT {own}measure, bucket, sum(n) AS n FROM s GROUP BY ALL"
+        return f"""SELECT g.*, sum(coalesce(c.n, 0)) OVER (PARTITION BY {", ".join(f"g.{k}" for k in [*filter(None, keys.split(", ")), "measure"])} ORDER BY g.bucket) AS upto
+          FROM ({grid}) g LEFT JOIN ({counts}) c ON {same}g.measure = c.measure AND g.bucket = c.bucket"""
+
     return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
       w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
       g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
@@ -27,13 +40,13 @@ def quality_sql() -> str:
         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN c USING (r)),
       m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
       s AS (SELECT lang, source, measure, bucket, count(*) AS n FROM ({long}) GROUP BY ALL),
-      q AS ({widths}),
-      own AS (SELECT lang, source, measure, max(whole) AS docs, {ends} FROM ({rank('lang, source, measure')} FROM s) JOIN q USING (measure) GROUP BY lang, source, measure),
-      one AS (SELECT lang, measure, {ends} FROM ({rank('lang, measure')} FROM (SELECT lang, measure, bucket, sum(n) AS n FROM s GROUP BY ALL)) JOIN q USING (measure) GROUP BY lang, measure),
-      p AS (SELECT own.lang, own.source, own.measure, CASE WHEN docs < {quality_rules.MIN_DOCS} THEN one.lo ELSE own.lo END AS lo, CASE WHEN docs < {quality_rules.MIN_DOCS} THEN one.hi ELSE own.hi END AS hi,
-        own.spread, own.share, own.slack FROM own JOIN one ON own.lang IS NOT DISTINCT FROM one.lang AND own.measure = one.measure),
-      f AS (SELECT lang, source, measure, lo - greatest((hi - lo) * spread, hi * share, slack) AS low, hi + greatest((hi - lo) * spread, hi * share, slack) AS high FROM p)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {tests} AS kept FROM m"""
+      ua AS (SELECT measure, bucket, upto::DOUBLE / docs::DOUBLE AS share FROM ({upto("")})),
+      ul AS (SELECT u.lang, u.measure, u.bucket, (u.upto::DOUBLE + {prior} * ua.share) / (u.docs::DOUBLE + {prior}) AS share FROM ({upto("lang")}) u JOIN ua USING (measure, bucket)),
+      uo AS (SELECT u.lang, u.source, u.measure, (u.upto::DOUBLE + {prior} * ul.share) / (u.docs::DOUBLE + {prior}) AS share, CASE WHEN u.bucket = 0 THEN 0 ELSE pow({gamma}, u.bucket - 0.5) END AS mid
+        FROM ({upto("lang, source")}) u JOIN ul ON u.lang IS NOT DISTINCT FROM ul.lang AND u.measure = ul.measure AND u.bucket = ul.bucket),
+      f AS (SELECT lang, source, {", ".join(ends)} FROM uo GROUP BY lang, source)
+      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN '' ELSE array_to_string(list_filter([{tests}], lambda x: x IS NOT NULL), ',') END AS broken,
+      NOT base_failed AND broken = '' AS kept FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source"""
 
 
 def secrets_sql() -> str:

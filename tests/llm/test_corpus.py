@@ -70,22 +70,52 @@ def test_quality_measures(docs, rows, empty):
     assert quality_rules.judged(empty).count() == 0
 
 
+def judged_of(spark, rows):
+    return {r["doc_id"]: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+
 def test_adaptive_fences_follow_their_group(spark):
-    rows = [(i, " ".join(f"w{i}x{k}" + ("#" if s == "code" and k % 2 else "") for k in range(80)), "en", s) for i, s in enumerate(["code", "prose"] * 250)]
+    rows = [(i, " ".join(f"w{i}x{k}" + ("#" if s == "code" and k % 2 else "") for k in range(80)), "en", s) for i, s in enumerate(["code", "prose"] * 1500)]
     rows.append((9999, " ".join(f"z{k}###" for k in range(80)), "en", "prose"))
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert not kept.pop(9999) and all(kept.values())
+    got = judged_of(spark, rows)
+    # What is usual in one source is far beyond the fence of the other.
+    rows += [(9000, rows[0][1], "en", "prose")]
+    again = judged_of(spark, rows)
+    assert not got.pop(9999)["kept"] and all(r["kept"] for r in got.values())
+    assert again[9000]["broken"].startswith("symbols") and again[0]["kept"]
+
+
+def test_quantiles_are_shrunk_by_counts(spark):
+    """Against brute force: mixed cumulative shares of own, language's and all sketches."""
+    rng = random.Random(3)
+    sketch = [(lang, source, m, b, rng.randint(1, 400)) for lang in ("en", "fr", None) for source in ("a", "b", None) for m in ("symbols", "chars") for b in rng.sample(range(40), 9)]
+    got = {(r["lang"], r["source"], r["measure"]): r["q"] for r in quality_rules.quantiles(spark.createDataFrame(sketch, "lang string, source string, measure string, bucket int, n long")).collect()}
+    prior = quality_rules.PRIOR
+
+    def upto(m, bucket, test):
+        some = [(b, n) for x, y, k, b, n in sketch if k == m and test(x, y)]
+        return sum(n for b, n in some if b <= bucket), sum(n for _, n in some)
+
+    for lang, source, m in got:
+        for q, value in got[lang, source, m].items():
+            for bucket in range(40):
+                whole, lang_part, own = upto(m, bucket, lambda x, y: True), upto(m, bucket, lambda x, y: x == lang), upto(m, bucket, lambda x, y: (x, y) == (lang, source))  # noqa: B023
+                share = (own[0] + prior * (lang_part[0] + prior * whole[0] / whole[1]) / (lang_part[1] + prior)) / (own[1] + prior)
+                if share >= float(q):
+                    break
+            assert value == pytest.approx(0 if not bucket else quality_rules.GAMMA ** (bucket - 0.5))
+    assert len(got) == 18
 
 
 def test_fences_come_from_the_sketches(spark):
     def text(i, lines, copies):
         return "\n".join([" ".join(f"w{i}x{k}y{j}" for j in range(6)) for k in range(lines - copies)] + [f"c{i}xxxxx"] * copies)
 
-    # A tenth of the forum's documents have up to 6 copies of a line in 20; the press has none.
-    rows = [(i, text(i, 20, 2 + i // 10 % 5 if i % 10 == 0 else 0), "en", "forum") for i in range(1000, 1300)] + [(i, text(i, 20, 0), "en", "press") for i in range(2000, 2300)]
-    rows += [(1, text(1000, 20, 5), "en", "forum"), (2, text(2000, 20, 5), "en", "press"), (3, text(3000, 30, 11), "en", "press")]
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert kept.pop(1) and not kept.pop(2) and not kept.pop(3) and all(kept.values())
+    # A tenth of the forum's documents have up to 9 copies of a line in 40; the press has none.
+    rows = [(i, text(i, 40, 2 + i // 10 % 8 if i % 10 == 0 else 0), "en", "forum") for i in range(1000, 2000)] + [(i, text(i, 40, 0), "en", "press") for i in range(2000, 4000)]
+    rows += [(1, text(1000, 40, 8), "en", "forum"), (2, text(2000, 40, 12), "en", "press"), (3, text(3000, 40, 25), "en", "forum")]
+    got = judged_of(spark, rows)
+    assert got.pop(1)["kept"] and got.pop(2)["broken"] == "dup_lines" and "dup_lines" in got.pop(3)["broken"] and all(r["kept"] for r in got.values())
 
 
 RULES = [
