@@ -19,7 +19,7 @@ def quality_sql() -> str:
     value = lambda measure, q: f"min(mid) FILTER (measure = '{measure}' AND share >= {q})"
     ends = []
     for name, (low, tail, spreads, size, events) in quality_rules.UPPER.items():
-        width = f"greatest({value(name, tail)} - {value(name, low)}, {events * quality_rules.SCALE} / greatest({value(size, 0.5)}, 1.0::DOUBLE)) * {spreads}"
+        width = f"greatest({value(name, tail)} - {value(name, low)}, {events * quality_rules.SCALE} / greatest({value(size, 0.5)}, 1.0::DOUBLE), {value(name, tail)} * {quality_rules.ERROR}::DOUBLE) * {spreads}"
         ends += [f"{value(name, low)} - {width} AS low_{name}" if name in quality_rules.LOWER else f"NULL::DOUBLE AS low_{name}", f"{value(name, tail)} + {width} AS high_{name}"]
     tests = ", ".join(f"CASE WHEN {v} > high_{k} OR coalesce({v} < low_{k}, false) THEN '{k}' END" for k, v in measures.items())
 

@@ -13,7 +13,8 @@ is treated apart.
 A fence lies some spreads beyond a tail quantile, the spread being the distance
 of two quantiles of the group. Where both quantiles are equal, the spread is what
 one event makes in the group's median document, from the sketches of document
-sizes. The documents are joined to the fences and filtered.
+sizes, and never less than the quantiles' own error. The documents are joined to
+the fences and filtered.
 
 Nulls: a null text has no words and fails the base rule; a null language or
 source is a group of its own. Repeated rows are measured and returned one by
@@ -42,6 +43,8 @@ UPPER = {
 }
 #: Measures with a lower fence too: as many spreads below the lower quantile.
 LOWER = ("word_length",)
+#: Error of the difference of two quantiles, as a share of the larger one.
+ERROR = 2 * (GAMMA - 1)
 #: Scale of the measures that are shares.
 SCALE = 10000.0
 
@@ -166,7 +169,7 @@ def fences(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
     for name, (low, tail, spreads, size, events) in UPPER.items():
         at = lambda q, of=name: F.col(of)[str(q)]
         unit = F.lit(events * SCALE) / F.greatest(at(0.5, size), F.lit(1.0))
-        width = F.greatest(at(tail) - at(low), unit) * F.lit(spreads)
+        width = F.greatest(at(tail) - at(low), unit, at(tail) * F.lit(ERROR)) * F.lit(spreads)
         out += [(at(low) - width if name in LOWER else F.lit(None).cast("double")).alias(f"low_{name}"), (at(tail) + width).alias(f"high_{name}")]
     return by.select("lang", "source", *out)
 
