@@ -49,14 +49,24 @@ def communication_matrix(block_rows: list[int], shards: int, seed: int) -> np.nd
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Exact draw; numpy's limit of 10**9 is met by halving the urn's sample."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
-    # The normal law agrees beyond this size to far less than one row in 10**4.
+    """How many of ``draws`` rows taken from an urn are good ones, by inversion around the mode, for urns of any size.
+
+    The law's ratios of neighbours are quotients of whole numbers below 2**53, so the
+    weights are right to double precision, without log-factorials. What lies beyond
+    nine standard deviations (and 60 rows) is less than the step of a uniform double.
+    """
     n = good + bad
-    mean = draws * good / n
-    sd = (mean * (bad / n) * ((n - draws) / max(n - 1, 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), max(0, draws - bad)), min(draws, good)))
+    low, high = max(0, draws - bad), min(good, draws)
+    mode = min(max((draws + 1) * (good + 1) // (n + 2), low), high)
+    reach = 60 + int(9 * (draws * (good / n) * (bad / n) * ((n - draws) / max(n - 1, 1))) ** 0.5)
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)  # steps from k to k + 1
+    with np.errstate(divide="ignore"):
+        step = np.log((good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1)))
+    weight = np.append(0.0, np.cumsum(step))
+    weight = np.exp(weight - weight.max())
+    upto = np.cumsum(weight)
+    return first + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
 
 
 def _unit(seed: int, salt: str, row: Column) -> Column:

@@ -167,6 +167,24 @@ def test_communication_matrix_is_uniform():
     assert np.abs(sums[0] / 400 - 2.5).max() < 0.3 and np.abs(sums[2] / 400 - 5.75).max() < 0.3
 
 
+def test_hypergeometric_draws_follow_the_law():
+    rng = np.random.default_rng(4)
+    for good, bad, draws in ((1, 0, 1), (3, 4, 5), (40, 900, 100), (5000, 70000, 9000), (0, 9, 4), (9, 0, 4), (10**6, 10, 10**6)):
+        own = np.array([sharding._hypergeometric(rng, good, bad, draws) for _ in range(4000)])
+        other = rng.hypergeometric(good, bad, draws, 4000)
+        assert own.min() >= max(0, draws - bad) and own.max() <= min(good, draws)
+        places = np.unique(np.concatenate([own, other]))
+        gap = np.abs(np.searchsorted(np.sort(own), places, side="right") - np.searchsorted(np.sort(other), places, side="right")).max() / 4000
+        assert gap < 0.045  # two samples of one law differ more than this once in 10**3
+    # Beyond numpy's limit: exact mean and spread, and sums that fit.
+    good, n, draws = 10**10 // 16, 10**10, 3 * 10**6
+    own = np.array([sharding._hypergeometric(rng, good, n - good, draws) for _ in range(2000)])
+    sd = (draws * (good / n) * (1 - good / n) * ((n - draws) / (n - 1))) ** 0.5
+    assert abs(own.mean() - draws * good / n) < 5 * sd / 2000**0.5 and abs(own.std() / sd - 1) < 0.08
+    m = sharding.communication_matrix([4 * 10**9, 1, 6 * 10**9, 123456789], 16, 5)
+    assert m.sum(axis=1).tolist() == [4 * 10**9, 1, 6 * 10**9, 123456789] and np.ptp(m.sum(axis=0)) <= 1 and (m >= 0).all()
+
+
 def test_language_model(docs, rows, empty):
     got = lm_scoring.scored(docs).collect()
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
