@@ -10,7 +10,8 @@ Texts become chunks: one row for some megabytes of documents of one role, with
 local word numbers. A chunk sends its distinct words and distinct pairs to
 buckets by hash. A bucket adds up what all chunks sent and answers each with the
 corpus counts in the order asked, so a frequent word is one number from each
-chunk, and no vocabulary is broadcast or collected. EM sees a histogram of
+chunk, and no vocabulary is broadcast or collected. Counts have 64 bits, and the
+number of buckets follows the number of tokens. EM sees a histogram of
 log-scaled probabilities, whose size is fixed by its grid.
 
 Tokens: ASCII-lower-cased words and one end for each text; a null text is empty.
@@ -39,7 +40,9 @@ TEST_FOLD, DEV_FOLD = 2, 6
 START = np.uint64(0x5354415254000001)
 END = np.uint64(0x454E440000000002)
 TRAIN, DEV, TEST = 0, 1, 2
-_CHUNK = "chunk long, role int, ids array<long>, lengths binary, tokens binary, vocab binary"
+#: Tokens (of one side of the exchange) that a part of it holds on average, at most.
+PART_TOKENS = 4_000_000
+_CHUNK = "chunk long, role int, ids array<long>, lengths binary, tokens binary, vocab binary, size long"
 _ASK = "part int, chunk long, role int, keys binary, counts binary"
 _ANSWER = "chunk long, kind int, part int, first binary, whole binary, n long, v long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -80,7 +83,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 tokens = tokens.astype("<u2") if len(used) < 65536 else tokens.astype("<u4")
                 mine = np.flatnonzero(roles == role)
                 vocab = words.distinct_h[used[order]] if len(used) else np.zeros(0, np.uint64)
-                row = (uuid.uuid4().int >> 65, role, [ids[i] for i in mine], counts[mine].astype("<u4").tobytes(), tokens.tobytes(), vocab.tobytes())
+                row = (uuid.uuid4().int >> 65, role, [ids[i] for i in mine], counts[mine].astype("<u4").tobytes(), tokens.tobytes(), vocab.tobytes(), len(tokens) + len(mine))
                 yield _batch([row], _CHUNK)
 
     return docs.select("doc_id", "text", fold.cast("int").alias("fold")).mapInArrow(chunk, _CHUNK)
@@ -128,6 +131,25 @@ def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def _counts_out(counts: np.ndarray) -> bytes:
+    """Counts in the least width that holds them all, up to 64 bits."""
+    most = int(counts.max()) if len(counts) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return counts.astype(f"<u{width}").tobytes()
+
+
+def _counts_in(data: bytes, n: int) -> np.ndarray:
+    """``n`` counts; their width follows from the length."""
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def added(index: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by index, in 64 bits (``np.bincount`` would go through doubles)."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, index, counts)
+    return out
+
+
 def _corpus_counts(chunks: DataFrame, parts: int, pairs: bool) -> DataFrame:
     """Answers (``_ANSWER``) to each chunk for its words or pairs, in the order of ``_dealt``."""
     kind = int(pairs)
@@ -142,7 +164,7 @@ def _corpus_counts(chunks: DataFrame, parts: int, pairs: bool) -> DataFrame:
                 for p in range(parts):
                     own = order[edges[p] : edges[p + 1]]
                     if len(own):
-                        counts = number[own].astype("<u4").tobytes() if row["role"] != TEST else None
+                        counts = _counts_out(number[own]) if row["role"] != TEST else None
                         rows.append((p, row["chunk"], row["role"], _packed48(keys[own]) if pairs else keys[own].tobytes(), counts))
                 yield _batch(rows, _ASK)
 
@@ -152,17 +174,17 @@ def _corpus_counts(chunks: DataFrame, parts: int, pairs: bool) -> DataFrame:
             return
         keys = [_unpacked48(x[3]) if pairs else np.frombuffer(x[3], np.uint64) for x in asked]
         distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(x[4], "<u4") if x[4] else np.zeros(len(k), "<u4") for x, k in zip(asked, keys, strict=True)])
+        counts = np.concatenate([_counts_in(x[4], len(k)) if x[4] else np.zeros(len(k), np.int64) for x, k in zip(asked, keys, strict=True)])
         role = np.repeat([x[1] for x in asked], [len(k) for k in keys])
-        first = np.bincount(index[role == TRAIN], counts[role == TRAIN], minlength=len(distinct))
-        whole = first + np.bincount(index[role == DEV], counts[role == DEV], minlength=len(distinct))
+        first = added(index[role == TRAIN], counts[role == TRAIN], len(distinct))
+        whole = first + added(index[role == DEV], counts[role == DEV], len(distinct))
         real = np.ones(len(distinct), dtype=bool) if pairs else distinct != START
         at = 0
         rows = [(-1, kind, asked[0][2], None, None, int(whole[real].sum()), int((whole[real] > 0).sum())), (-2, kind, asked[0][2], None, None, int(first[real].sum()), int((first[real] > 0).sum()))]
         for (chunk, own_role, part, _, _), k in zip(asked, keys, strict=True):
             own = index[at : at + len(k)]
             at += len(k)
-            rows.append((chunk, kind, part, first[own].astype("<u4").tobytes() if own_role == DEV else None, whole[own].astype("<u4").tobytes(), None, None))
+            rows.append((chunk, kind, part, _counts_out(first[own]) if own_role == DEV else None, _counts_out(whole[own]), None, None))
             if len(rows) >= 64:
                 yield _batch(rows, _ANSWER)
                 rows = []
@@ -173,10 +195,12 @@ def _corpus_counts(chunks: DataFrame, parts: int, pairs: bool) -> DataFrame:
 
 def _restored(c: _Chunk, answers: list[dict], kind: int, field: str, keys: np.ndarray, parts: int) -> np.ndarray:
     """Counts in the order of ``keys``."""
-    order, _ = _dealt(keys, parts)
-    own = sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["part"])
+    order, edges = _dealt(keys, parts)
     out = np.empty(len(keys), np.float64)
-    out[order] = np.frombuffer(b"".join(a[field] for a in own), "<u4")
+    for a in answers:
+        if a["kind"] == kind:
+            own = order[edges[a["part"]] : edges[a["part"] + 1]]
+            out[own] = _counts_in(a[field], len(own))
     return out
 
 
@@ -214,9 +238,9 @@ def learned(cells: np.ndarray, v: int, rounds: int = 60) -> np.ndarray:
 
 def scored(docs: DataFrame) -> DataFrame:
     """Base and model scores (log10) of every document, in the columns of ``RESULT``."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
     chunks = written(chunked(docs), "lm-chunks")
+    size = chunks.agg(F.sum("size").alias("n")).first()["n"] or 0
+    parts = max(partitions(docs.sparkSession), -(-size // PART_TOKENS))  # so that a part stays small however large the table is
     words = written(_corpus_counts(chunks, parts, pairs=False), "lm-words")
     pairs = written(_corpus_counts(chunks, parts, pairs=True), "lm-pairs")
     totals = {r["chunk"]: (r["n"] or 0, r["v"] or 0) for r in words.where("chunk < 0").groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}

@@ -199,6 +199,39 @@ def test_language_model(docs, rows, empty):
     assert lm_scoring.scored(empty).count() == 0
 
 
+def test_model_scores_against_brute_force(spark, docs, rows, monkeypatch):
+    weights = np.random.default_rng(5).dirichlet([1, 1, 1], lm_scoring.BUCKETS)
+    seen = []
+    monkeypatch.setattr(lm_scoring, "learned", lambda cells, v, rounds=60: seen.append((cells, v)) or weights)
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 500)
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in lm_scoring.scored(docs).collect())
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    texts = [(i, ["<s>"] + words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]) for i, t, *_ in rows]
+    train = [t for i, t in texts if fold(i) != 2]
+    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    n, v = sum(one.values()) - one["<s>"], len(one) - 1
+    want = Counter()
+    for i, t in texts:
+        total = 0.0
+        for h, w in zip(t, t[1:], strict=False):
+            ch = one[h]
+            l2, l1, l0 = weights[min(int(np.ceil(np.log2(ch + 1))), lm_scoring.BUCKETS - 1)]
+            total += np.log10((l2 * two[h, w] / ch if ch else 0) + (l1 + (0 if ch else l2)) * one[w] / n + l0 / (v + 1))
+        want[i, round(total, 6)] += 1
+    assert got == want
+    # What is learned from: each token of the development fold once, by the counts of the others.
+    (cells, v_in), rest = seen[0], Counter(w for i, t in texts if fold(i) not in (2, 6) for w in t)
+    assert cells[:, 3].sum() == sum(len(t) - 1 for i, t in texts if fold(i) == 6) and v_in == len(rest) - 1
+
+
+def test_counts_beyond_32_bits():
+    counts = np.array([1, 2**32 + 5, 3], np.int64)
+    assert lm_scoring._counts_in(lm_scoring._counts_out(counts), 3).tolist() == counts.tolist()
+    assert len(lm_scoring._counts_out(np.array([255]))) == 1 and len(lm_scoring._counts_out(np.array([256]))) == 2 and lm_scoring._counts_out(np.zeros(0, np.int64)) == b""
+    most = 2**53 + 1
+    assert lm_scoring.added(np.array([0, 0, 1]), np.array([most, 2, 4]), 2).tolist() == [most + 2, 4]
+
+
 def test_mixture_weights():
     cells = np.array([[3, 0.5, 0.1, 90.0], [3, 0.0, 0.1, 10.0], [5, 0.0, 0.2, 50.0]])
     w = lm_scoring.learned(cells, 100)
