@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,8 @@ from .words import blank_separated, slices
 CAPACITY = 4096
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Pieces, at most on average, of a part of one length that is ranked in one task.
+PART_PIECES = 500_000
 #: Distinct runs whose ids a worker remembers at most; beyond that it starts anew.
 REMEMBERED = 700_000
 
@@ -172,49 +175,54 @@ def reduced(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     {j} is best if nothing fits, and {j, k} dominates every other filling if
     k = R, if no two other pieces fit together, or if no three do and no two
     that fit are larger than k together (k can take the place of both).
+
+    Taking pieces away only takes fillings away, so a set that dominates goes on to do
+    so until its j or k run out. Each step therefore fixes all of them at once: there
+    are at most two steps a length, however many pieces there are.
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
+    lengths = sorted(counts)
+
+    def take(length: int, times: int) -> None:
+        counts[length] -= times
+        if not counts[length]:
+            del counts[length]
+            lengths.pop(bisect_left(lengths, length))
+
+    def others(j: int, n: int) -> int:
+        """Pieces of length n other than one j."""
+        return counts[n] - (n == j)
+
     changed = True
     while changed:
         changed = False
-        for j in sorted(counts, reverse=True):
+        for j in reversed(lengths.copy()):
             while counts.get(j):
                 room = capacity - j
-                others = {n: c - (n == j) for n, c in counts.items() if n <= room and c - (n == j) > 0}
-                if not others:
-                    times = counts[j] if 2 * j > capacity or counts[j] == 1 else 1
-                    fixed.append(((j,), times))
-                    _take(counts, j, times)
-                    changed = True
-                    continue
-                k = max(others)
-                small = []
-                for n in sorted(others):
-                    small += [n] * min(others[n], 3 - len(small))
-                    if len(small) == 3:
+                fit = bisect_right(lengths, room) - 1
+                if fit >= 0 and not others(j, lengths[fit]):
+                    fit -= 1
+                if fit < 0:
+                    found, times = (j,), counts[j]
+                else:
+                    k = lengths[fit]
+                    small: list[int] = []
+                    for n in lengths[: fit + 1]:
+                        small += [n] * min(others(j, n), 3 - len(small))
+                        if len(small) == 3:
+                            break
+                    pair_fits = len(small) > 1 and small[0] + small[1] <= room
+                    triple_fits = len(small) > 2 and sum(small) <= room
+                    if k != room and pair_fits and (triple_fits or _best_pair({n: others(j, n) for n in lengths[: fit + 1] if others(j, n)}, room) > k):
                         break
-                pair_fits = len(small) > 1 and small[0] + small[1] <= room
-                triple_fits = len(small) > 2 and sum(small) <= room
-                if k != room and pair_fits and (triple_fits or _best_pair(others, room) > k):
-                    break
-                times = counts[j] // 2 if k == j else min(counts[j], counts[k])
-                if k != room and pair_fits:
-                    times = 1  # the pairs left change with each step
-                elif k != room and k in small:
-                    times = 1
-                fixed.append(((j, k), times))
-                _take(counts, j, times)
-                _take(counts, k, times)
+                    found, times = (j, k), counts[j] // 2 if k == j else min(counts[j], counts[k])
+                fixed.append((found, times))
+                for n in found:
+                    take(n, times)
                 changed = True
     return fixed
 
 
-def _take(counts: dict[int, int], length: int, times: int) -> None:
-    counts[length] -= times
-    if not counts[length]:
-        del counts[length]
-
-
 def _best_pair(others: dict[int, int], room: int) -> int:
     """Largest sum of two pieces that fit together."""
     lengths = sorted(others)
@@ -300,7 +308,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     if not runs:
         return cut.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     # Rank within a length: pieces of one length are dealt to parts, so that no length is sorted in one task.
-    parts = max(8, 2 * partitions(spark))
+    parts = max(8, 2 * partitions(spark), -(-sum(histogram.values()) // PART_PIECES))
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).alias("_part")
     dealt = cut.select("*", part)
     before = (
@@ -314,7 +322,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         .withColumn("_rank", F.col("_before") + F.col("_place"))
     )
     runs.sort(key=lambda r: (r.length, r.rank))
-    # At most two groups arise for each length and step of the reduction, so the plan's size depends on the capacity alone.
+    # Each length has at most two steps of the reduction and two new groups of the best fit: some runs for each of at most `capacity` lengths.
     table = spark.sparkContext.broadcast(np.array([(r.length, r.rank, r.first, r.each, r.offset) for r in runs], dtype=np.int64))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -299,6 +299,14 @@ def test_dominance_never_costs_a_bin():
         assert set(places.values()) == {1} and Counter(n for n, _ in places) == counts
 
 
+def test_plan_does_not_grow_with_the_documents():
+    rng = random.Random(7)
+    mixed = {n: rng.randint(1, 9) for n in rng.sample(range(1, 4097), 900)}
+    for kinds in ({2500: 1, 1500: 1, 700: 1, 800: 1}, mixed):
+        runs = [len(packing.plan({n: c * times for n, c in kinds.items()})) for times in (1000, 10_000, 100_000)]
+        assert max(runs) <= 8 * len(kinds) and max(runs) <= min(runs) + len(kinds)
+
+
 ITEMS = [(1, "One two, THREE four five six seven eight nine ten eleven twelve"), (2, "alpha beta gamma"), (3, None), (4, "..."), (5, "one two three four five six seven eight nine ten"), (6, "alpha beta gamma")]
 
 
