@@ -1,17 +1,20 @@
 """Document quality by hierarchical empirical Bayes.
 
 A logistic regression on surface features gives each document's own log-odds; it
-is fitted on at most ``LABELS`` labelled documents. Its posteriors are summed by
-host (the source) and path (source and language). The strength of the prior is
-estimated from how much hosts differ beyond what their sizes explain; hosts
-shrink towards the global rate and paths towards their host, so that sparse sites
-follow the wider group. A document's final log-odds are its own plus what its
-path's rate adds to the global one.
+is fitted on at most ``LABELS`` labelled documents. Posteriors are summed by host
+(the source) and path (source and language). The strength of the prior is
+estimated from how much hosts differ beyond what the spread within them explains;
+hosts shrink towards the global rate and paths towards their host, so that sparse
+sites follow the wider group. Posteriors under these rates give new sums, for some
+rounds. A document's final log-odds are its own plus what its path's rate adds to
+the global one.
 
 Nulls: a null text has the features of the empty text; null sources or languages
-are groups of their own. Repeated rows are scored one by one. Without labels of
-both kinds the features are not used and every document has the log-odds 0.
-Extra columns are passed by.
+are groups of their own; a null id has no label. Repeated rows are scored one by
+one; an id with several labels is good if one of them says so, and of several
+texts with a labelled id the one with the least features is learned from. Without
+labels of both kinds the features are not used and every document has the log-odds
+0. An empty table gives no rows. Extra columns are passed by.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
@@ -28,6 +32,9 @@ from .words import blank_separated, raw_texts, slices
 
 #: Labelled documents that the regression is fitted on, at most: those with the least hash of their id.
 LABELS = 20_000
+#: Width of the cells of log-odds that groups are counted by, and rounds of new rates.
+CELL = 0.25
+ROUNDS = 4
 FEATURES = ("words", "length", "types", "types_by_words", "symbols", "digits", "capitals", "marks")
 
 
@@ -84,13 +91,68 @@ def fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarr
     return mean, scale, w
 
 
+def labelled_sample(rows: DataFrame, labels: DataFrame, most: int = LABELS) -> pd.DataFrame:
+    """At most ``most`` labelled documents (doc_id, x, quality): those with the least hash of their id.
+
+    Which hashes are low enough follows from how many labelled documents there are, so
+    that tasks send no more than the sample, and a few to be sure that it is full.
+    """
+    told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    labelled = written(rows.join(told, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality")).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)), "quality-labelled")
+    n = labelled.count()
+    wanted = most + 6 * most**0.5 + 10
+    low = labelled if n <= wanted else labelled.where(F.col("h") < F.lit(int(wanted / n * 2**63)))
+    return low.toPandas().sort_values(["h", "doc_id"]).head(most)  # about `most` rows
+
+
+def _logit(p: Column) -> Column:
+    inside = F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
+    return F.log(inside / (1 - inside))
+
+
+def _good(own: Column, rate: Column, m: float) -> Column:
+    """Posterior of a document whose own log-odds hold for the global rate ``m``, under a group's rate."""
+    return 1 / (1 + F.exp(-(own + _logit(rate) - F.lit(float(np.log(m / (1 - m)))))))
+
+
+def rates(scored: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """(g_host, g_path, host_rate, path_rate) of every group, and the global rate, by grouped aggregation.
+
+    A group is held as its counts by cells of its documents' log-odds, a bounded number
+    each. A round takes the posteriors under the rates so far, adds them up by path and
+    host, and shrinks: hosts to the global rate, paths to their host. How strongly is
+    told by how much hosts differ beyond what the spread within them explains.
+    """
+    cell = F.round(F.col("own") / CELL).cast("int")
+    groups = scored.groupBy("host", "path", cell.alias("cell")).agg(F.count("*").alias("n")).groupBy("host", "path").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    groups = written(groups, "quality-groups")
+    add = lambda of: F.aggregate("cells", F.lit(0.0), lambda total, c: total + of(c))
+    first = groups.agg(F.sum(add(lambda c: c["n"] / (1 + F.exp(-c["cell"] * CELL)))).alias("s"), F.sum(add(lambda c: c["n"].cast("double"))).alias("n")).first()
+    m = min(max(first["s"] / first["n"], 1e-4), 1 - 1e-4) if first["n"] else 0.5
+    rated = groups.withColumn("path_rate", F.lit(m))
+    for _ in range(rounds):
+        p = lambda c: _good(c["cell"] * CELL, F.col("path_rate"), m)  # noqa: E731, B023
+        paths = rated.select(
+            "host", "path", "cells", add(lambda c: c["n"].cast("double")).alias("n"), add(lambda c: c["n"] * p(c)).alias("s"), add(lambda c: c["n"] * p(c) * p(c)).alias("q")  # noqa: B023
+        )
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum("q").alias("host_q"))
+        rate = F.col("host_s") / F.col("host_n")
+        t = hosts.agg(
+            F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_n")).alias("inverse"), (F.sum(F.col("host_q") - F.col("host_s") * rate) / F.greatest(F.sum(F.col("host_n") - 1), F.lit(1.0))).alias("within")
+        ).first()
+        within = max(float(t["within"] or 0), 1e-9)
+        between = max(float(t["v"] or 0) - within * float(t["inverse"] or 0), 1e-6)
+        strength = min(max(within / between, 1.0), 1e6)
+        shrunk = hosts.select(F.col("host").alias("_host"), ((F.col("host_s") + m * strength) / (F.col("host_n") + strength)).alias("host_rate"))
+        both = paths.join(shrunk, F.col("host").eqNullSafe(F.col("_host")))
+        rated = written(both.select("host", "path", "cells", "host_rate", ((F.col("s") + F.col("host_rate") * strength) / (F.col("n") + strength)).alias("path_rate")), "quality-rates")
+    return rated.select(F.col("host").alias("g_host"), F.col("path").alias("g_path"), "host_rate", "path_rate"), m
+
+
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Posterior of good quality of every document, and what it was made of."""
     rows = written(featured(docs), "quality-features")
-    sample = (
-        rows.join(labels.where("quality IS NOT NULL").select("doc_id", "quality").dropDuplicates(["doc_id"]), "doc_id")
-        .select("doc_id", "x", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS).toPandas()
-    )
+    sample = labelled_sample(rows, labels)
     own = F.lit(0.0)
     if sample["quality"].nunique() == 2:
         mean, scale, w = fitted(np.array(sample["x"].tolist()), sample["quality"].to_numpy(float))
@@ -98,25 +160,10 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
             own = own + (F.get("x", i) - float(mean[i])) * float(w[i + 1] / scale[i])
         own = own + float(w[0])
     own = F.least(F.greatest(own, F.lit(-12.0)), F.lit(12.0))
-    scored = rows.select("doc_id", "host", "path", own.alias("own")).withColumn("p", 1 / (1 + F.exp(-F.col("own"))))
-
-    paths = scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"))
-    # Moments over hosts: the variance of their rates beyond what m (1 - m) / n explains gives the prior's strength.
-    rate = F.col("host_s") / F.col("host_n")
-    t = hosts.agg(F.sum("host_s").alias("s"), F.sum("host_n").alias("n"), F.count("*").alias("hosts"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_n")).alias("inverse")).first()
-    n, s = float(t["n"] or 0), float(t["s"] or 0)
-    m = min(max(s / n, 1e-4), 1 - 1e-4) if n else 0.5
-    between = max(float(t["v"] or 0) - m * (1 - m) * float(t["inverse"] or 0), 1e-6)
-    strength = min(max(m * (1 - m) / between - 1, 1.0), 1e6)
-    shrunk = hosts.withColumn("host_rate", (F.col("host_s") + m * strength) / (F.col("host_n") + strength)).select(F.col("host").alias("h"), "host_rate")
-    rated = paths.join(shrunk, F.col("host").eqNullSafe(F.col("h"))).select(
-        F.col("host").alias("g_host"), F.col("path").alias("g_path"), "host_rate", ((F.col("s") + F.col("host_rate") * strength) / (F.col("n") + strength)).alias("path_rate")
-    )
-    logit = lambda p: F.log(F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4)) / (1 - F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))))
+    scored = rows.select("doc_id", "host", "path", own.alias("own"))
+    rated, m = rates(scored)
     both = scored.join(rated, F.col("host").eqNullSafe(F.col("g_host")) & F.col("path").eqNullSafe(F.col("g_path")))
-    final = F.col("own") + logit(F.col("path_rate")) - F.lit(float(np.log(m / (1 - m))))
     return both.select(
         "doc_id", F.col("host").alias("source"), F.col("path").alias("lang"), F.col("own").alias("document_logit"), "host_rate", "path_rate",
-        (1 / (1 + F.exp(-final))).alias("posterior"),
+        _good(F.col("own"), F.col("path_rate"), m).alias("posterior"),
     ).withColumn("kept", F.col("posterior") >= 0.5)

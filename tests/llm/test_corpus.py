@@ -412,6 +412,58 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classified(empty, labels).count() == 0
 
 
+def test_labelled_sample_is_bounded(spark):
+    rows = spark.createDataFrame([(i, [float(i or 0)]) for i in [*range(3000), 7, 7, None]], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(i, (i or 0) % 2) for i in [*range(3000), 7, 8, None]] + [(8, 1), (5, None)], "doc_id long, quality int")
+    got = quality_classifier.labelled_sample(rows, labels, 200)
+    every = quality_classifier.labelled_sample(rows, labels, 5000)
+    assert len(got) == 200 and len(every) == 3000 and got["doc_id"].tolist() == every["doc_id"].tolist()[:200]
+    assert every.set_index("doc_id").loc[8, "quality"] == 1
+
+
+def test_fusion_by_host_and_path(spark):
+    """Rates and posteriors against brute force, and better verdicts where a document says little about itself."""
+    rng = random.Random(12)
+    rows, truth = [], {}
+    for host in range(120):
+        rate = rng.choice([0.03, 0.97])
+        for _ in range(rng.choice([3, 6, 40])):
+            good = rng.random() < rate
+            junk = sum(rng.random() < (0.35 if good else 0.5) for _ in range(12))
+            text = " ".join(["word"] * (60 - junk) + ["w###"] * junk)
+            truth[len(rows)] = good
+            rows.append((len(rows), text, rng.choice(["en", "fr", None]), None if host == 0 else f"h{host}", "clash", "clash"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string, posterior string")
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(0, len(rows), 5)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_classifier.classified(table, labels).collect()}
+    assert len(got) == len(rows)
+    logit = lambda x: np.log(x / (1 - x))
+    cell = {i: np.floor(r["document_logit"] / 0.25 + 0.5) * 0.25 for i, r in got.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    m = np.mean([sigmoid(x) for x in cell.values()])
+    group = {i: (source, lang) for i, _, lang, source, *_ in rows}
+    path_rate = dict.fromkeys(group.values(), m)
+    for _ in range(quality_classifier.ROUNDS):
+        hosts, paths = {}, {}
+        for i, x in cell.items():
+            p = sigmoid(x + logit(path_rate[group[i]]) - logit(m))
+            hosts.setdefault(group[i][0], []).append(p)
+            paths.setdefault(group[i], []).append(p)
+        within = sum(len(v) * np.var(v) for v in hosts.values()) / sum(len(v) - 1 for v in hosts.values())
+        between = np.var([np.mean(v) for v in hosts.values()]) - within * np.mean([1 / len(v) for v in hosts.values()])
+        strength = min(max(within / max(between, 1e-6), 1), 1e6)
+        host_rate = {h: (sum(v) + m * strength) / (len(v) + strength) for h, v in hosts.items()}
+        path_rate = {g: (sum(v) + host_rate[g[0]] * strength) / (len(v) + strength) for g, v in paths.items()}
+    for i, g in group.items():
+        want = sigmoid(got[i]["document_logit"] + logit(path_rate[g]) - logit(m))
+        assert got[i]["host_rate"] == pytest.approx(host_rate[g[0]]) and got[i]["path_rate"] == pytest.approx(path_rate[g]) and got[i]["posterior"] == pytest.approx(want)
+    held = [i for i in got if i % 5 and len(hosts[rows[i][3]]) <= 6]
+    alone = np.mean([(got[i]["document_logit"] >= 0) == truth[i] for i in held])
+    fused = np.mean([got[i]["kept"] == truth[i] for i in held])
+    print("sparse hosts, held out:", len(held), "alone", alone, "fused", fused)
+    assert fused > alone
+
+
 def test_languages(spark, docs, empty):
     texts = {"en": "the cat and the dog went to the house of the queen", "fr": "le chat et le chien sont allés dans la maison de la reine"}
     rows = [(i, texts[["en", "fr"][i % 2]], ["en", "fr"][i % 2] if i % 3 else None, "web") for i in range(60)]
