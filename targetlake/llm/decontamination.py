@@ -8,14 +8,14 @@ words none is missed. Shared fingerprints are extended to the windows around
 them, and a document word inside a matching window is hit. Items of fewer words
 than a window are one window of their own length, winnowed with w = 1.
 
-The benchmark is a stated query set. Its windows are cut into blocks of at most
-``BLOCK_WINDOWS``, each broadcast and joined to the fingerprints of all
-documents in one pass over them; the hits of several blocks are merged by
-document.
+The benchmark is a stated query set. Long items are cut into overlapping segments,
+and all into blocks of about ``BLOCK_WINDOWS`` windows. One block at a time is
+fetched, broadcast, joined to the fingerprints of all documents in one pass over
+them, and released; the hits of several blocks are written and merged by document.
 
 Nulls and texts without words have no hits and match nothing; repeated rows are
 reported one by one; items with equal texts are all named. An empty benchmark
-hits nothing. Extra columns are passed by.
+hits nothing; an empty table gives no rows. Extra columns are passed by.
 """
 
 from __future__ import annotations
@@ -25,16 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .words import alphanumeric, slices
 
 WINDOW = 10
 GRAM = 5
 #: Windows of the benchmark that one broadcast holds; each takes about 40 bytes.
 BLOCK_WINDOWS = 1_000_000
-DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: Windows of an item's segment, at most.
+SEGMENT = 50_000
 
 
 def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
@@ -128,22 +131,31 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def segments(benchmark: DataFrame, most: int = SEGMENT) -> DataFrame:
+    """(item_id, text, n): items as words with single blanks, each in parts of at most ``most`` windows, all windows of an item in one of them."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.array_remove(F.split(F.translate("text", upper, lower), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    worded = benchmark.select("item_id", words.alias("words")).where(F.size("words") > 0)
+    n = F.greatest(F.size("words") - WINDOW + 1, F.lit(1))
+    part = F.slice("words", F.col("at") * most + 1, F.lit(most + WINDOW - 1))
+    cut = worded.withColumn("at", F.explode(F.sequence(F.lit(0), F.ceil(n / most).cast("int") - 1)))
+    return cut.select("item_id", F.array_join(part, " ").alias("text"), F.least(n - F.col("at") * most, F.lit(most)).cast("long").alias("n"))
+
+
 def _blocks(benchmark: DataFrame, block_windows: int) -> list[DataFrame]:
-    """The benchmark in parts of about ``block_windows`` windows at most."""
-    windows = benchmark.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0  # a window is longer than a character
-    parts = max(1, -(-int(windows) // block_windows))
-    if parts == 1:
-        return [benchmark]
+    """The benchmark's segments in parts of about ``block_windows`` windows."""
+    cut = segments(benchmark, min(SEGMENT, block_windows))
+    windows = cut.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = max(1, -(-windows // block_windows))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
-    return [benchmark.where(part == i) for i in range(parts)]
+    return [cut.where(part == i) if parts > 1 else cut for i in range(parts)]
 
 
 RUNS = "array<struct<a:bigint,b:bigint>>"
 
 
-def _spans(docs: DataFrame, items: pd.DataFrame) -> DataFrame:
+def _spans(docs: DataFrame, sent: Broadcast) -> DataFrame:
     """(doc_id, text_hash, n_words, runs, items) for one block; a run has the first word that is hit and the one after the last."""
-    sent = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WINDOWS windows
     run = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,13 +185,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDO
 
 def _hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """:func:`hits` with ``text_hash``."""
-    blocks = [b.select("item_id", "text").toPandas() for b in _blocks(benchmark, block_windows)]
+    blocks, context = _blocks(benchmark, block_windows), docs.sparkSession.sparkContext
     if len(blocks) == 1:
-        return _spans(docs, blocks[0])
-    found = None
+        return _spans(docs, context.broadcast(blocks[0].select("item_id", "text").toPandas()))
+    every, found = None, None
     for block in blocks:
-        part = _spans(docs, block).where(F.size("runs") > 0)
-        found = part if found is None else found.unionByName(part)
+        sent = context.broadcast(block.select("item_id", "text").toPandas())  # about block_windows windows
+        part = _spans(docs, sent)
+        part = written(part if every is None else part.where(F.size("runs") > 0), "benchmark-hits")
+        sent.destroy()
+        every = part.select("doc_id", "text_hash", "n_words") if every is None else every
+        found = part.where(F.size("runs") > 0) if found is None else found.unionByName(part)
     # Equal rows have equal hits, so they may meet in one group.
     merged = found.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.flatten(F.collect_set("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
@@ -192,7 +208,6 @@ def _hits(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WIND
         return F.when(F.size(out) == 0, F.array(x)).when(last["b"] >= x["a"], longer).otherwise(F.concat(out, F.array(x)))
 
     union = merged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.aggregate("runs", F.array().cast(RUNS), joined).alias("runs"), "items")
-    every = _spans(docs, blocks[0].iloc[:0]).select("doc_id", "text_hash", "n_words")
     both = every.join(union, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     return both.select("doc_id", "text_hash", "n_words", F.coalesce("runs", F.array().cast(RUNS)).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

@@ -333,6 +333,12 @@ def test_decontamination(spark, docs, rows, empty):
     whole = decontamination.hits(all_docs, benchmark).select("doc_id", "n_words", F.col("runs").cast("string"), F.col("items").cast("string"))
     parts = decontamination.hits(all_docs, benchmark, block_windows=20).select("doc_id", "n_words", F.col("runs").cast("string"), F.col("items").cast("string"))
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, parts.collect()))
+    long_item = spark.createDataFrame([(7, " ".join(f"L{k}" for k in range(64)) + "; One two three four five six seven eight nine TEN eleven"), (8, None), (9, "Two words")], "item_id long, text string")
+    cut = decontamination.segments(long_item, 20).collect()
+    windows = Counter(w for r in cut for w in (lambda x: [" ".join(x[k : k + 10]) for k in range(max(len(x) - 9, 1))])(r["text"].split()))
+    assert sum(r["n"] for r in cut) == 67 and set(windows.values()) == {1} and len(windows) == 67 and windows["two words"] == 1
+    assert {r["doc_id"] for r in decontamination.hits(all_docs, long_item, block_windows=20).where("size(runs) > 0").collect()} == {900}
+    assert decontamination.decontaminated(all_docs.withColumn("doc_id", F.lit(None).cast("long")), benchmark).where("text LIKE 'zz one two three four five six seven eight nine ten%'").count() == 0
     assert decontamination.digest(empty, benchmark).count() == 0
     assert not decontamination.digest(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count()
     assert decontamination.decontaminated(all_docs, benchmark).where("doc_id = 900").count() == 0
