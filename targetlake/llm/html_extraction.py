@@ -15,7 +15,10 @@ reader comments are left out wherever they stand, by tag, role, class or id.
 
 Nulls: a null page has no text; a null or odd address is a host of its own kind
 (the empty host). Repeated rows vote and are returned one by one. Pages may end
-inside a tag or comment. Extra columns are passed by.
+inside a tag or comment, and elements may stay open to any number: containers
+deeper than ``DEPTH`` count as their ancestor there, as browsers flatten them too,
+and every step costs the same however many are open. An empty table gives no rows.
+Extra columns are passed by.
 """
 
 from __future__ import annotations
@@ -43,21 +46,29 @@ MATH = frozenset(
     "mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics".split()
 )
 INLINE |= MATH
-RAW = frozenset("script style noscript template textarea title svg annotation annotation-xml iframe object select canvas".split())
+RAW = frozenset("script style textarea title noscript template svg annotation annotation-xml iframe object select canvas".split())
+#: Of these, the ones that reach to the end of the page if they aren't ended; of the others the tag alone is left out then.
+TO_THE_END = frozenset("script style textarea title".split())
 LEFT_OUT = frozenset("nav header footer aside form button dialog menu head".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th figcaption caption".split())
 #: A start tag that ends an open element of these names.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|aside|widget\w*|"
+    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|footer|side-?bar|aside|widget\w*|"
     r"cookies?\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|newsletter|subscri\w*|comments?\w*|disqus\w*|respond|replies|repl(?:y|ies)|share|sharing|social\w*|related|recommend\w*)(?=$|[-_\s])",
     re.I,
 )
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
+#: Names that are left out of a page but not of an article, whose own header holds its title.
+HEADERS = re.compile(r"(?:^|[-_\s])(?:header|masthead)(?=$|[-_\s])", re.I)
+#: Quotes count after an equals sign alone: an apostrophe elsewhere in a tag is a letter like others.
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*)(?:>|\Z)|([^<]+|<)", re.S)
 #: The end of an empty tag's attributes; a slash that ends an unquoted value is not one.
 _EMPTY = re.compile(r"(?<!=)(?:^|[\s\"'])/\Z|(?:^|\s)[^\s=\"'/]+/\Z")
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
+#: Nested containers that are told apart, and characters of a class name.
+DEPTH = 256
+CLASS_LENGTH = 60
 
 
 class Block:
@@ -69,100 +80,133 @@ class Block:
         self.text, self.path, self.links = text, path, links
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without what is left out."""
-    out: list[Block] = []
-    open_: list[tuple[str, str, bool]] = []  # name, label, whether it is left out
-    text: list[str] = []
-    links = hidden = in_link = 0
-
-    def flush() -> None:
-        nonlocal links
-        if text:
-            words = " ".join("".join(text).split())
+class _Open:
+    """An open element: ``path`` of its containers, whether it is left out, and whether an end tag has met it already."""
+
+    __slots__ = ("closed", "depth", "left_out", "name", "path")
+
+    def __init__(self, name: str, path: str, depth: int, left_out: bool):
+        self.name, self.path, self.depth, self.left_out, self.closed = name, path, depth, left_out, False
+
+
+class _Page:
+    """The state of reading a page: open elements, found by name and by place, and the text since the last boundary."""
+
+    def __init__(self) -> None:
+        self.found: list[Block] = []
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements of each name
+        self.outer: list[int] = []  # places of the open elements that aren't inline
+        self.text: list[str] = []
+        self.links = self.hidden = 0
+
+    def flush(self) -> None:
+        if self.text:
+            words = " ".join("".join(self.text).split())
             if words:
-                out.append(Block(words, ">".join(label for _, label, _ in open_ if label), links))
-            text.clear()
-        links = 0
+                self.found.append(Block(words, self.open[-1].path if self.open else "", self.links))
+            self.text.clear()
+        self.links = 0
+
+    def say(self, piece: str) -> None:
+        if not self.hidden:
+            self.text.append(piece)
+            if self.places.get("a"):
+                self.links += len(piece)
+
+    def end(self, element: _Open) -> None:
+        """Take an element's effect away once."""
+        if not element.closed:
+            element.closed = True
+            self.hidden -= element.left_out
+            self.places[element.name].pop()
+
+    def close(self, place: int) -> None:
+        """End all elements from this place on."""
+        while len(self.open) > place:
+            self.end(self.open.pop())
+        while self.outer and self.outer[-1] >= place:
+            self.outer.pop()
+
+    def ended(self, name: str) -> None:
+        """An end tag: of the last open element of its name, if there is one."""
+        places = self.places.get(name)
+        if not places:
+            return
+        if name not in INLINE:
+            self.flush()
+            self.close(places[-1])
+        elif places[-1] == len(self.open) - 1:
+            self.close(places[-1])
+        else:  # an inline end inside other elements ends itself alone
+            self.end(self.open[places[-1]])
+
+    def start(self, name: str, attributes: str) -> None:
+        """A start tag."""
+        names = role = ""
+        if attributes.strip():
+            for key, *values in _ATTRIBUTE.findall(attributes):
+                key = key.lower()
+                if key == "role":
+                    role = "".join(values).lower()
+                elif key in ("class", "id"):
+                    names = f"{names} {''.join(values)}"
+        if name not in INLINE:
+            self.flush()
+            if name not in ("html", "body"):
+                ended = ENDS.get(name, {"p"})
+                while self.outer and self.open[self.outer[-1]].name in ended:
+                    self.close(self.outer[-1])
+        in_article = bool(self.places.get("article"))
+        left_out = name in LEFT_OUT and not (name == "header" and in_article) or role in ROLES
+        if names and name not in ("html", "body", "article", "main"):
+            left_out = left_out or bool(NAMES.search(names)) or not in_article and bool(HEADERS.search(names))
+        above = self.open[-1] if self.open else None
+        path, depth = (above.path, above.depth) if above else ("", 0)
+        if name not in INLINE and name not in LEAVES and depth < DEPTH:
+            first = names.split()[:1]
+            label = name + ("." + re.sub(r"[\d>]+", "#", first[0][:CLASS_LENGTH]) if first else "")
+            path, depth = f"{path}>{label}" if path else label, depth + 1
+        place = len(self.open)
+        self.open.append(_Open(name, path, depth, left_out))
+        self.places.setdefault(name, []).append(place)
+        if name not in INLINE:
+            self.outer.append(place)
+        self.hidden += left_out
 
-    def close(upto: int) -> None:
-        nonlocal hidden, in_link
-        while len(open_) > upto:
-            name, _, left_out = open_.pop()
-            hidden -= left_out
-            in_link -= name == "a"
 
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order, without what is left out."""
+    state = _Page()
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
         if m[4] is not None:
-            if not hidden:
-                piece = entities.unescape(m[4])
-                text.append(piece)
-                if in_link:
-                    links += len(piece)
+            if not state.hidden:
+                state.say(entities.unescape(m[4]))
             continue
         if m[2] is None:
             continue
         name = m[2].lower()
-        if name in VOID:
-            if name == "hr":
-                flush()
-            elif not hidden:
-                text.append(" ")
-            continue
         if m[1]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    if name not in INLINE:
-                        flush()
-                        close(i)
-                    elif i == len(open_) - 1:
-                        close(i)
-                    else:  # an inline end inside other elements ends itself alone
-                        _, _, left_out = open_.pop(i)
-                        hidden -= left_out
-                        in_link -= name == "a"
-                    break
-            continue
-        if (name in MATH or name in ("svg", "annotation", "annotation-xml")) and _EMPTY.search(m[3]):
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            state.ended(name)
+        elif name in VOID:
+            if name == "hr":
+                state.flush()
+            else:
+                state.say(" ")
+        elif (name in MATH or name in ("svg", "annotation", "annotation-xml")) and _EMPTY.search(m[3]):
             continue
-        names = role = ""
-        if m[3].strip():
-            for key, *values in _ATTRIBUTE.findall(m[3]):
-                value = "".join(values)
-                if key.lower() == "role":
-                    role = value.lower()
-                else:
-                    names = f"{names} {value}"
-        if name not in INLINE:
-            flush()
-            if name not in ("html", "body"):
-                ended = ENDS.get(name, {"p"})
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] in ended:
-                        close(i)
-                    elif open_[i][0] not in INLINE:
-                        break
-        left_out = name in LEFT_OUT or role in ROLES or (name not in ("html", "body", "article", "main") and bool(names) and bool(NAMES.search(names)))
-        if name == "header" and any(n == "article" for n, _, _ in open_):
-            left_out = role in ROLES  # an article's own header holds its title
-        label = ""
-        if name not in INLINE and name not in LEAVES:
-            first = names.split()[:1]
-            label = name + ("." + re.sub(r"\d+", "#", first[0]) if first else "")
-        open_.append((name, label, left_out))
-        hidden += left_out
-        in_link += name == "a"
-        if not m[0].endswith(">"):
-            break
-    flush()
-    return out
+        elif name in RAW:
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else size if name in TO_THE_END else at
+        else:
+            state.start(name, m[3])
+            if not m[0].endswith(">"):
+                break
+    state.flush()
+    return state.found
 
 
 def container_scores(found: list[Block]) -> dict[str, float]:

@@ -1,5 +1,7 @@
 """HTML extraction on small pages."""
 
+import random
+
 from targetlake.llm import html_extraction as h
 
 PAGE = (
@@ -40,3 +42,70 @@ def test_whole_article_is_kept(spark):
     lead, body = lead.strip(), body.strip()
     assert got["a"] == f"{lead}\n\n{body}" and got["b"] == f"Title\n\n{lead}\n\n{body}\n\n{body}" and got["c"] == f"{lead}\n\n{body}\n\n{body}"
     assert got["d"].startswith(f"{lead}\n\n{body}") and "out" not in got["d"] and got["e"] == "one two three x=5 four"
+
+
+def random_page(rng, template, words):
+    """A page of a host's template and the text that it should give."""
+    said = []
+
+    def prose():
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(8, 40)))
+        said.append(text)
+        first, rest = text.split(" ", 1)
+        return rng.choice([f"<p title=it's>{text}", f"<P CLASS='body txt' data-class=ad>{text}</P>", f"<p>{first} <b><i>{rest}</b></i></p>", f"<p>{first}&nbsp;\n {rest}</p>", f"<p>{text}"])
+
+    def noise():
+        return rng.choice(["<nav><ul><li><a href=/>menu</a></ul></nav>", "<aside>side <div>deep</div></aside>", "<div class='ad box'>buy</div>", "<script>if (a < b) '<p>no</p>'</script>", "<form>mail <input></form>", "<!-- <p>no</p> -->", "<style>p {}</style>", "<div id=comments><p>reader</div>", "<div role=navigation>x</div>", "<div class=cookie-notice>ok</div>"])
+
+    def body(depth):
+        out = []
+        for _ in range(rng.randint(1, 3)):
+            kind = rng.random()
+            if kind < 0.25:
+                out.append(noise())
+            if kind < 0.5 and depth < 4:
+                name, extra = rng.choice([("div", " class=part7"), ("section", ""), ("div", ""), ("section", ' class="s x"')])
+                out.append(f"<{name}{extra}>{body(depth + 1)}</{name}>")
+            else:
+                out.append(prose())
+        return "".join(out)
+
+    inner = body(0) + "<div class=text>" + "".join(prose() for _ in range(4)) + "</div>"
+    title = "Title of " + rng.choice(words)
+    said.insert(0, title)
+    start, end = template
+    header = "<div class=entry-header><h1>" if "<article" in start else "<h1>"
+    page = f"<html><head><title>no</title></head><body><header><h2>Site</h2></header>{noise()}{start}{header}{title}</h1>{'</div>' if 'div' in header else ''}{inner}{end}{noise()}<footer>&copy;</footer>"
+    return page + rng.choice(["", "</body></html>", "</body>", "<div><div>" + "<div class='sidebar'>"]), "\n\n".join(said)
+
+
+def test_generated_pages(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    templates = [("<article>", "</article>"), ("<main><div class=c><article class='post-1'>", "</article></div></main>"), ("<main>", "</main>"), ("<div class='page p12'>", "</div>"), ("<div id=x><div class=story>", "</div></div>")]
+    rows, want = [], {}
+    for i in range(300):
+        page, text = random_page(rng, templates[i % 5], words)
+        rows.append((i, f"https://host{i % 5}.example:80/{i}", page, "clash"))
+        want[i] = text
+    table = spark.createDataFrame(rows + [(300, None, None, None)], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in h.extract(table).collect()}
+    assert got.pop(300) == "" and [i for i in want if got[i] != want[i]] == []
+
+
+def test_pages_with_very_many_open_tags():
+    n = 100_000
+    for page, text in (("<div>" * n + "x", 1), ("<div>x" * n, n), ("<b>" * n + "<div>x</div>" * n, n), ("<li><div>" + "<i>" * n + "<li>x</li>" * n, n), ("x</i>" * n, n), ("<i>" * n + "x</b>" * n, n)):
+        found = h.blocks(page)
+        assert sum(len(b.text) for b in found) == text and len({b.path for b in found}) <= h.DEPTH + 1
+        assert len("".join(h.extracted(found, None).split())) <= text
+    long = "word " * 2_000_000
+    assert h.extracted(h.blocks(f"<article><p>{long}</article>"), None) == long.strip()
+
+
+def test_quotes_and_unended_elements():
+    read = lambda page: h.extracted(h.blocks(page), None)
+    assert read("<article><p title=it's>first</p><p data-x=\"a>b\">second</p><p x='>'>third</article>") == "first\n\nsecond\n\nthird"
+    assert read("<article>one <svg> two <noscript> three</article>") == "one two three"
+    assert read("<body><div class=header>site</div><article><div class=entry-header><h1>Title</h1></div><p>text<script>end</article>") == "Title\n\ntext"
+    assert read("<article><p title='class=ad'>kept</p><p id=ad>no</p></article>") == "kept"
