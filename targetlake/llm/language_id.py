@@ -11,8 +11,10 @@ hosts follow the larger group.
 
 Nulls: a null text has no likelihood evidence and a null declaration, address or
 host none of its kind; with no evidence at all the global prior decides. Repeated
-rows are counted and returned one by one. A table without any declared language
-gives a null language. Extra columns are passed by.
+rows are counted and returned one by one; of equally probable languages the first
+by name is the answer. A host that is met under two domains is two hosts. A table
+without any declared language gives a null language, an empty one no rows. Extra
+columns are passed by.
 """
 
 from __future__ import annotations
@@ -153,9 +155,9 @@ def identified(rows: DataFrame) -> DataFrame:
     prior = F.array(*[F.lit(float(x)) for x in mass / mass.sum()])
     smooth = lambda s, towards: F.zip_with(s, towards, lambda a, b: (a + b * STRENGTH) / (F.aggregate(s, F.lit(0.0), lambda t, x: t + x) + STRENGTH))
     domains = _sums(seen, ["domain"]).select(F.col("domain").alias("_domain"), smooth(F.col("s"), prior).alias("p_domain"))
-    hosts = _sums(seen, ["host", "domain"]).join(domains, F.col("domain").eqNullSafe(F.col("_domain")), "left").select(
-        F.col("host"), smooth(F.col("s"), F.coalesce("p_domain", prior)).alias("p_host")
-    ).dropDuplicates(["host"])
+    hosts = _sums(seen.where("host IS NOT NULL"), ["host", "domain"]).join(domains, F.col("domain").eqNullSafe(F.col("_domain")), "left").select(
+        F.col("host").alias("_host"), F.col("domain").alias("_host_domain"), smooth(F.col("s"), F.coalesce("p_domain", prior)).alias("p_host")
+    )
 
     def likelihood(column: str) -> DataFrame:
         """log P(value | language): the value's share of each language's mass, smoothed by one row."""
@@ -164,9 +166,10 @@ def identified(rows: DataFrame) -> DataFrame:
         return values.select(column, F.zip_with("s", whole, lambda a, b: F.log((a + 1.0) / (b + 2.0))).alias(f"l_{column}"))
 
     both = seen
-    for column, table in (("declared", likelihood("declared")), ("suffix", likelihood("suffix")), ("host", hosts)):
-        table = table.withColumnRenamed(column, f"_{column}")
+    for column in ("declared", "suffix"):
+        table = likelihood(column).withColumnRenamed(column, f"_{column}")
         both = both.join(table, F.col(column) == F.col(f"_{column}"), "left").drop(f"_{column}")
+    both = both.join(hosts, (F.col("host") == F.col("_host")) & F.col("domain").eqNullSafe(F.col("_host_domain")), "left").drop("_host", "_host_domain")
     zero = F.array(*[F.lit(0.0)] * size)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     logs = add(add(F.col("ll"), F.coalesce("l_declared", zero)), add(F.coalesce("l_suffix", zero), F.transform(F.coalesce("p_host", prior), lambda x: F.log(x))))

@@ -491,3 +491,49 @@ def test_every_declared_language_has_a_model(spark):
     got = language_id.identified(language_id.of_documents(table)).collect()
     assert len(got) == len(rows) + 1 and all(r["language"] == (r["declared"] or "l66") for r in got)
     assert {r["language"] for r in got} == set(vocab)
+
+
+def test_fused_evidence_against_brute_force(spark):
+    rng = random.Random(9)
+    pools = {x: ["".join(rng.choice(letters) for _ in range(4)) for _ in range(12)] for x, letters in (("en", "abcde"), ("fr", "cdefg"), ("xx", "fghié"))}
+    rows = []
+    for i in range(90):
+        true = rng.choice(list(pools))
+        host, domain = rng.choice([("a.x.fr", "x.fr"), ("b.x.fr", "x.fr"), ("y.de", "y.de"), ("a.x.fr", None), (None, None)])
+        text = rng.choice([None, ""]) if i % 17 == 0 else " ".join(rng.choice(pools[true]) for _ in range(rng.randint(1, 6)))
+        declared = rng.choice([true, true, "fr", None, ""])
+        rows.append((i, text, declared, rng.choice(["fr", "de", None]), host, domain))
+    rows += [rows[3], rows[3]]
+    got = language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string, domain string")).collect()
+    langs = sorted({d for _, _, d, *_ in rows if d})
+
+    def grams(text):
+        raw = [c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()]
+        return [(((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) & 0xFFFFFFFF) >> 16 for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)]
+
+    table = np.full((language_id.GRAMS, len(langs)), 0.5)
+    for _, text, declared, *_ in rows:
+        if declared:
+            for g in grams(text):
+                table[g, langs.index(declared)] += 1
+    model = np.log(table / table.sum(axis=0)).astype(np.float32).astype(float)
+    ll = np.array([model[grams(text)].sum(axis=0) if grams(text) else np.zeros(len(langs)) for _, text, *_ in rows])
+    ll = (ll - ll.max(axis=1, keepdims=True)) * language_id.TEMPER
+    normal = lambda x: np.exp(x - x.max(axis=-1, keepdims=True)) / np.exp(x - x.max(axis=-1, keepdims=True)).sum(axis=-1, keepdims=True)
+    post = normal(ll)
+    mass = post.sum(axis=0) + 1
+    prior = mass / mass.sum()
+    total = lambda test: sum((p for p, r in zip(post, rows, strict=True) if test(r)), np.zeros(len(langs)))
+    smooth = lambda s, towards: (s + towards * language_id.STRENGTH) / (s.sum() + language_id.STRENGTH)
+    want = []
+    for k, (i, _, declared, suffix, host, domain) in enumerate(rows):
+        logs = ll[k].copy()
+        for place, value in ((2, declared), (3, suffix)):
+            if value is not None:
+                logs += np.log((total(lambda r: r[place] == value) + 1) / (mass + 2))  # noqa: B023
+        p = prior
+        if host is not None:
+            p = smooth(total(lambda r: r[4:] == (host, domain)), smooth(total(lambda r: r[5] == domain), prior))  # noqa: B023
+        fused = normal(logs + np.log(p))
+        want.append((i, langs[int(fused.argmax())], round(float(fused.max()), 4)))
+    assert sorted((r["doc_id"], r["language"], round(r["probability"], 4)) for r in got) == sorted(want)
