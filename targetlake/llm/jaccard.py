@@ -5,7 +5,10 @@ a Jaccard similarity of 0.75 or more. Documents with equal sets are one class.
 
 Index. Shingle hashes are dealt to buckets, which count in how many classes each
 occurs, and return the shared ones to their sets; shingles of one class can't
-link anything. In the order of these counts a set's prefix of n - ceil(0.75 n) + 1
+link anything. A shingle that many texts of a batch share is sent to its bucket once
+for the batch with its number, and comes back once for each part of the sets, so that
+no bucket gathers a passage that a third of all documents have. The number of buckets
+follows the number of shingles. In the order of these counts a set's prefix of n - ceil(0.75 n) + 1
 shingles must meet the prefix of any set it links with. A posting knows the place
 of its shingle in the set.
 
@@ -22,7 +25,9 @@ and o(x,r) + |b| - o(b,r) at most. Only pairs that the bounds leave open are
 counted. No link between different components is lost.
 
 Hashes: 52 bits within a set for its size, 48 bits in overlaps, 64 bits for equal
-sets; a false match has a probability below one in 10**8 for each pair compared.
+sets. That the overlap of two compared sets of n and m shingles is too large by one
+has a probability of n m / 2**48: 4 in 10**9 for texts of a thousand words, 1.4 in
+10**6 for two of 20,000; that a size is too small by one, of n**2 / 2**53.
 
 Nulls: a null text or one without words has the empty set and links with nothing;
 a null id is returned with a null component and takes part in nothing. Repeated
@@ -44,6 +49,10 @@ from .words import blank_separated, mixed, slices
 
 SHINGLE = 5
 KEY_BITS = 52
+#: Classes of a batch (8 MB or 4000 texts at most) from which on they send a shared shingle once.
+HOT = 16
+#: Shingles, on average at most, of a part of the exchange.
+PART_KEYS = 4_000_000
 
 
 class Sets:
@@ -98,50 +107,64 @@ def set_table(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", "text", *keys).mapInArrow(sets, "doc_id long, n_shingles long, node long" + "".join(f", {k} long" for k in keys))
 
 
-_CHUNK = "part int, nodes binary, sizes binary, counts binary, keys binary, classes binary"
+_CHUNK = "part int, kind int, nodes binary, sizes binary, counts binary, keys binary, classes binary"
+#: Kinds of chunks: postings of sets, numbers of hot shingles, postings of hot shingles.
+PLAIN, HOT_NUMBER, HOT_POSTING = 0, 1, 2
 
 
-def _chunks(part: np.ndarray, parts: int, nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray, keys: np.ndarray, classes: np.ndarray | None) -> pa.RecordBatch:
+def _chunks(kind: int, part: np.ndarray, parts: int, nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray, keys: np.ndarray, classes: np.ndarray | None) -> pa.RecordBatch:
     """Rows of ``_CHUNK``, one for each part that has keys; ``owner`` is each key's index in nodes."""
     order = np.lexsort((owner, part))
     part, owner, keys = part[order], owner[order], keys[order]
     classes = classes[order] if classes is not None else None
-    edges = np.searchsorted(part, np.arange(parts + 1))
-    rows = {k: [] for k in ("part", "nodes", "sizes", "counts", "keys", "classes")}
-    for p in range(parts):
-        a, b = int(edges[p]), int(edges[p + 1])
-        if a == b:
-            continue
+    filled, edges = np.unique(part, return_index=True)
+    rows = {k: [] for k in ("part", "kind", "nodes", "sizes", "counts", "keys", "classes")}
+    for p, a, b in zip(filled.tolist(), edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True):
         own, counts = np.unique(owner[a:b], return_counts=True)
         for name, value in zip(
             rows,
-            (p, nodes[own].tobytes(), sizes[own].astype("<i4").tobytes(), counts.astype("<i4").tobytes(), _packed48(keys[a:b]), classes[a:b].tobytes() if classes is not None else None),
+            (p, kind, nodes[own].tobytes(), sizes[own].astype("<i4").tobytes(), counts.astype("<i4").tobytes(), _packed48(keys[a:b]), classes[a:b].tobytes() if classes is not None else None),
             strict=True,
         ):
             rows[name].append(value)
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
 class _Gathered:
-    """All chunks of a partition: nodes, sizes, and each key's node."""
+    """All chunks of one kind: nodes, sizes, and each key's node."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
-        nodes, sizes, counts, keys, classes = [np.zeros(0, np.int64)], [np.zeros(0, "<i4")], [np.zeros(0, "<i4")], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
-        for batch in batches:
-            for row in batch.to_pylist():
-                nodes.append(np.frombuffer(row["nodes"], np.int64))
-                sizes.append(np.frombuffer(row["sizes"], "<i4"))
-                counts.append(np.frombuffer(row["counts"], "<i4"))
-                keys.append(_unpacked48(row["keys"]))
-                if row["classes"]:
-                    classes.append(np.frombuffer(row["classes"], np.uint8))
-        self.nodes, self.sizes, self.keys, self.classes = (np.concatenate(x) for x in (nodes, sizes, keys, classes))
-        self.owner = np.repeat(np.arange(len(self.nodes)), np.concatenate(counts))
+    def __init__(self) -> None:
+        self._parts = [[np.zeros(0, np.int64)], [np.zeros(0, "<i4")], [np.zeros(0, "<i4")], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]]
+
+    def add(self, row: dict) -> None:
+        nodes, sizes, counts, keys, classes = self._parts
+        nodes.append(np.frombuffer(row["nodes"], np.int64))
+        sizes.append(np.frombuffer(row["sizes"], "<i4"))
+        counts.append(np.frombuffer(row["counts"], "<i4"))
+        keys.append(_unpacked48(row["keys"]))
+        if row["classes"]:
+            classes.append(np.frombuffer(row["classes"], np.uint8))
+
+    def end(self) -> _Gathered:
+        self.nodes, self.sizes, counts, self.keys, self.classes = (np.concatenate(x) for x in self._parts)
+        self.owner = np.repeat(np.arange(len(self.nodes)), counts)
+        self._parts = []
+        return self
+
+
+def _level(in_classes: np.ndarray) -> np.ndarray:
+    """The class of a shingle's number, by which shingles are ordered."""
+    return np.minimum(np.round(np.log2(in_classes) * 6), 255).astype(np.uint8)
 
 
-def _shared_shingles(docs: DataFrame, parts: int) -> DataFrame:
+def _part_of(nodes: np.ndarray, parts: int) -> np.ndarray:
+    return (nodes.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+
+
+def _shared_shingles(docs: DataFrame, parts: int, hot: int) -> DataFrame:
     """Chunks, dealt by node, of the shingles that occur in two classes or more, with a class of their number."""
+    bucket = lambda keys: (mixed(keys) % np.uint64(parts)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -150,47 +173,73 @@ def _shared_shingles(docs: DataFrame, parts: int) -> DataFrame:
             first = np.zeros(len(s.node), dtype=bool)
             first[once] = True
             mine = first[s.text]
-            keys = s.keys[mine] >> np.uint64(KEY_BITS - 48)
-            if len(keys):
-                yield _chunks((mixed(keys) % np.uint64(parts)).astype(np.int64), parts, s.node, s.n, s.text[mine], keys, None)
+            keys, text = s.keys[mine] >> np.uint64(KEY_BITS - 48), s.text[mine]
+            if not len(keys):
+                continue
+            distinct, place, number = np.unique(keys, return_inverse=True, return_counts=True)
+            many = number[place] >= hot
+            if not many.all():
+                yield _chunks(PLAIN, bucket(keys[~many]), parts, s.node, s.n, text[~many], keys[~many], None)
+            if many.any():
+                # The postings go on to their sets, and each part of these asks for the shingle's number.
+                to = _part_of(s.node, parts)
+                yield _chunks(HOT_POSTING, to[text[many]], parts, s.node, s.n, text[many], keys[many], None)
+                asked = np.unique(place[many] * parts + to[text[many]])
+                ask_place = asked // parts
+                told = np.where(np.append(True, ask_place[1:] != ask_place[:-1]), number[ask_place], 0)  # the number is added up once
+                yield _chunks(HOT_NUMBER, bucket(distinct[ask_place]), parts, asked % parts, told, np.arange(len(asked)), distinct[ask_place], None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _Gathered(batches)
+        plain, asked = _Gathered(), _Gathered()
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            if (kinds == HOT_POSTING).any():
+                yield batch.filter(pa.array(kinds == HOT_POSTING))
+            for row in batch.filter(pa.array(kinds != HOT_POSTING)).to_pylist():
+                (plain if row["kind"] == PLAIN else asked).add(row)
+        g, h = plain.end(), asked.end()
         _, once = np.unique(g.nodes, return_index=True)  # a class met in several batches counts once
         first = np.zeros(len(g.nodes), dtype=bool)
         first[once] = True
         mine = first[g.owner]
         keys, owner = g.keys[mine], g.owner[mine]
-        if not len(keys):
-            return
-        order = np.argsort(keys, kind="stable")
-        edges = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-        number = np.diff(np.append(edges, len(keys)))
-        in_classes = np.empty(len(keys), np.int64)
-        in_classes[order] = np.repeat(number, number)
-        shared = in_classes > 1
+        distinct, place = np.unique(np.concatenate([keys, h.keys]), return_inverse=True)
+        in_classes = np.bincount(place[: len(keys)], minlength=len(distinct))
+        np.add.at(in_classes, place[len(keys) :], h.sizes[h.owner])
+        shared = in_classes[place[: len(keys)]] > 1
         if shared.any():
-            level = np.minimum(np.round(np.log2(in_classes[shared]) * 6), 255).astype(np.uint8)
-            part = (g.nodes[owner[shared]].view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            yield _chunks(part, parts, g.nodes, g.sizes, owner[shared], keys[shared], level)
+            yield _chunks(PLAIN, _part_of(g.nodes[owner[shared]], parts), parts, g.nodes, g.sizes, owner[shared], keys[shared], _level(in_classes[place[: len(keys)][shared]]))
+        if len(h.keys):
+            answers = np.unique(place[len(keys) :] * parts + h.nodes[h.owner])
+            none = np.zeros(1, np.int64)
+            yield _chunks(HOT_NUMBER, answers % parts, parts, none, none, np.zeros(len(answers), np.int64), distinct[answers // parts], _level(in_classes[answers // parts]))
 
     sent = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(send, _CHUNK)
     return sent.repartitionById(parts, F.col("part")).mapInArrow(count, _CHUNK)
 
 
-def indexed(docs: DataFrame, parts: int) -> DataFrame:
+def indexed(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
     """(node, n, single, shared, prefix) of the sets that can link: how many shingles no other set has, the shared ones, and the postings of the prefix."""
     kind = "node long, n long, single long, shared binary, prefix array<struct<key:long,pos:int>>"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = _Gathered(batches)
-        nodes, first, node = np.unique(g.nodes, return_index=True, return_inverse=True)
+        by_kind = {PLAIN: _Gathered(), HOT_NUMBER: _Gathered(), HOT_POSTING: _Gathered()}
+        for batch in batches:
+            for row in batch.to_pylist():
+                by_kind[row["kind"]].add(row)
+        g, numbers, postings = (x.end() for x in by_kind.values())
+        known, at = np.unique(numbers.keys, return_index=True)
+        hot_classes = numbers.classes[at][np.searchsorted(known, postings.keys)] if len(postings.keys) else np.zeros(0, np.uint8)
+        nodes, first, node = np.unique(np.concatenate([g.nodes, postings.nodes]), return_index=True, return_inverse=True)
         if not len(nodes):
             return
-        n = g.sizes[first].astype(np.int64)
-        owner = node[g.owner]
-        order = np.lexsort((g.keys, g.classes, owner))
-        keys, owner = g.keys[order], owner[order]
+        n = np.concatenate([g.sizes, postings.sizes])[first].astype(np.int64)
+        owner = node[np.concatenate([g.owner, postings.owner + len(g.nodes)])]
+        keys, classes = np.concatenate([g.keys, postings.keys]), np.concatenate([g.classes, hot_classes])
+        order = np.lexsort((keys, classes, owner))
+        keys, owner = keys[order], owner[order]
+        once = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))  # a class of several batches sends hot shingles from each
+        keys, owner = keys[once], owner[once]
         number = np.bincount(owner, minlength=len(nodes))
         begin = np.append(0, np.cumsum(number))
         single = n - number
@@ -204,7 +253,7 @@ def indexed(docs: DataFrame, parts: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())])))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    return _shared_shingles(docs, parts).repartitionById(parts, F.col("part")).mapInArrow(gather, kind)
+    return _shared_shingles(docs, parts, hot).repartitionById(parts, F.col("part")).mapInArrow(gather, kind)
 
 
 def _counted(pairs: DataFrame, index: DataFrame) -> DataFrame:
@@ -245,10 +294,9 @@ def _mains(held: DataFrame) -> DataFrame:
     return sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) between set classes whose components are those of all links."""
-    spark = docs.sparkSession
-    index = written(indexed(docs, partitions(spark)), "jaccard-index")
+def links(docs: DataFrame, parts: int, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between set classes whose components are those of all links; ``parts`` is the width of the shingles' exchange."""
+    index = written(indexed(docs, parts, hot), "jaccard-index")
     band = F.floor(F.log(4.0 / 3.0, F.col("n"))).cast("int")
     postings = index.select("node", "n", "single", F.explode("prefix").alias("p")).select("node", "n", "single", "p.key", "p.pos")
     # The set with the fewest shingles of its own is nearest to the others that have the list's shingle.
@@ -293,22 +341,25 @@ def links(docs: DataFrame) -> DataFrame:
     return _linked(counted).unionByName(derived).unionByName(_linked(_counted(to_count, index)))
 
 
-def _labelled(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def _labelled(docs: DataFrame, keys: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id, component, keys) of every document; ``component`` is null for an empty set."""
     sets = written(set_table(docs, keys), "jaccard-sets")
+    size = sets.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    parts = max(partitions(docs.sparkSession), -(-size // PART_KEYS))
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
-    found = components(links(docs))
-    labelled = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = labelled.join(least, "component").select("node", "component", "component_id")
+    # Nodes are ordered by their least id, so that a component's least node names its least id.
+    side = lambda x: classes.select(F.col("node").alias(x), F.struct("first", "node").alias(f"named_{x}"))
+    named = links(docs, parts, hot).join(side("a"), "a").join(side("b"), "b").select(F.col("named_a").alias("a"), F.col("named_b").alias("b"))
+    found = components(named).select("node.node", F.col("component.first").alias("least"), F.col("component.node").alias("component"))
+    ids = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("least", "first").alias("component_id"))
     out = sets.join(ids, "node", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "component", *keys)
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    return _labelled(docs).select("doc_id", "n_shingles", "component_id")
+    return _labelled(docs, hot=hot).select("doc_id", "n_shingles", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -374,9 +374,10 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-def test_jaccard_join(docs, rows, empty):
+@pytest.mark.parametrize("hot", [jaccard.HOT, 2, 5])
+def test_jaccard_join(docs, rows, empty, hot):
     want = brute_components(rows)
-    got = jaccard.joined(docs).collect()
+    got = jaccard.joined(docs, hot).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is not None:
