@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from targetlake.llm import components, decontamination, jaccard, language_id, lm_scoring, packing, quality_classifier, quality_rules, secret_scans, sharding
+from targetlake.llm import components, decontamination, jaccard, language_id, lm_scoring, packing, quality_classifier, quality_rules, scratch, secret_scans, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_crc32 string, sequence_id int, n_words string"
 
@@ -145,6 +147,23 @@ def test_secrets(docs, rows, empty, spark, tmp_path):
     assert secret_scans.scan(docs, path).count() == first and spark.read.parquet(path).count() == blobs
     secret_scans.scan(docs, path, "base-2").count()
     assert spark.read.parquet(path).count() == 2 * blobs
+    # Two writers that appended the same blobs leave the findings as they are.
+    spark.read.parquet(path).limit(10**6).cache().write.mode("append").parquet(path)
+    assert secret_scans.scan(docs, path).count() == first
+
+
+def test_scratch_is_removed(spark):
+    table = scratch.written(spark.range(5), "test-scratch")
+    folder = Path(scratch.shared_dir(spark).removeprefix("file://"))
+    assert table.count() == 5 and list(folder.glob("test-scratch-*"))
+    scratch.clear(spark)
+    assert not folder.exists()
+
+
+def test_clusters_need_a_shared_folder():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="share"):
+        scratch.shared_dir(session)
 
 
 def test_shards(docs, rows, empty):
