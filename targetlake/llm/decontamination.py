@@ -224,4 +224,5 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Whole rows of the documents without a hit word."""
     dirty = _hits(docs, benchmark).where(F.size("runs") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    whole = docs.select(F.struct("*").alias("_doc"), "doc_id", F.xxhash64("text").alias("_own"))  # so that no name can clash
+    return whole.join(dirty, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_anti").select("_doc.*")

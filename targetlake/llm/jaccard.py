@@ -369,8 +369,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     and one of each stays; without words every different text is one. Of linked texts
     with the same id the one with the least hash stays. Rows with a null id are left out.
     """
-    rows = docs.withColumn("_text", F.xxhash64("text"))
+    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", F.xxhash64("text").alias("_text"))  # so that no name can clash
     own = F.when(F.col("n_shingles") > 0, F.col("component")), F.when(F.col("n_shingles") == 0, F.col("_text"))
     first = _labelled(rows, ("_text",)).where("doc_id = component_id").groupBy("doc_id", own[0].alias("_c"), own[1].alias("_e")).agg(F.min("_text").alias("_text"))
     kept = rows.join(first.select("doc_id", "_text"), ["doc_id", "_text"], "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.dropDuplicates(["doc_id", "_text"]).select("_doc.*")

@@ -10,6 +10,9 @@ do not overlap within a kind. Places come from the text between matches: the
 pieces that the pattern splits the text into and the matches themselves
 alternate, so their running lengths give every start and end.
 
+Two runs that share a ledger may both append a blob that neither had seen; readers
+take one of such equal rows.
+
 Nulls: a null text is the empty text. Repeated rows and equal texts are scanned
 once and reported for each row. Extra columns are passed by. An empty table
 gives no rows.
@@ -17,6 +20,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +40,8 @@ RULES = {
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
 }
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "base-1"
+#: Changes with the rules, so that no finding of other rules is taken for theirs.
+RULE_VERSION = hashlib.sha256(repr(sorted(RULES.items())).encode()).hexdigest()[:16]
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_spans string, spans string"
 
 
@@ -125,7 +130,7 @@ def by_blob(docs: DataFrame, ledger_path: str | None = None, rule_version: str =
     versions = docs.select("doc_id", text.alias("text")).withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
     scanned(unseen(versions.select("blob", "text"), _read(spark, path), rule_version), rule_version).write.mode("append").parquet(path)
     ledger = spark.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == rule_version)
-    held = ledger.where(F.length("spans") > 0).drop("rule_version")
+    held = ledger.where(F.length("spans") > 0).drop("rule_version").dropDuplicates(["blob"])  # runs at the same time may both have scanned a blob
     paths = versions.select("doc_id", "blob")
     none = F.sha2(F.lit("").cast("binary"), 256)
     return paths.join(held, "blob", "left").select(
@@ -150,5 +155,8 @@ def redacted(docs: DataFrame, findings: DataFrame, mask: str = "[SECRET]") -> Da
         if group:
             pattern = pattern.replace("[A-Za-z0-9+/_.=-]+", f"[A-Za-z0-9+/_.=-]{{{least},}}+")
         clean = F.regexp_replace(clean, pattern, mask)
-    both = docs.withColumn("_own", key).join(hit, F.col("_own").eqNullSafe(F.col("_key")), "left")
-    return both.withColumn("text", F.when(F.col("_hit"), clean).otherwise(F.col("text"))).drop("_hit", "_own", "_key")
+    # Whole rows travel as one column, so that none of their names can clash.
+    whole = docs.select(F.struct("*").alias("_doc"), "text", key.alias("_own"))
+    both = whole.join(hit, F.col("_own").eqNullSafe(F.col("_key")), "left")
+    masked = F.when(F.col("_hit"), clean).otherwise(F.col("text"))
+    return both.select(*[masked.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])

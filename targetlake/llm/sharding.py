@@ -136,8 +136,8 @@ def shard_digest(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
 
 def shuffled(rows: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """The whole rows with ``shard`` and ``slot``; a clashing column of that name is replaced."""
-    numbered = rows.drop("shard", "slot").withColumn("_row", F.monotonically_increasing_id())
-    return assigned(written(numbered, "shard-rows"), "_row", shards, seed).drop("_row")
+    numbered = rows.drop("shard", "slot").select(F.struct("*").alias("_whole"), F.monotonically_increasing_id().alias("_row"))
+    return assigned(written(numbered, "shard-rows"), "_row", shards, seed).select("_whole.*", "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str, shards: int = 16, seed: int = 7) -> None:

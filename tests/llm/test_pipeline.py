@@ -38,3 +38,49 @@ def test_verdicts_are_of_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), f"test-{name}")
     assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == Counter((i, t.replace(secret, "[SECRET]")) for i, t in kept)
+
+
+CLASHES = ("_row", "_id", "_hash", "_text", "_doc", "_own", "_key", "_hit", "_kept", "kept", "blob", "node", "component", "text_hash", "sequence_id", "length", "offset", "w", "l")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Rows with nulls in every column, repeats, one long text and columns that could clash; and a folder with a benchmark."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    item, long = text(12), text(60_000)
+    texts = [text(80), text(80), None, "", " ", text(60) + " " + item, text(60) + " token = abcdefgh12", long]
+    rows = [(i % 5 if i else None, t, "en" if i % 2 else None, "s" if i % 3 else None, None if i % 4 == 0 else 1) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit("clash").alias(c) for c in CLASHES]).repartition(3).cache()
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs, folder, texts
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_odd_and_empty_tables(spark, odd, name, stage):
+    docs, folder, texts = odd
+    got = [r.asDict() for r in stage(spark, docs, folder).collect()]
+    assert stage(spark, docs.limit(0), folder).count() == 0
+    ids = [i % 5 if i else None for i in range(len(texts))]
+    if name == "best_fit_packing":
+        from tokenizers import Tokenizer
+
+        tokens = Tokenizer.from_file(corpus_pipeline.packing.default_tokenizer())
+        sizes = [len(tokens.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+        want = Counter((i, k, k * 4096, min(4096, n - k * 4096)) for i, n in zip(ids, sizes, strict=True) for k in range(-(-n // 4096)) for _ in range(2))
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in got) == want
+        return
+    assert stage(spark, docs, folder).columns == corpus_pipeline.COLUMNS
+    found = Counter((r["doc_id"], r["text"]) for r in got)
+    every = list(zip(ids, texts, strict=True))
+    want = {
+        "quality_rules": [x for x in every if x[1] and x[1].strip() for _ in range(2)],
+        "ngram_jaccard_join": [x for x in every for _ in range(2 if x[0] is None else 1)],
+        "benchmark_decontamination": [x for k, x in enumerate(every) if k != 5 for _ in range(2)],
+        "secret_scans": [(i, t.replace("token = abcdefgh12", "[SECRET]") if t else t) for i, t in every for _ in range(2)],
+    }[name]
+    assert found == Counter(want)
+    if name == "secret_scans":
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
