@@ -19,9 +19,10 @@ UNSAFE_DETAIL_KEYS = (
 NEGATIVE_UNSAFE_KEYS = (
     "asin", "model", "date", "dimension", "weight", "rank", "sku", "upc", "battery", "batteries", "country", "origin", "isbn", "manufacturer part",
 )
+# Fixed values. Colors and materials that are looked for in a product's text.
 COLORS = "black white blue red pink green brown gray grey purple yellow orange navy beige silver gold".split()
 MATERIALS = "cotton polyester nylon leather wool spandex silk rayon fabric linen suede denim".split()
-#: Attributes in the order in which answers name them.
+# Fixed values. Attributes in the order in which answers name them.
 ATTRIBUTES = ("category", "material", "color", "size", "style", "brand", "budget", "feature", "use_case", "other")
 # Fixed values. Words that name an attribute in a question.
 ATTRIBUTE_ALIASES = {
@@ -57,7 +58,6 @@ BROAD = (
     r"\b(?:anything\s+else|something\s+else|what\s+else|other\s+preferences?|more\s+(?:details?|requirements?|preferences?)|"
     r"else\s+matters?|any\s+other|additional\s+(?:detail|requirement|preference))\b"
 )
-NO_PREFERENCE = r"\b(no preference|don't care|do not care|anything is fine|any is fine|up to you|whatever)\b"
 ASKED_FOR = {
     "category": (r"\b(?:kind|type|category|sort)\s+of\s+(?:item|product|thing)\b", r"\bwhat\s+(?:are\s+you\s+)?(?:shopping|looking)\s+for\b"),
     "material": (r"\b(?:made\s+(?:of|from)|fabric|composition|material)\b",),
@@ -75,15 +75,17 @@ ASKED_FOR = {
     ),
     "use_case": (r"\b(?:use\s+case|occasion|activity|purpose|where\s+.*\s+use|what\s+.*\s+for|when\s+.*\s+wear)\b",),
 }
-#: (structured attribute, text attribute) pairs that don't contradict each other.
+# Fixed values. (structured attribute, text attribute) pairs that don't contradict each other.
 COMPATIBLE = (("feature", "use_case"), ("feature", "style"), ("use_case", "feature"))
+# Fixed values. Names in samples and facts.
 SCENARIOS = ("direct_search", "multi_constraint", "profile_hidden", "clarification_required", "negative_constraint", "budget_rating", "intent_override")
 SOURCES = ("categories", "store", "price", "rating", "rating_count", "details", "features", "description", "title", "cross_catalog", "decoy")
 EQUAL, HOLDS, AT_MOST, AT_LEAST, NEGATIVE = ("eq", "exact"), ("contains", "has"), ("le", "max"), ("ge", "min"), ("neq", "not_contains", "not")
 OPERATORS = (*EQUAL, *HOLDS, *AT_MOST, *AT_LEAST, *NEGATIVE)
 NUMERIC = ("price", "rating", "rating_count")
+# Fixed values. Review counts that are stated.
 COUNT_STEPS = (10, 25, 50, 100, 250, 500, 1000, 5000, 10000)
-#: Weight of a fact's source when signatures are searched; 0.65 for any other.
+# Fixed values. Weight of a fact's source when signatures are searched; 0.65 for any other.
 SOURCE_WEIGHTS = {
     "categories": 1.15, "details": 1.08, "store": 0.94, "price": 0.88, "rating": 0.75, "rating_count": 0.7,
     "features": 0.82, "description": 0.6, "title": 0.53, "cross_catalog": 0.45,
@@ -103,16 +105,11 @@ SENTENCES = {
     "description": ("The description should mention {}.", "I am looking for something described as {}."),
     "other": ("I'd prefer {}.", "Please look for {}."),
 }
-# Fixed values. What the simulated user says where nothing is disclosed.
-REPLIES = {
-    "max_turns": "I have shared what I can within this conversation.",
-    "no_preference": "I don't have a preference on that point; please use your best judgment.",
-    "not_a_question": "Please ask me a question about one specific product attribute.",
-    "ambiguous": "The question and requested attribute do not match; please ask one clear product question.",
-    "unsupported": "Could you ask about one specific product attribute, such as material, color, price, or a feature?",
-    "repeated": "I already answered that question; please use the detail I shared earlier.",
-    "exhausted": "I have no additional preferences to add.",
-    "bad_override": "I could not understand that preference change.",
-    "no_override": "That preference change is not available in this scenario.",
+# Fixed values. Sentences of a change of mind and the start of a profile's summary.
+OVERRIDE = {
+    "message": "Actually, ignore that earlier preference for {old}. Please prioritize {new} instead.",
+    "query": " I initially thought I wanted {old}, but I am still deciding.",
 }
+PROFILE_SUMMARY = "I usually shop with a few preferences in mind."
+# Fixed values.
 MAX_TURNS = TOP_K = 10

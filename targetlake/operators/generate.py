@@ -19,19 +19,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ID_LIKE, normalize_text, stable_id
-from ..functions.vocab import COLORS, MATERIALS, NEGATIVE, NEGATIVE_UNSAFE_KEYS, NUMERIC, SCENARIOS, SOURCE_WEIGHTS
+from ..functions.vocab import COLORS, MATERIALS, NEGATIVE, NEGATIVE_UNSAFE_KEYS, NUMERIC, OVERRIDE, PROFILE_SUMMARY, SCENARIOS, SOURCE_WEIGHTS
 from ..sources.catalog import category_leaf, with_values
+from ..sources.scratch import written
 from .facts import extracted, make_fact, render_fact
 from .masks import mask_histogram
 from .predicates import FACT, match_fact, member
 from .validate import SAMPLE
 
-#: Catalogs beyond this many rows are searched without feature and description facts.
-LARGE_CATALOG = 1000
-#: Values of a field that are looked through for a decoy, in order; a target has far fewer of one field.
-DECOY_VALUES = 256
-
-
 class GenerationError(RuntimeError):
     """The requested samples can't be made."""
 
@@ -46,16 +41,13 @@ class GeneratorConfig:
     max_attempts_per_sample: int = 250
     max_feature_facts_per_product: int = 80
     chunk: int = 50
+    #: Catalogs beyond this many rows are searched without feature and description facts.
+    large_catalog: int = 1000
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a round's small state in the cluster's checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint()
+    """Cut the lineage of a round's small state."""
+    return written(df, "generation")
 
 
 def fact_pool(catalog: DataFrame, config: GeneratorConfig, large: bool) -> DataFrame:
@@ -104,7 +96,8 @@ def signatures(catalog: DataFrame, posting: DataFrame, values: DataFrame, pool:
     start = targets.join(pool.where("fact.field = 'category'").groupBy("target").agg(F.first("fact").alias("category"), F.first("key").alias("key")), "target", "left")
     in_category = posting.where("field = 'category'").select(F.col("value").alias("_v"), "parent_asin")
     with_category = start.where("category IS NOT NULL").join(in_category, F.col("category.value_str") == F.col("_v")).select("target", "parent_asin")
-    without = start.where("category IS NULL").select("target").join(F.broadcast(catalog.select("parent_asin")), F.lit(True)) if start.where("category IS NULL").limit(1).count() else None
+    bare = [F.lit(r["target"]) for r in start.where("category IS NULL").select("target").collect()]  # of one chunk: every product is a candidate
+    without = catalog.select(F.explode(F.array(*bare)).alias("target"), "parent_asin") if bare else None
     pools = _kept(with_category if without is None else with_category.unionByName(without))
     negative = _kept(negative_facts(catalog, values, pools))
     state = start.select("target", F.lit("base").alias("variant"), F.array_compact(F.array("category")).alias("facts"), F.array_compact(F.array("key")).alias("keys"))
@@ -145,8 +138,11 @@ def decoys(catalog: DataFrame, posting: DataFrame, found: DataFrame) -> DataFram
     every = raw("category", category_leaf(F.col("categories"))).unionByName(raw("store", F.col("store"))).unionByName(details).unionByName(tokens).where("raw <> ''").distinct()
     every = every.withColumn("value", normalize_text(F.col("raw"))).where((F.col("field") != "title_token") | (F.length("value") >= 4))
     every = every.join(posting.select("field", "value"), ["field", "value"], "left_semi")
-    first = every.withColumn("_r", F.row_number().over(W.partitionBy("field").orderBy("raw"))).where(F.col("_r") <= DECOY_VALUES)
     facts = found.select("target", "variant", F.posexplode("facts").alias("pos", "f"))
+    # Of a field's values in order, as many as any target has in it and two more hold a false one; forms may share a value.
+    owned = posting.join(found.select(F.col("target").alias("parent_asin")).distinct(), "parent_asin", "left_semi").groupBy("parent_asin", "field").count().agg(F.max("count")).first()[0] or 0
+    every = every.groupBy("field", "value").agg(F.min("raw").alias("raw"))
+    first = every.withColumn("_r", F.row_number().over(W.partitionBy("field").orderBy("raw"))).where(F.col("_r") <= owned + 2)
     own = posting.select(F.col("parent_asin").alias("target"), "field", F.col("value").alias("own"))
     wanted = facts.select("target", "variant", "pos", "f", F.col("f.field").alias("field")).join(first, "field")
     false_ones = wanted.where(F.col("value") != normalize_text(F.col("f.value_str"))).join(own, (own["target"] == wanted["target"]) & (own["field"] == wanted["field"]) & (F.col("own") == F.col("value")), "left_anti")
@@ -234,7 +230,7 @@ def _compose(solved: _Solved, scenario: str, target: str, index: int, config: Ge
         new = facts[hidden[0]]
         override = {
             "turn": 2, "old_fact": decoy, "new_fact": new, "replaces_fact_id": decoy["fact_id"],
-            "message": f"Actually, ignore that earlier preference for {decoy['display']}. Please prioritize {new['display']} instead.",
+            "message": OVERRIDE["message"].format(old=decoy["display"], new=new["display"]),
         }
     else:
         visible, hidden = chosen[:length], chosen[length:]
@@ -249,14 +245,14 @@ def _compose(solved: _Solved, scenario: str, target: str, index: int, config: Ge
         return None
     text = " ".join(solved.said[f][(index + k) % 2] for k, f in enumerate(query))
     if override:
-        text += f" I initially thought I wanted {override['old_fact']['display']}, but I am still deciding."
+        text += OVERRIDE["query"].format(old=override["old_fact"]["display"])
     tags = [solved.said[f][(k + 1) % 2].rstrip(".") for k, f in enumerate(profile)]
     stars = next((facts[f]["value_num"] for f in profile if facts[f]["field"] == "rating" and facts[f]["operator"] in ("ge", "min")), None)
     return {
         "scenario_type": scenario, "target": target, "query": text,
         "user_profile": {
             "purchase_frequency": "regular" if scenario == "budget_rating" else "occasional", "average_prior_rating": stars, "rating_style": "balanced" if stars is None else "quality-conscious",
-            "preference_tags": tags, "summary": " ".join(["I usually shop with a few preferences in mind.", *tags]),
+            "preference_tags": tags, "summary": " ".join([PROFILE_SUMMARY, *tags]),
         },
         "signature": [facts[i] for i in chosen], "query_facts": [facts[i] for i in query], "profile_facts": [facts[i] for i in profile], "clarification_facts": [facts[i] for i in hidden],
         "replies": [{"fact_id": facts[f]["fact_id"], "message": solved.replied[f][(index + k) % 2]} for k, f in enumerate(hidden)], "override": override, "schema_version": 1,
@@ -273,11 +269,11 @@ def generated(catalog: DataFrame, posting: DataFrame, count: int, seed: int = 42
     spark: SparkSession = catalog.sparkSession
     wanted = tuple(scenarios) or SCENARIOS
     if unknown := sorted(set(wanted) - set(SCENARIOS)):
-        raise GenerationError(f"unsupported requested scenario(s): {unknown}")
+        raise GenerationError(f"no such scenario: {', '.join(unknown)}")
     if require_coverage is None:
         require_coverage = wanted == SCENARIOS and count >= len(SCENARIOS)
     ids = [r["parent_asin"] for r in catalog.select("parent_asin").orderBy("parent_asin").collect()] if count > 0 else []  # the seeded order is over all ids
-    large = len(ids) > LARGE_CATALOG
+    large = len(ids) > config.large_catalog
     values = _kept(with_values(catalog).select("parent_asin", "vals", "indexed", "price", "rating", "rating_count"))
     rng = random.Random(seed)
     rng.shuffle(ids)
@@ -306,9 +302,9 @@ def generated(catalog: DataFrame, posting: DataFrame, count: int, seed: int = 42
             done.append(sample | {"seed": seed * 1000003 + len(done)})
             used.add(target)
     if len(done) < count:
-        raise GenerationError(f"could generate {len(done)} of {count} samples after {attempts} attempts for requested scenarios {wanted}; try a smaller count or wider initial-candidate bounds")
+        raise GenerationError(f"found {len(done)} of {count} samples in {attempts} tries; fewer samples or wider bounds may help")
     if require_coverage and (missing := sorted(set(wanted) - {s["scenario_type"] for s in done})):
-        raise GenerationError(f"scenario coverage incomplete; missing {missing}")
+        raise GenerationError(f"no sample of {', '.join(missing)}")
     rows = [s | {"sample_id": f"{i:05d}"} for i, s in enumerate(done)]
     names = [x.strip() for x in ("sample_id", "seed", "schema_version", "scenario_type", "target", "query", "user_profile", "signature", "query_facts", "profile_facts", "clarification_facts", "replies", "override", "metadata")]
     frame = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], SAMPLE)

@@ -1,8 +1,15 @@
 """Candidate counts of all subsets of a sample's facts from one pass over the catalog.
 
-Each product gets a bit mask of the facts of a sample that it satisfies; products
+Each product has a bit mask of the facts of a sample that it satisfies; products
 are counted by (sample, mask). The count of any subset S is the sum over masks
 that hold S. A sample with k facts has at most 2**k rows.
+
+No product is held against every sample. Statements about texts are equi-joins with
+the index or, for parts of texts, with the field's distinct values; a negated one
+is true by default and its hits turn it off, so only hits are rows. Numbers cut
+the catalog into cells between the samples' thresholds, so that all products are
+counted by cell once; products that texts have hit are then taken out of
+their sample's default and counted one by one.
 """
 
 from __future__ import annotations
@@ -11,49 +18,110 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from ..functions.vocab import NEGATIVE, NUMERIC
+from ..functions.vocab import EQUAL, HOLDS, NEGATIVE, NUMERIC
 from ..sources.catalog import with_values
-from .predicates import member
+from ..sources.scratch import written
+from .predicates import expected_number, match_numeric
 
 #: Facts of a sample at most, as a mask is a bigint.
 MOST_FACTS = 62
-#: Samples that are held against the catalog at once.
-BLOCK = 2000
+#: Widest tolerance of a comparison of numbers.
+NEAR = 1e-5
+
+
+def bit(place: Column) -> Column:
+    """The mask of one fact."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int"))
 
 
-def with_index_flags(samples: DataFrame, posting: DataFrame) -> DataFrame:
-    """(sample_id, target, facts, flags): whether the index has each negated value."""
-    facts = samples.select("sample_id", "target", F.posexplode("facts").alias("pos", "fact"))
-    wanted = facts.where(F.col("fact.operator").isin(*NEGATIVE) & ~F.col("fact.field").isin(*NUMERIC)).select(F.col("fact.field").alias("field"), normalize_text(F.col("fact.value_str")).alias("value")).distinct()
-    held = posting.join(wanted, ["field", "value"], "left_semi").select("field", "value").distinct().withColumn("held", F.lit(True))
-    both = facts.withColumns({"field": F.col("fact.field"), "value": normalize_text(F.col("fact.value_str"))}).join(held, ["field", "value"], "left")
-    listed = F.array_sort(F.collect_list(F.struct("pos", "fact", F.coalesce("held", F.lit(False)).alias("held"))))
-    return both.groupBy("sample_id", "target").agg(listed.alias("facts"))
+def _stated(samples: DataFrame) -> DataFrame:
+    """(sample_id, bit, kind, field, value, operator, number): the samples' facts, each normalised once."""
+    few = F.when(F.size("facts") > MOST_FACTS, F.raise_error(F.concat(F.lit(f"a sample has more than {MOST_FACTS} facts: "), F.col("sample_id"))).cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("facts") - 1))
+    facts = samples.where(F.size("facts") > 0).select("sample_id", F.explode(F.arrays_zip(few.alias("pos"), F.col("facts").alias("fact"))).alias("x")).select("sample_id", "x.pos", "x.fact")
+    field, operator = F.col("fact.field"), F.col("fact.operator")
+    kind = (
+        F.when(field.isin(*NUMERIC), "number").when(operator.isin(*EQUAL), "equal").when(operator.isin(*HOLDS), "holds").when(operator.isin(*NEGATIVE), "lacks").otherwise("never")
+    )
+    return facts.select("sample_id", bit(F.col("pos")).alias("bit"), kind.alias("kind"), field.alias("field"), normalize_text(F.col("fact.value_str")).alias("value"), operator.alias("operator"), expected_number(F.col("fact")).alias("number"))
+
 
+def _text_hits(products: DataFrame, posting: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hits (sample_id, parent_asin, bit) of the statements about texts, and the bits (sample_id, default) that are true without a hit."""
+    said = stated.where("kind IN ('equal', 'holds', 'lacks')")
+    index = posting.select(F.col("field").alias("_field"), F.col("value").alias("_value"), "parent_asin")
+    same = (F.col("field") == F.col("_field")) & (F.col("value") == F.col("_value"))
+    # A negated value that the index has excludes exact matches, any other one what holds it.
+    listed = index.select("_field", "_value").distinct().withColumn("_listed", F.lit(True))
+    marked = said.join(listed, same, "left").drop("_field", "_value").withColumn("exact", (F.col("kind") == "equal") | ((F.col("kind") == "lacks") & F.col("_listed").isNotNull())).drop("_listed")
+    exact = marked.where("exact").join(index, same).select("sample_id", "parent_asin", "bit")
+    part = marked.where("NOT exact").withColumn("of", F.when(F.col("field").startswith("detail:"), F.concat(F.lit("detail:"), normalize_text(F.expr("substring(field, 8)")))).otherwise(F.col("field")))
+    values = products.select("parent_asin", F.explode("vals").alias("v")).select("parent_asin", F.col("v.field").alias("_field"), F.col("v.value").alias("_value"))
+    values = values.join(part.select(F.col("of").alias("_field")).distinct(), "_field", "left_semi")
+    found = part.select("of", "value").distinct().join(values.select("_field", "_value").distinct(), (F.col("of") == F.col("_field")) & F.contains("_value", F.col("value"))).drop("_field")
+    held = found.join(values, (F.col("of") == F.col("_field")) & (found["_value"] == values["_value"])).select(F.col("of").alias("_of"), F.col("value").alias("_wanted"), "parent_asin").distinct()
+    parts = part.join(held, (F.col("of") == F.col("_of")) & (F.col("value") == F.col("_wanted"))).select("sample_id", "parent_asin", "bit")
+    default = said.where("kind = 'lacks'").groupBy("sample_id").agg(F.bit_or("bit").alias("default"))
+    return exact.unionByName(parts), default
 
-def mask_histogram(catalog: DataFrame, posting: DataFrame, samples: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(sample_id, mask, n, target_mask): products by mask, and the target's own mask.
 
-    ``samples``: sample_id, target, facts. The samples are a stated set of queries
-    that every product is held against, in blocks of ``block``.
+def _number_mask(numbers: str = "numbers") -> Column:
+    """Bits of the comparisons (``numbers``: bit, field, operator, number) that the row's price, rating and rating_count satisfy."""
+    actual = lambda f: F.when(f["field"] == "price", F.col("price")).when(f["field"] == "rating", F.col("rating")).otherwise(F.col("rating_count"))
+    holds = lambda f: F.coalesce(match_numeric(actual(f), f["operator"], f["number"]), F.lit(False))
+    return F.aggregate(F.coalesce(numbers, F.array().cast("array<struct<bit:bigint,field:string,operator:string,number:double>>")), F.lit(0).cast("bigint"), lambda m, f: m.bitwiseOR(F.when(holds(f), f["bit"]).otherwise(F.lit(0).cast("bigint"))))
+
+
+def _cells(products: DataFrame, stated: DataFrame) -> DataFrame:
+    """(fields, price, rating, rating_count, n): products by cell, for each set of numeric fields that a sample uses.
+
+    A cell is what lies between two neighbouring thresholds; values that are near one are cells of their own.
     """
-    flagged = with_index_flags(samples, posting)
-    number = flagged.count()
-    products = (catalog if "vals" in catalog.columns else with_values(catalog)).select("parent_asin", "vals", "indexed", "price", "rating", "rating_count")
-    mask = F.aggregate(
-        F.transform("facts", lambda x: F.when(member(x["fact"], x["held"]), F.call_function("shiftleft", F.lit(1).cast("bigint"), x["pos"].cast("int"))).otherwise(F.lit(0).cast("bigint"))),
-        F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b),
-    )
-    blocks = max(1, -(-number // block))
+    told = stated.where("kind = 'number'")
+    used = {r["field"]: sorted(x for x in r["t"] if x is not None) for r in told.groupBy("field").agg(F.collect_set("number").alias("t")).collect()}  # the stated thresholds
+    sets = [r["f"] for r in told.groupBy("sample_id").agg(F.array_sort(F.collect_set("field")).alias("f")).select("f").distinct().collect()]  # 8 at most
+
+    def cell(field: str) -> Column:
+        value, bounds = F.col(field), F.array(*[F.lit(float(x)) for x in used[field]]).cast("array<double>")
+        near = F.exists(bounds, lambda b: F.abs(value - b) <= NEAR)
+        return F.when(value.isNotNull(), F.struct(F.size(F.filter(bounds, lambda b: b < value)).alias("above"), F.when(near, value).alias("own")))
+
     out = None
-    for i in range(blocks):
-        part = flagged.where(F.pmod(F.xxhash64("sample_id"), F.lit(blocks)) == i) if blocks > 1 else flagged
-        held = products.crossJoin(F.broadcast(part)).select("sample_id", "target", "parent_asin", mask.alias("mask"))
-        counted = held.groupBy("sample_id", "mask").agg(F.count("*").alias("n"), F.max(F.when(F.col("parent_asin") == F.col("target"), F.col("mask"))).alias("target_mask"))
-        out = counted if out is None else out.unionByName(counted)
+    for fields in [[], *[s for s in sets if s]]:
+        keys = [cell(f).alias(f"_{f}") for f in fields]
+        shown = [(F.any_value(f) if f in fields else F.lit(None).cast("double")).alias(f) for f in NUMERIC]
+        part = products.groupBy(*keys).agg(F.count("*").alias("n"), *shown).select(F.lit(",".join(fields)).alias("fields"), *NUMERIC, "n")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def mask_histogram(catalog: DataFrame, posting: DataFrame, samples: DataFrame) -> DataFrame:
+    """(sample_id, mask, n, target_mask): products by mask, and the target's own mask on its row.
+
+    ``samples``: sample_id, target, facts; a sample of more than ``MOST_FACTS`` facts fails the query.
+    """
+    products = (catalog if "vals" in catalog.columns else with_values(catalog)).select("parent_asin", "vals", "price", "rating", F.col("rating_count").cast("double").alias("rating_count"))
+    # Each is read several times below, and texts are to be normalised once.
+    products, posting, stated = written(products, "mask-products"), written(posting, "mask-postings"), written(_stated(samples), "mask-facts")
+    samples = written(samples.select("sample_id", "target"), "mask-samples")
+    hits, default = _text_hits(products, posting, stated)
+    flips = hits.groupBy("sample_id", "parent_asin").agg(F.bit_or("bit").alias("flip"))
+    numbers = stated.where("kind = 'number'").groupBy("sample_id").agg(F.collect_list(F.struct("bit", "field", "operator", "number")).alias("numbers"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+    asked = samples.select("sample_id", "target").join(default, "sample_id", "left").join(numbers, "sample_id", "left").select(
+        "sample_id", "target", F.coalesce("default", F.lit(0).cast("bigint")).alias("default"), "numbers", F.coalesce("fields", F.lit("")).alias("fields")
+    )
+    measured = products.select("parent_asin", *NUMERIC)
+    whole = asked.join(_cells(products, stated), "fields").select("sample_id", F.col("default").bitwiseOR(_number_mask()).alias("mask"), "n")
+    touched = flips.join(asked, "sample_id").join(measured, "parent_asin").withColumn("own", _number_mask())
+    moved = F.array(
+        F.struct(F.col("default").bitwiseXOR(F.col("flip")).bitwiseOR(F.col("own")).alias("mask"), F.lit(1).cast("bigint").alias("n")),
+        F.struct(F.col("default").bitwiseOR(F.col("own")).alias("mask"), F.lit(-1).cast("bigint").alias("n")),
+    )
+    counted = whole.unionByName(touched.select("sample_id", F.explode(moved).alias("m")).select("sample_id", "m.mask", "m.n")).groupBy("sample_id", "mask").agg(F.sum("n").alias("n")).where("n > 0")
+    own = asked.join(measured, F.col("target") == F.col("parent_asin")).join(flips, ["sample_id", "parent_asin"], "left")
+    target = own.select("sample_id", F.col("default").bitwiseXOR(F.coalesce("flip", F.lit(0).cast("bigint"))).bitwiseOR(_number_mask()).alias("mask"), F.lit(True).alias("_own"))
+    return counted.join(target, ["sample_id", "mask"], "left").select("sample_id", "mask", "n", F.when(F.col("_own"), F.col("mask")).alias("target_mask"))
+
+
 def subset_count(subset: Column, mask: str = "mask", n: str = "n") -> Column:
     """Aggregate over a sample's histogram: products that satisfy all facts of the subset."""
     return F.coalesce(F.sum(F.when(F.col(mask).bitwiseAND(subset) == subset, F.col(n))), F.lit(0))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocab import STOPWORDS
+from ..functions.vocab import ASKED_FOR, ATTRIBUTE_ALIASES, ATTRIBUTES, BROAD, GENERIC_TOKENS, STOPWORDS
 from ..operators import facts as FA
-from ..operators import masks, metrics, predicates, questions, validate
+from ..operators import generate, masks, metrics, predicates, questions, validate
 from ..sources import catalog as C
 from . import views as V
 
@@ -84,8 +84,9 @@ def _facts(spark: SparkSession) -> DataFrame:
 
 
 def match_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many products each of a fixed set of facts is true of; the set is small and fixed, so it is broadcast."""
-    held = C.with_values(V.products(spark, sf_dir)).crossJoin(F.broadcast(_facts(spark)))
+    """How many products each of a fixed set of facts is true of."""
+    fact = lambda i, f: F.struct(F.lit(i).alias("fact_no"), F.struct(*[F.lit(x).alias(c) for c, x in zip(("field", "operator", "value_str"), f, strict=True)], F.lit(None).cast("double").alias("value_num")).alias("fact"))
+    held = C.with_values(V.products(spark, sf_dir)).withColumn("x", F.explode(F.array(*[fact(i, f) for i, f in enumerate(FACTS)]))).select("*", "x.*")
     return held.groupBy("fact_no").agg(F.count_if(predicates.match_fact(F.col("fact"))).alias("n"))
 
 
@@ -200,21 +201,63 @@ def validation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.rolled_up(validate.validated(catalog, C.postings(catalog), V.samples(catalog)))
 
 
-def dialogue_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogues of the derived samples with a recommender that asks for size, then price."""
-    from ..streaming.dialogue import evaluated
+#: What is broken in the derived samples, by the target's number modulo how many there are; 0 breaks nothing.
+BREAKS = (
+    "nothing", "version", "scenario", "target", "query", "profile", "replies", "hidden", "fact_id", "repeat", "shown", "negative", "profile_scenario", "override", "display", "value",
+)
 
-    class Asker:
-        def reset(self, session_id, user_profile):
-            self.turn = 0
 
-        def respond(self, session_id, user_message, turn, top_k):
-            ask = {1: "size", 2: "budget"}.get(turn)
-            return {"message": "What do you prefer?" if ask else "Here you are.", "ask_attribute": ask, "recommendations": [{"parent_asin": f"P-{k}", "score": 1.0} for k in range(20)]}
+def broken_samples(samples: DataFrame) -> DataFrame:
+    """The samples, most of them broken in one way (see ``BREAKS``)."""
+    no = F.pmod(F.expr("CAST(substring(target, 3) AS BIGINT)"), F.lit(len(BREAKS)))
+    on = lambda name: F.col("_no") == BREAKS.index(name)
+    kept = lambda column, name, value: F.when(on(name), value).otherwise(F.col(column))
+    first = F.transform("signature", lambda f, i: F.when(on("fact_id") & (i == 0), f.withField("fact_id", F.lit("zz"))).when(on("display") & (i == 3), f.withField("display", F.lit("1"))).when(on("value") & (i == 3), f.withField("value_num", F.lit(0.5))).otherwise(f))
+    scenario = F.when(on("scenario"), "x").when(on("negative"), "negative_constraint").when(on("profile_scenario"), "profile_hidden").when(on("override"), "intent_override").otherwise(F.col("scenario_type"))
+    return samples.withColumn("_no", no).withColumns({
+        "schema_version": kept("schema_version", "version", F.lit(2)), "scenario_type": scenario, "signature": F.when(on("repeat"), F.concat(first, F.slice(first, 1, 1))).otherwise(first),
+        "query": F.when(on("query"), "").when(on("shown"), F.concat("query", F.lit(" "), "target")).otherwise(F.col("query")), "user_profile": F.when(~on("profile"), F.col("user_profile")),
+        "replies": kept("replies", "replies", F.slice("replies", 1, 0)), "clarification_facts": kept("clarification_facts", "hidden", F.slice("clarification_facts", 1, 0)), "target": kept("target", "target", F.lit("gone")),
+    }).drop("_no")
 
+
+def validate_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that the derived samples break when each is broken in one way."""
+    catalog = V.products(spark, sf_dir)
+    found = validate.validated(catalog, C.postings(catalog), broken_samples(V.samples(catalog)))
+    return found.select("sample_id", F.array_join(F.array_sort("errors"), ",").alias("rules"))
+
+
+def fact_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many facts a signature of each product may use, by source."""
+    pool = generate.fact_pool(V.products(spark, sf_dir), generate.GeneratorConfig(), large=True)
+    return pool.groupBy("parent_asin", F.col("fact.source").alias("source")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("fact.display")), ",").alias("shown"))
+
+
+def decoy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The false value that a change of mind may take back, for each fact of the derived samples."""
     catalog = V.products(spark, sf_dir)
-    found = evaluated(catalog, C.postings(catalog), V.samples(catalog), Asker)
-    return found.select("sample_id", "turn", F.coalesce("status", F.lit("")).alias("status"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.size("recommendations").alias("listed"))
+    found = V.samples(catalog).select("target", F.lit("base").alias("variant"), F.col("signature").alias("facts"))
+    return generate.decoys(catalog, C.postings(catalog), found).select("target", F.col("pos").cast("bigint").alias("pos"), F.col("fact.value_str").alias("value"), F.col("fact.display").alias("shown"))
+
+
+def negative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The negative statement that the derived samples' targets may begin with, among the products of their category."""
+    catalog = V.products(spark, sf_dir)
+    own = V.sample_targets(catalog).select(F.col("parent_asin").alias("target"), T.normalize_text(F.get("categories", 0)).alias("value"))
+    pools = own.join(C.postings(catalog).where("field = 'category'"), "value").select("target", "parent_asin")
+    return generate.negative_facts(catalog, C.with_values(catalog), pools).select("target", F.col("fact.field").alias("field"), F.col("fact.value_str").alias("value"))
+
+
+def generated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generated sample of each scenario: its candidates at first and in full, and whether it is valid."""
+    catalog = V.products(spark, sf_dir)
+    posting = C.postings(catalog)
+    made = generate.generated(catalog, posting, len(generate.SCENARIOS))
+    found = validate.validated(catalog, posting, made)
+    return made.select("sample_id", "scenario_type").join(found, "sample_id").select(
+        "scenario_type", F.col("diagnostics.initial_candidate_count").between(1, 200).alias("in_bounds"), F.col("diagnostics.full_candidate_count").alias("full_count"), "valid"
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -222,7 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         unique_prefix, normalize_text, compact_text, tokens, parse_number, stable_id, postings, duplicate_ids, color_presence, match_facts, candidate_members, negation_antijoin, numeric_thresholds,
         extract_facts, render_facts, mask_histogram, redundant_facts, first_target, exact_metrics, status_counts, recommendations_topk, stage_rank, interpret_question, conversation_questions,
-        validate_rules, validation_rollup, dialogue_trace,
+        validate_rules, validation_rollup, validate_broken, fact_pool, decoy_facts, negative_facts, generated_samples,
     )
     return {f.__name__: f for f in every}
 
@@ -267,7 +310,40 @@ def oracle_sql() -> dict[str, str]:
     answers = ", ".join(f"({i}, '{r}', '{why}', '{sig}')" for i, (_, _, r, why, sig) in enumerate(QUESTIONS))
     steps = "coalesce(list_max(list_filter([10, 25, 50, 100, 250, 500, 1000, 5000, 10000], lambda x: x <= rating_count)), 1)"
     store_id = "substring(sha1('store' || chr(31) || 'eq' || chr(31) || {n} || chr(31) || 'positive' || chr(31) || {n}), 1, 16)".format(n=normal("p_brand"))
+    pool_tokens = "list_filter({t}, lambda t: length(t) >= 4 AND t NOT IN ({g}) AND NOT (length(t) >= 8 AND regexp_matches(t, '[0-9]') AND regexp_matches(t, '[a-z]')))".format(t=title_tokens, g=", ".join(f"'{w}'" for w in GENERIC_TOKENS))
+    shown_number = "CAST({} AS VARCHAR)".format
+    facts = f"""fx AS (SELECT parent_asin, 'category' AS field, 'eq' AS operator, 'categories' AS source, 'category' AS attribute, p_type AS shown FROM prod
+      UNION ALL SELECT parent_asin, 'store', 'eq', 'store', 'brand', p_brand FROM prod UNION ALL SELECT parent_asin, 'detail:size', 'eq', 'details', 'size', CAST(p_size AS VARCHAR) FROM prod WHERE p_size >= 10
+      UNION ALL SELECT parent_asin, 'title_token', 'eq', 'title', CASE WHEN t IN ('shirt', 'dress', 'shoe', 'shoes', 'earring', 'bracelet', 'bag') THEN 'category' ELSE 'feature' END, t FROM (SELECT parent_asin, unnest({pool_tokens}) AS t FROM prod)
+      UNION ALL SELECT parent_asin, 'price', 'le', 'price', 'budget', {shown_number(ceiling)} FROM prod UNION ALL SELECT parent_asin, 'rating', 'ge', 'rating', 'feature', {shown_number(stars)} FROM prod
+      UNION ALL SELECT parent_asin, 'rating_count', 'ge', 'rating_count', 'feature', CAST({steps} AS VARCHAR) FROM prod WHERE rating_count > 0)"""
+    named = ", ".join(
+        "CASE WHEN {} THEN '{}' END".format(" OR ".join([f"contains(n, ' {a} ')" for a in ATTRIBUTE_ALIASES[x]] + [f"regexp_matches(m, '(?i){p}')" for p in ASKED_FOR[x]]), x) for x in ATTRIBUTES[:-1]
+    )
+    breaks = {
+        "version": "['bad_version']", "scenario": "['bad_scenario']", "query": "['no_query', 'query[0].unsaid', 'query[1].unsaid']", "profile": "['no_profile']", "replies": "['replies_incomplete']",
+        "hidden": "['parts_incomplete', 'no_hidden_facts']", "fact_id": "['signature[0].bad_fact_id']", "repeat": "['signature[4].repeated', 'signature[4].repeated_id']", "shown": "['target_shown']",
+        "negative": "['no_negative_fact']", "profile_scenario": "['no_profile_facts']", "override": "['no_override']", "display": "['signature[3].bad_fact_id', 'signature[3].display_differs', 'signature[3].display_unfaithful']",
+        "value": "['signature[3].bad_fact_id', 'signature[3].display_differs', 'signature[3].untrue', 'signature[3].display_unfaithful', 'clarification[1].not_signed', 'parts_incomplete']",
+    }
+    told = " ".join(f"WHEN {BREAKS.index(k)} THEN {v}" for k, v in breaks.items())
     return {
+        "validate_broken": f"""WITH {p}, {targets}, {checked}, b AS (SELECT *, CAST(substring(sample_id, 5) AS BIGINT) % {len(BREAKS)} AS b FROM er)
+          SELECT sample_id, CASE WHEN b = {BREAKS.index('target')} THEN 'unknown_target' ELSE array_to_string(list_sort(list_concat(CASE b {told} ELSE [] END,
+          CASE WHEN full_count <> 1 OR b = {BREAKS.index('value')} THEN ['not_unique'] ELSE [] END, CASE WHEN initial_count NOT BETWEEN 2 AND 200 THEN ['initial_bounds'] ELSE [] END)), ',') END AS rules FROM b""",
+        "extract_facts": f"WITH {p}, {facts} SELECT field, operator, source, attribute, count(*) AS n, count(DISTINCT shown) AS ids FROM fx GROUP BY ALL",
+        "fact_pool": f"WITH {p}, {facts} SELECT parent_asin, source, count(*) AS n, string_agg(shown, ',' ORDER BY shown) AS shown FROM fx GROUP BY ALL",
+        "decoy_facts": f"""WITH {p}, tg AS (SELECT min(p_partkey) AS k FROM prod GROUP BY p_type, p_brand), o AS (SELECT parent_asin AS target, p_type, p_brand, CAST(p_size AS VARCHAR) AS s FROM prod JOIN tg ON k = p_partkey)
+          SELECT target, 0 AS pos, lower(v) AS value, v AS shown FROM (SELECT target, (SELECT min(x.p_type) FROM part x WHERE x.p_type <> o.p_type) AS v FROM o) WHERE v IS NOT NULL
+          UNION ALL SELECT target, 1, {normal("v")}, v FROM (SELECT target, (SELECT min(x.p_brand) FROM part x WHERE x.p_brand <> o.p_brand) AS v FROM o) WHERE v IS NOT NULL
+          UNION ALL SELECT target, 2, v, v FROM (SELECT target, (SELECT min(CAST(x.p_size AS VARCHAR)) FROM part x WHERE CAST(x.p_size AS VARCHAR) <> o.s) AS v FROM o) WHERE v IS NOT NULL""",
+        "negative_facts": f"""WITH {p}, tg AS (SELECT min(p_partkey) AS k FROM prod GROUP BY p_type, p_brand), o AS (SELECT parent_asin AS target, p_type, CAST(p_size AS VARCHAR) AS s FROM prod JOIN tg ON k = p_partkey),
+          c0 AS (SELECT p_type, CAST(p_size AS VARCHAR) AS v, count(*) AS n FROM prod GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY p_type) AS pool FROM c0)
+          SELECT target, 'detail:size' AS field, arg_min(v, (-n, v)) AS value FROM o JOIN c USING (p_type) WHERE pool >= 3 AND NOT contains(s, v) GROUP BY target""",
+        "conversation_questions": f"""WITH t AS (SELECT substring(coalesce(text, ''), 1, 1200) AS m FROM conversations), u AS (SELECT m, ' ' || {normal("m")} || ' ' AS n FROM t),
+          a AS (SELECT m, list_filter([{named}], lambda x: x IS NOT NULL) AS named, regexp_matches(m, '(?i){BROAD}') AS broad FROM u)
+          SELECT CASE WHEN len(named) > 0 THEN 'natural_language' WHEN broad THEN 'broad_question' ELSE 'unsupported' END AS reason,
+          CASE WHEN len(named) > 0 THEN 'ask:' || array_to_string(list_sort(named), '+') WHEN broad THEN 'ask:broad' ELSE 'unsupported' END AS signature, count(*) AS n FROM a GROUP BY ALL""",
         "unique_prefix": """SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_type) = 1 THEN 1 WHEN count(*) OVER (PARTITION BY p_type, p_brand) = 1 THEN 2
           WHEN count(*) OVER (PARTITION BY p_type, p_brand, p_size) = 1 THEN 3 ELSE 0 END AS k, count(*) OVER (PARTITION BY p_type, p_brand) AS visible_count FROM part""",
         "normalize_text": f"SELECT doc_id, md5({normal('text')}) AS digest FROM documents",

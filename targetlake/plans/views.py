@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, number_text
+from ..functions.vocab import PROFILE_SUMMARY
 from ..operators.facts import make_fact, price_ceiling, render_fact, render_facts
 
 #: DuckDB's view of the same product columns.
@@ -50,7 +51,7 @@ def samples(catalog: DataFrame) -> DataFrame:
     price = make_fact(F.lit("price"), "le", ceiling, "price", number_text(ceiling), "budget", number="float")
     profile = F.struct(
         F.lit("occasional").alias("purchase_frequency"), F.lit(None).cast("double").alias("average_prior_rating"), F.lit("balanced").alias("rating_style"),
-        F.array().cast("array<string>").alias("preference_tags"), F.lit("I usually shop with a few preferences in mind.").alias("summary"),
+        F.array().cast("array<string>").alias("preference_tags"), F.lit(PROFILE_SUMMARY).alias("summary"),
     )
     facts = sample_targets(catalog).select(F.col("parent_asin").alias("target"), F.array(category, store).alias("query_facts"), F.array(detail, price).alias("clarification_facts"), profile.alias("user_profile"))
     none = facts.select(F.slice("query_facts", 1, 0).alias("x")).schema["x"].dataType.simpleString()

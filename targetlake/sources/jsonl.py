@@ -12,7 +12,7 @@ from ..functions.text import parse_number
 from ..operators.facts import number_text
 from ..operators.predicates import FACT
 from ..operators.validate import SAMPLE
-from .catalog import read_json_lines
+from .catalog import check_json_lines, read_json_lines
 
 
 def fact_json(fact: Column) -> Column:
@@ -71,15 +71,22 @@ def _fact_out(f: Column) -> Column:
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples from JSON lines in the columns of ``SAMPLE``."""
+    """Samples from JSON lines in the columns of ``SAMPLE``.
+
+    What is no list of facts is an empty one, and items that are no objects are left out;
+    partitions and user_profile must be objects.
+    """
+    check_json_lines(spark, path)
     of = lambda at, kind: F.try_variant_get("j", at, kind)
-    facts = lambda at: F.transform(F.coalesce(of(at, f"array<{_FACT_IN}>"), F.array().cast(f"array<{_FACT_IN}>")), _fact_out)
+    objects = lambda at: F.filter(F.coalesce(of(at, "array<variant>"), F.array().cast("array<variant>")), lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    facts = lambda at: F.transform(objects(at), lambda x: _fact_out(F.try_variant_get(x, "$", _FACT_IN)))
+    needed = lambda at, then: F.when(F.coalesce(F.schema_of_variant(of(at, "variant")).startswith("OBJECT"), F.lit(False)), then).otherwise(F.raise_error(F.lit(f"{at[2:]} of a sample is no object")))
     profile = "struct<purchase_frequency:string,average_prior_rating:double,rating_style:string,preference_tags:array<string>,summary:string>"
     change = of("$.override", f"struct<turn:int,old_fact:{_FACT_IN},new_fact:{_FACT_IN},replaces_fact_id:string,message:string>")
     override = F.when(change.isNotNull(), F.struct(change["turn"].alias("turn"), _fact_out(change["old_fact"]).alias("old_fact"), _fact_out(change["new_fact"]).alias("new_fact"), change["replaces_fact_id"].alias("replaces_fact_id"), change["message"].alias("message")))
     columns = {
-        "sample_id": of("$.sample_id", "string"), "seed": F.coalesce(of("$.seed", "bigint"), F.lit(0)), "schema_version": F.coalesce(of("$.schema_version", "int"), F.lit(1)), "scenario_type": of("$.scenario_type", "string"),
-        "target": of("$.target_parent_asin", "string"), "query": of("$.query", "string"), "user_profile": of("$.user_profile", profile), "signature": facts("$.signature"), "query_facts": facts("$.partitions.query"),
+        "sample_id": needed("$.partitions", of("$.sample_id", "string")), "seed": F.coalesce(of("$.seed", "bigint"), F.lit(0)), "schema_version": F.coalesce(of("$.schema_version", "int"), F.lit(1)), "scenario_type": of("$.scenario_type", "string"),
+        "target": of("$.target_parent_asin", "string"), "query": of("$.query", "string"), "user_profile": needed("$.user_profile", of("$.user_profile", profile)), "signature": facts("$.signature"), "query_facts": facts("$.partitions.query"),
         "profile_facts": facts("$.partitions.profile"), "clarification_facts": facts("$.partitions.clarification"), "replies": of("$.simulator.clarification_replies", "array<struct<fact_id:string,message:string>>"),
         "override": override, "metadata": of("$.metadata", "map<string,string>"),
     }

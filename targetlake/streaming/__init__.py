@@ -1 +1 @@
-"""Part of targetlake."""
+"""Streams of recorded sessions."""

@@ -1,21 +1,18 @@
-"""Catalog, facts, generation, validation, dialogue and metrics on a catalog of four products."""
+"""Catalog, facts, masks, generation, validation, traces and metrics on a catalog of four products."""
 
 import json
-import sys
 
 import pytest
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from targetlake import cli
 from targetlake.functions import text as T
-from targetlake.operators import generate, metrics, predicates, validate
+from targetlake.operators import generate, masks, metrics, predicates, questions, validate
 from targetlake.plans.entries import QUESTIONS
 from targetlake.sources import catalog as C
-from targetlake.sources import jsonl
-from targetlake.streaming import dialogue
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not import the tests
+from targetlake.sources import jsonl, scratch
+from targetlake.sources import traces as TR
+from targetlake.streaming import traces as streams
 
 
 def product(ident, title, price, color, size, rating, count, **more):
@@ -73,6 +70,18 @@ def test_bad_lines_fail(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"parent_asin": "a"}\n[1]\n')
     with pytest.raises(Exception, match="not a JSON object"):
         C.products(C.read_json_lines(spark, str(tmp_path / "x.jsonl"))).collect()
+    with pytest.raises(ValueError, match=r"x\.jsonl, line 2: not a JSON object: \[1\]"):
+        C.read_catalog(spark, str(tmp_path / "x.jsonl"))
+    (tmp_path / "y.jsonl").write_text('{"parent_asin": "a"}\n\n' * 2000 + '{"parent_asin": \n')
+    with pytest.raises(ValueError, match="line 4001"):
+        C.check_json_lines(spark, str(tmp_path / "y.jsonl"))
+
+
+def test_nested_values_become_text(spark):
+    raw = {"parent_asin": "X", "title": ["Red", None, "", "shoe"], "store": {"name": "Ridge", "note": "", "tags": []}, "details": {"Sizes": ["10", "11"], "Care": {"wash": "cold"}, "Note": "[x"}}
+    row = C.catalog_from_records(spark, [raw]).first()
+    assert row["title"] == "Red shoe" and row["store"] == "name Ridge"
+    assert [(d["key"], d["value"]) for d in row["details"]] == [("Sizes", "10 11"), ("Care", "wash cold"), ("Note", "[x")]
 
 
 def test_text_forms(spark):
@@ -93,8 +102,9 @@ def test_tampering_is_found(catalog, posting, samples):
     broken = samples.withColumn("query", F.lit("hello")).withColumn("target", F.when(F.col("scenario_type") == "intent_override", "gone").otherwise(F.col("target")))
     found = {r["sample_id"]: r for r in validate.validated(catalog, posting, broken).collect()}
     assert not any(r["valid"] for r in found.values())
-    assert any("evidence is not rendered by the query text" in e for r in found.values() for e in r["errors"])
-    assert any(r["errors"] == ["target_parent_asin is not present in catalog"] and r["diagnostics"] is None for r in found.values())
+    assert any("query[0].unsaid" in r["errors"] for r in found.values())
+    assert any(r["errors"] == ["unknown_target"] and r["diagnostics"] is None for r in found.values())
+    assert all(e.rpartition(".")[2] in validate.RULES for r in found.values() for e in r["errors"])
     whole = validate.rolled_up(validate.validated(catalog, posting, broken)).first()
     assert not whole["valid"] and whole["invalid_count"] == 2
 
@@ -108,56 +118,91 @@ def test_samples_survive_files(spark, catalog, posting, samples, tmp_path):
     assert list(line) == sorted(line) and "override" in line
 
 
-class Ranked:
-    """Recommends a fixed list and asks about color, then anything else."""
-
-    def reset(self, session_id, user_profile):
-        assert "target" not in user_profile
-
-    def respond(self, session_id, user_message, turn, top_k):
-        return {"message": "Which color?" if turn < 3 else "Here.", "ask_attribute": None, "recommendations": ["zz", *(f"Q00000000{k}" for k in (4, 3, 2, 1, 1))], "stages": {"final_ids": ["Q000000001"]}}
-
-
-class Broken(Ranked):
-    """Fails on its first turn."""
-
-    def respond(self, session_id, user_message, turn, top_k):
-        raise KeyError("no")
+def test_bad_samples_from_files(spark, samples, tmp_path):
+    line = json.loads(jsonl.sample_lines(samples).first()["value"])
+    good = line | {"signature": [*line["signature"], "no fact", None], "override": None}
+    (tmp_path / "a.jsonl").write_text(json.dumps(good))
+    assert len(jsonl.read_samples(spark, str(tmp_path / "a.jsonl")).first()["signature"]) == len(line["signature"])
+    for name in ("partitions", "user_profile"):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps(line | {name: [1]}))
+        with pytest.raises(Exception, match=f"{name} of a sample is no object"):
+            jsonl.read_samples(spark, str(tmp_path / f"{name}.jsonl")).collect()
+    (tmp_path / "b.jsonl").write_text(json.dumps(line | {"signature": [{"field": "store", "operator": "eq", "value": True, "source": "store"}]}))
+    with pytest.raises(Exception, match="fact value must be"):
+        jsonl.read_samples(spark, str(tmp_path / "b.jsonl")).collect()
 
 
-def test_dialogue_and_metrics(catalog, posting, samples):
-    trace = dialogue.evaluated(catalog, posting, samples, Ranked).cache()
-    rows = trace.orderBy("sample_id", "obs_pos").collect()
-    assert rows[0]["recommendations"] == ["Q000000004", "Q000000003", "Q000000002", "Q000000001"] and not any(r["error"] for r in rows)
-    assert {r["status"] for r in rows} <= {"revealed", "reconfirmed", "repeated", "exhausted", "unsupported", "intent_override_scheduled", None}
-    scores = metrics.scored(metrics.first_target(trace)).collect()
-    assert all(r["hit_at_10"] for r in scores) and {r["target_turn"] for r in scores} == {1, 2}
-    failed = cli.report(dialogue.evaluated(catalog, posting, samples, Broken))
-    assert failed["summary"]["error_count"] == 2 and failed["summary"]["mttc"] == 11.0 and "samples with protocol errors: 2" in cli.format_report(failed)
-
-
-def fact(ident, attribute, bit, alias):
-    return {"fact_id": ident, "attribute": attribute, "bit": bit, "aliases": [alias], "replies": [f"{ident} even", f"{ident} odd"]}
-
-
-def test_simulated_user_boundaries():
-    user = dialogue.SimulatedUser([fact("a", "brand", 1, "brand")], [fact("b", "color", 2, "color"), fact("c", "size", 4, "size")], [{"mask": 7, "n": 1}, {"mask": 3, "n": 2}, {"mask": 1, "n": 5}])
-    assert user.count() == 8
-    assert user.answer(None, "up to you?")["status"] == "no_preference" and user.answer(None, "fine")["status"] == "unsupported"
-    assert user.answer("size", "Which color?")["status"] == "ambiguous"
-    seen = user.answer(None, "Which color?")
-    assert (seen["status"], seen["revealed"], seen["candidate_count"], seen["hidden_remaining"]) == ("revealed", ["b"], 3, 1)
-    assert user.answer(None, "what shade")["status"] == "repeated" and user.answer("brand", "Which brand?")["status"] == "reconfirmed"
-    assert user.answer(None, "anything else?")["revealed"] == ["c"] and user.answer(None, "Which material?")["status"] == "exhausted"
-    assert user.answer(None, "Which style?", turn=11)["status"] == "max_turns"
-    assert user.override("zz")["status"] == "unsupported"
-
-
-@pytest.mark.parametrize(("message", "ask", "resolved", "reason", "signature"), QUESTIONS)
-def test_questions(message, ask, resolved, reason, signature):
-    got = dialogue.asked(message, ask)
-    assert (",".join(got["resolved"]), got["reason"], got["signature"]) == (resolved, reason, signature)
+STATED = [
+    ("store", "eq", "ridge"), ("store", "neq", "Ridge"), ("store", "not", "idg"), ("store", "contains", "ow"), ("color", "eq", "red"), ("color", "not", "red"), ("feature", "has", "rain out"), ("detail:Color", "contains", "bl"),
+    ("detail:color", "eq", "Black"), ("price", "le", "79"), ("price", "eq", "79.0000005"), ("price", "neq", "49"), ("rating", "ge", "4.6"), ("rating_count", "max", "1200"), ("price", "neq", "none"), ("store", "like", "ridge"), ("title_token", "not", "blue"),
+]
 
 
-def test_recommendations():
-    assert dialogue.recommended([{"product_id": " a ", "score": True}, "a", None, {"parent_asin": "b", "score": 2}, "c"], {"a", "b"}, 2) == [("a", None), ("b", 2.0)]
+def test_masks_against_predicates(spark, catalog, posting):
+    """Every product's mask by direct evaluation of each fact."""
+    held = {(r["field"], r["value"]) for r in posting.collect()}
+    fact = lambda f: F.struct(*[F.lit(x).alias(c) for c, x in zip(("field", "operator", "value_str"), f, strict=True)], F.lit(None).cast("double").alias("value_num"))
+    rows = C.with_values(catalog)
+    listed = [(f[0], spark.range(1).select(T.normalize_text(F.lit(f[2]))).first()[0]) in held for f in STATED]
+    own = rows.select("parent_asin", *[F.coalesce(predicates.member(fact(f), F.lit(flag)), F.lit(False)).alias(str(i)) for i, (f, flag) in enumerate(zip(STATED, listed, strict=True))]).collect()
+    samples = spark.createDataFrame([("all", "Q000000001"), ("none", "gone")], "sample_id string, target string").withColumn("facts", F.when(F.col("sample_id") == "all", F.array(*[fact(f) for f in STATED])).otherwise(F.array(fact(STATED[0])).cast("array<struct<field:string,operator:string,value_str:string,value_num:double>>")))
+    samples = samples.withColumn("facts", F.when(F.col("sample_id") == "none", F.slice("facts", 1, 0)).otherwise(F.col("facts")))
+    got = {(r["sample_id"], r["mask"]): (r["n"], r["target_mask"]) for r in masks.mask_histogram(catalog, posting, samples).collect()}
+    want = {}
+    for r in own:
+        mask = sum(1 << i for i in range(len(STATED)) if r[str(i)])
+        n, target = want.get(("all", mask), (0, None))
+        want["all", mask] = (n + 1, mask if r["parent_asin"] == "Q000000001" else target)
+    assert got == want | {("none", 0): (4, None)}
+    many = samples.where("sample_id = 'all'").withColumn("facts", F.array_repeat(F.get("facts", 0), 70))
+    with pytest.raises(Exception, match="more than 62 facts"):
+        masks.mask_histogram(catalog, posting, many).collect()
+
+
+def session(ident, target, observations, **more):
+    return {"sample_id": ident, "scenario_type": "direct_search", "target_parent_asin": target, "trace": observations} | more
+
+
+TURNS = [{"turn": 1, "recommendations": [{"parent_asin": "b"}, " a "], "simulator_status": "revealed"}, "no object", {"turn": "2", "recommendations": ["a"]}, {"turn": None, "recommendations": "a"}]
+
+
+def test_traces_and_metrics(spark, tmp_path):
+    lines = [session("1", "a", TURNS), session("2", "z", TURNS), session("3", "a", TURNS, metrics_start_turn="2"), session("4", "a", []), session("6", "a", "x", turns=TURNS)]
+    turns = session("5", "a", None, turns=TURNS)
+    del turns["trace"]
+    (tmp_path / "t.jsonl").write_text("\n".join(json.dumps(x) for x in [*lines, turns]))
+    trace = TR.read_traces(spark, str(tmp_path / "t.jsonl")).cache()
+    assert trace.where("sample_id = '1'").count() == 3
+    got = {r["sample_id"]: (r["target_turn"], r["target_rank"], r["clarification_turns"]) for r in metrics.first_target(trace).collect()}
+    assert got == {"1": (1, 2, 1), "2": (None, None, 1), "3": (2, 1, 1), "4": (None, None, 0), "5": (1, 2, 1), "6": (None, None, 0)}
+    summary = cli.report(trace)["summary"]
+    assert (summary["count"], summary["hits"], summary["mrr"]) == (6, 3, round((0.5 + 1 + 0.5) / 6, 6)) and summary["statuses"] == {"revealed": 4}
+    assert "direct_search" in cli.format_report({"summary": summary})
+    # The same from a stream of files.
+    query = streams.first_targets(spark, str(tmp_path)).writeStream.format("memory").queryName("first_hits").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "_state")).start()
+    query.awaitTermination(120)
+    assert {r["sample_id"]: (r["target_turn"], r["target_rank"], r["clarification_turns"]) for r in spark.table("first_hits").collect()} == got
+
+
+def test_commands(spark, catalog, posting, samples, tmp_path, capsys):
+    (tmp_path / "catalog.jsonl").write_text("\n".join(json.dumps(r) for r in RECORDS))
+    jsonl.write_samples(samples, str(tmp_path / "set"))
+    made = samples.collect()
+    lines = [session(r["sample_id"], "ignored", [{"turn": 1, "recommendations": ["x", r["target"]]}]) for r in made]
+    (tmp_path / "t.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    common = ["--catalog", str(tmp_path / "catalog.jsonl"), "--dataset", str(tmp_path / "set")]
+    assert cli.main(["validate", *common, "--output", str(tmp_path / "v.json")], spark) == 0 and json.loads((tmp_path / "v.json").read_text())["valid"]
+    assert cli.main(["evaluate", *common, "--traces", str(tmp_path / "t.jsonl"), "--output", str(tmp_path / "e.json")], spark) == 0
+    assert json.loads((tmp_path / "e.json").read_text())["summary"]["mrr"] == 0.5 and "2 of 2 samples are valid" in capsys.readouterr().out
+    (tmp_path / "t2.jsonl").write_text(json.dumps(lines[0]))
+    assert cli.main(["evaluate", *common, "--traces", str(tmp_path / "t2.jsonl"), "--output", str(tmp_path / "e.json")], spark) == 1
+
+
+def test_questions(spark):
+    asked = spark.createDataFrame([(i, m, a) for i, (m, a, *_) in enumerate(QUESTIONS)], "i int, m string, a string")
+    got = {r["i"]: (",".join(r["q"]["resolved"]), r["q"]["reason"], r["q"]["signature"]) for r in asked.select("i", questions.interpreted(F.col("m"), F.col("a")).alias("q")).collect()}
+    assert got == {i: tuple(q[2:]) for i, q in enumerate(QUESTIONS)}
+
+
+def test_scratch(spark):
+    assert scratch.written(spark.range(3), "t").count() == 3
