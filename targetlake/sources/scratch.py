@@ -47,8 +47,3 @@ def clear(spark: SparkSession) -> None:
     """Remove the application's written tables; what reads them must have been written elsewhere."""
     at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    """Number of shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
