@@ -346,12 +346,13 @@ def _labelled(docs: DataFrame, keys: tuple[str, ...] = (), hot: int = HOT) -> Da
     sets = written(set_table(docs, keys), "jaccard-sets")
     size = sets.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     parts = max(partitions(docs.sparkSession), -(-size // PART_KEYS))
-    classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
+    # Written, so that joins by a class or node that many rows have are between two shuffles, which Spark splits.
+    classes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first")), "jaccard-classes")
     # Nodes are ordered by their least id, so that a component's least node names its least id.
     side = lambda x: classes.select(F.col("node").alias(x), F.struct("first", "node").alias(f"named_{x}"))
-    named = links(docs, parts, hot).join(side("a"), "a").join(side("b"), "b").select(F.col("named_a").alias("a"), F.col("named_b").alias("b"))
+    named = written(links(docs, parts, hot).distinct(), "jaccard-links").join(side("a"), "a").join(side("b"), "b").select(F.col("named_a").alias("a"), F.col("named_b").alias("b"))
     found = components(named).select("node.node", F.col("component.first").alias("least"), F.col("component.node").alias("component"))
-    ids = classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("least", "first").alias("component_id"))
+    ids = written(classes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("least", "first").alias("component_id")), "jaccard-ids")
     out = sets.join(ids, "node", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "component", *keys)
