@@ -1,15 +1,16 @@
 """Fixed values that results depend on: word lists, thresholds and sentences."""
 
 # Fixed values. Words that are never title or question tokens.
-STOPWORDS = (
-    "a an and are as at be but by for from i in is it me my of on or please some that the this to want with "
-    "would you looking need prefer preference product item women woman men man new best set"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "i", "in", "is", "it", "me", "my", "of", "on", "or", "please", "some",
+    "that", "the", "this", "to", "want", "with", "would", "you", "looking", "need", "prefer", "preference", "product", "item", "women", "woman",
+    "men", "man", "new", "best", "set",
+]
 # Fixed values. Tokens that alone don't make a feature worth stating.
-GENERIC_TOKENS = (
-    "women woman womens men mens adult kids child clothing shoes jewelry fashion style classic new quality premium "
-    "great best design comfortable comfort available imported machine wash closure pack piece"
-).split()
+GENERIC_TOKENS = [
+    "women", "woman", "womens", "men", "mens", "adult", "kids", "child", "clothing", "shoes", "jewelry", "fashion", "style", "classic", "new",
+    "quality", "premium", "great", "best", "design", "comfortable", "comfort", "available", "imported", "machine", "wash", "closure", "pack", "piece",
+]
 # Fixed values. A detail whose key holds one of these is not stated.
 UNSAFE_DETAIL_KEYS = (
     "asin", "model", "item model", "date first", "date last", "best sellers", "dimensions", "weight", "manufacturer part",
@@ -20,8 +21,12 @@ NEGATIVE_UNSAFE_KEYS = (
     "asin", "model", "date", "dimension", "weight", "rank", "sku", "upc", "battery", "batteries", "country", "origin", "isbn", "manufacturer part",
 )
 # Fixed values. Colors and materials that are looked for in a product's text.
-COLORS = "black white blue red pink green brown gray grey purple yellow orange navy beige silver gold".split()
-MATERIALS = "cotton polyester nylon leather wool spandex silk rayon fabric linen suede denim".split()
+COLORS = [
+    "black", "white", "blue", "red", "pink", "green", "brown", "gray", "grey", "purple", "yellow", "orange", "navy", "beige", "silver", "gold",
+]
+MATERIALS = [
+    "cotton", "polyester", "nylon", "leather", "wool", "spandex", "silk", "rayon", "fabric", "linen", "suede", "denim",
+]
 # Fixed values. Attributes in the order in which answers name them.
 ATTRIBUTES = ("category", "material", "color", "size", "style", "brand", "budget", "feature", "use_case", "other")
 # Fixed values. Words that name an attribute in a question.
@@ -49,9 +54,10 @@ FIELD_ALIASES = {
     "rating_count": ("review count", "number of reviews", "popularity"),
 }
 # Fixed values. Words that never route a question.
-ROUTING_STOPWORDS = (
-    "have has include includes look looking use using work wear need want find tell get does do can could would please something thing item product"
-).split()
+ROUTING_STOPWORDS = [
+    "have", "has", "include", "includes", "look", "looking", "use", "using", "work", "wear", "need", "want", "find", "tell", "get", "does", "do",
+    "can", "could", "would", "please", "something", "thing", "item", "product",
+]
 # Fixed values. Patterns that tell questions and what they ask for; all ignore case.
 QUESTION = r"\?|\b(?:what|which|who|whose|where|when|how|can\s+you|could\s+you|would\s+you|do\s+you|are\s+you|tell\s+me|please\s+(?:tell|specify|share))\b"
 BROAD = (
