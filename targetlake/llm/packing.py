@@ -41,7 +41,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces, at most on average, of a part of one length that is ranked in one task.
 PART_PIECES = 500_000
 #: Distinct runs whose ids a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 200_000
 
 
 # ---------------------------------------------------------------- tokens
