@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, jaccard, language_id, lm_scoring, oracles, packing, quality_classifier, quality_rules, secret_scans, sharding
+from . import decontamination, fill_in_middle, filter_audit, html_extraction, jaccard, language_id, lm_scoring, mixing, oracles, packing, quality_classifier, quality_rules, secret_scans, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +65,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each order of five filters removes, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, form and digests of every document."""
+    return fill_in_middle.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The registered queries."""
     operators = (
         op1_quality_rules, op2_secret_scans, op3_lm_scoring, op4_best_fit_packing, op5_quality_classifier,
         op6_benchmark_decontamination, op7_html_extraction, op8_ngram_jaccard_join, op9_language_id, op10_sharding,
+        op11_mixing, op12_filter_audit, op13_fill_in_middle,
     )
     return {f.__name__: f for f in operators}
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scans
+from itertools import permutations
+
+from . import filter_audit, fill_in_middle, mixing, quality_rules, secret_scans
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -95,6 +97,63 @@ def jaccard_sql() -> str:
       SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) c USING (doc_id)"""
 
 
+def mixing_sql() -> str:
+    """Targets by the level that fills the budget, and words taken by prefix sums in the order of the keys."""
+    hashed = "('0x' || substr(sha256('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text), 1, 13))::BIGINT"
+    symbols = "length(text) - length(translate(text, '#*$%&|<>', ''))"
+    lines = "string_split(text, chr(10))"
+    weight = f"greatest(0.05::DOUBLE, 1.0::DOUBLE - 20.0::DOUBLE * ({symbols}) / (length(text) + 1)) * greatest(0.05::DOUBLE, len(list_distinct({lines}))::DOUBLE / len({lines}))"
+    weights = f"({list(mixing.WEIGHTS)})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+      m AS (SELECT r, doc_id, source, len(regexp_extract_all(text, '{_WORD}')) AS size, ln(-ln(({hashed}::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)) - ln({weight}) AS key FROM d),
+      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM m GROUP BY source),
+      w AS (SELECT *, {weights} AS weight, source_size * {float(mixing.MOST_EPOCHS)}::DOUBLE AS cap FROM s),
+      l AS (SELECT max(({mixing.BUDGET}::DOUBLE * total - full_before) / free) AS level FROM (SELECT (SELECT sum(source_size)::DOUBLE FROM s) AS total,
+        coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+        sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w WHERE cap > 0)),
+      t AS (SELECT source, source_size, least(weight * coalesce(level, 0), cap) AS target FROM w, l),
+      e AS (SELECT *, least(CAST(round(target) AS BIGINT), source_size * {mixing.MOST_EPOCHS}) AS words FROM t),
+      k AS (SELECT m.*, source_size, target, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs, words - epochs * source_size AS rest FROM m JOIN e ON m.source IS NOT DISTINCT FROM e.source),
+      o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k)
+      SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM o"""
+
+
+def audit_sql() -> str:
+    """Every order's steps applied to the documents, counted by the filters they fail."""
+    bits = {x: 1 << k for k, x in enumerate(filter_audit.FILTERS)}
+    orders = ", ".join(f"'{''.join(p)}'" for p in permutations(bits))
+    mask = lambda letters: " + ".join(f"CASE WHEN contains({letters}, '{x}') THEN {b} ELSE 0 END" for x, b in bits.items())
+    number = lambda test: f"CAST(coalesce(sum(n) FILTER ({test}), 0) AS BIGINT)"
+    gone = "mask & before = 0 AND mask & bit <> 0"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+      f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM d),
+      l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+      c AS (SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+      o AS (SELECT unnest([{orders}]) AS filter_order), s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+      b AS (SELECT *, {mask("substr(filter_order, step, 1)")} AS bit, {mask("substr(filter_order, 1, step - 1)")} AS before FROM s),
+      r AS (SELECT part, filter_order, step, bit, {number("mask & (before | bit) = 0")} AS kept, {number(gone)} AS removed, {number("mask & before <> 0 AND mask & bit <> 0")} AS redundant,
+        {number("mask = bit")} AS unique_fails, {number(gone + " AND good")} AS good_lost, {number(gone + " AND toxic")} AS toxic_lost FROM c, b GROUP BY part, filter_order, step, bit)
+      SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+
+def fill_in_middle_sql() -> str:
+    """Parts by lists of units."""
+    h = ", ".join(f"('0x' || substr(x, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+    p, s, m = fill_in_middle.PREFIX, fill_in_middle.SUFFIX, fill_in_middle.MIDDLE
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+      u AS (SELECT *, {h}, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS t, len(t) AS n FROM d),
+      c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+      f AS (SELECT *, CASE WHEN text = '' OR contains(text, '{p}') OR contains(text, '{s}') OR contains(text, '{m}') OR h3 % 100 >= {100 - fill_in_middle.PLAIN} THEN 'plain' WHEN h4 % 100 < {fill_in_middle.SPM} THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle, array_to_string(t[b + 1:n], '') AS suffix FROM c)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query."""
-    return {"op1_quality_rules": quality_sql(), "op2_secret_scans": secrets_sql(), "op6_benchmark_decontamination": decontamination_sql(), "op8_ngram_jaccard_join": jaccard_sql()}
+    return {
+        "op1_quality_rules": quality_sql(), "op2_secret_scans": secrets_sql(), "op6_benchmark_decontamination": decontamination_sql(), "op8_ngram_jaccard_join": jaccard_sql(),
+        "op11_mixing": mixing_sql(), "op12_filter_audit": audit_sql(), "op13_fill_in_middle": fill_in_middle_sql(),
+    }
