@@ -165,11 +165,11 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed(docs: DataFrame, weight: Column | None = None, seed: int = 11) -> DataFrame:
     """The mixture: each document once for every complete epoch and once for its part of the next, cut there if it is at the edge; ``epoch`` counts from 0."""
-    whole = docs.select(F.struct("*").alias("_whole"), F.monotonically_increasing_id().alias("_row"))
-    numbered = written(whole, "mixing-docs")
-    rows = sized(numbered.select("_whole.*", "_row"), weight, seed, F.col("_row"))
+    weight = quality_weight(F.coalesce("text", F.lit(""))) if weight is None else weight
+    numbered = written(docs.select(F.struct("*").alias("_whole"), weight.alias("_weight"), F.monotonically_increasing_id().alias("_row")), "mixing-docs")
+    rows = sized(numbered.select("_whole.doc_id", "_whole.text", "_whole.source", "_weight", "_row"), F.col("_weight"), seed, F.col("_row"))
     chosen = taken(rows, edges(rows, targets(rows))).select("row", "size", "part", F.col("epochs").cast("int").alias("times")).where("times > 0 OR part > 0")
-    joined = numbered.join(chosen, F.col("_row") == F.col("row"))
+    joined = numbered.drop("_weight").join(chosen, F.col("_row") == F.col("row"))
     times = F.when(F.col("part") > 0, F.col("times")).otherwise(F.col("times") - 1)
     rows = joined.select("_whole", "times", "part", "size", F.explode(F.sequence(F.lit(0), times)).alias("epoch"))
     cut = (F.col("epoch") == F.col("times")) & (F.col("part") < F.col("size"))
