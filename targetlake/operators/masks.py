@@ -2,126 +2,281 @@
 
 Each product has a bit mask of the facts of a sample that it satisfies; products
 are counted by (sample, mask). The count of any subset S is the sum over masks
-that hold S. A sample with k facts has at most 2**k rows.
+that hold S. Masks are arrays of bigints, ``BITS`` facts a word, as many words as the
+longest sample needs.
 
 No product is held against every sample. Statements about texts are equi-joins with
-the index or, for parts of texts, with the field's distinct values; a negated one
-is true by default and its hits turn it off, so only hits are rows. Numbers cut
-the catalog into cells between the samples' thresholds, so that all products are
-counted by cell once; products that texts have hit are then taken out of
-their sample's default and counted one by one.
+the index or, for parts of texts, with the field's distinct values that share their
+rarest trigrams; a negated one is true by default and its hits turn it off, so only
+hits are rows. A statement about numbers is an interval between two places in the
+order of the field's values. A sample's own places cut each field into cells, and
+the products in each box of cells follow from counts of products at or below its
+corners, see :mod:`.dominance`: rows are near (products + thresholds) x log. Products
+that texts have hit are then taken out of their sample's default and counted one by one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from ..functions.vocab import EQUAL, HOLDS, NEGATIVE, NUMERIC
+from ..functions.vocab import AT_LEAST, AT_MOST, EQUAL, HOLDS, NEGATIVE, NUMERIC
 from ..sources.catalog import with_values
 from ..sources.scratch import written
+from .dominance import dominated
 from .predicates import expected_number, match_numeric
+from .ranks import prefix_sums
+
+#: Facts in one word of a mask.
+BITS = 62
+#: Parts of 2**-16 in which a number is looked for near a threshold: wider than any tolerance.
+NEAR = 65536.0
+#: Trigrams, the rarest, that a value must share with a part before it is compared.
+PROBES = 2
+
+
+def has(mask: Column, place: Column) -> Column:
+    """Whether a mask holds the fact at a place."""
+    word = F.coalesce(F.get(mask, F.floor(place / BITS).cast("int")), F.lit(0).cast("bigint"))
+    return F.call_function("shiftright", word, (place % BITS).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
 
-#: Facts of a sample at most, as a mask is a bigint.
-MOST_FACTS = 62
-#: Widest tolerance of a comparison of numbers.
-NEAR = 1e-5
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % BITS).cast("int"))
 
 
-def bit(place: Column) -> Column:
-    """The mask of one fact."""
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place.cast("int"))
+def _either(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
 
 
 def _stated(samples: DataFrame) -> DataFrame:
-    """(sample_id, bit, kind, field, value, operator, number): the samples' facts, each normalised once."""
-    few = F.when(F.size("facts") > MOST_FACTS, F.raise_error(F.concat(F.lit(f"a sample has more than {MOST_FACTS} facts: "), F.col("sample_id"))).cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("facts") - 1))
-    facts = samples.where(F.size("facts") > 0).select("sample_id", F.explode(F.arrays_zip(few.alias("pos"), F.col("facts").alias("fact"))).alias("x")).select("sample_id", "x.pos", "x.fact")
+    """(sample_id, pos, kind, field, value, operator, number): the samples' facts, each normalised once."""
+    facts = samples.where(F.size("facts") > 0).select("sample_id", F.posexplode("facts").alias("pos", "fact"))
     field, operator = F.col("fact.field"), F.col("fact.operator")
     kind = (
         F.when(field.isin(*NUMERIC), "number").when(operator.isin(*EQUAL), "equal").when(operator.isin(*HOLDS), "holds").when(operator.isin(*NEGATIVE), "lacks").otherwise("never")
     )
-    return facts.select("sample_id", bit(F.col("pos")).alias("bit"), kind.alias("kind"), field.alias("field"), normalize_text(F.col("fact.value_str")).alias("value"), operator.alias("operator"), expected_number(F.col("fact")).alias("number"))
+    return facts.select("sample_id", "pos", kind.alias("kind"), field.alias("field"), normalize_text(F.col("fact.value_str")).alias("value"), operator.alias("operator"), expected_number(F.col("fact")).alias("number"))
+
+
+def _words_of(places: Column, words: int) -> list[Column]:
+    """Aggregates of the words of a mask that holds the places of all rows."""
+    zero = F.lit(0).cast("bigint")
+    return [F.coalesce(F.bit_or(F.when(F.floor(places / BITS) == w, _bit(places))), zero) for w in range(words)]
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct parts of ``size`` characters; a shorter text has none."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def _text_hits(products: DataFrame, posting: DataFrame, stated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hits (sample_id, parent_asin, bit) of the statements about texts, and the bits (sample_id, default) that are true without a hit."""
+def containing(parts: DataFrame, values: DataFrame) -> DataFrame:
+    """(field, part, value): the distinct values of a field that hold a part of a text.
+
+    ``parts``: field and part; ``values``: field and value, both distinct. Every gram of the part occurs in such a
+    value, so those that have the part's rarest grams are fetched from gram postings, and only they are compared.
+    Parts of fewer than three characters are one gram, and the empty one is in every value.
+    """
+    of_part = F.when(F.length("part") >= 3, _grams(F.col("part"), 3)).otherwise(F.array("part"))
+    asked = parts.select("field", "part", F.explode(of_part).alias("gram"))
+    sizes = sorted(r["n"] for r in asked.select(F.length("gram").alias("n")).distinct().collect())  # 0 to 3
+    every = F.flatten(F.array(*[F.array(F.lit("")) if n == 0 else _grams(F.col("value"), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    key = F.xxhash64("field", "value")
+    posting = values.select("field", key.alias("key"), F.explode(every).alias("gram")).join(asked.select("field", "gram").distinct(), ["field", "gram"], "left_semi")
+    posting = written(posting, "gram-postings")
+    common = posting.groupBy("field", "gram").agg(F.count("*").alias("n"))
+    told = asked.join(common, ["field", "gram"], "left").groupBy("field", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("g"))
+    probes = told.where(F.get("g", 0)["n"] > 0).select("field", "part", F.size("g").alias("grams"), F.explode(F.slice("g", 1, PROBES)).alias("p"))
+    probes = probes.select("field", "part", F.least("grams", F.lit(PROBES)).alias("need"), F.col("p.gram").alias("gram"))
+    shared = probes.join(posting, ["field", "gram"]).groupBy("field", "part", "key").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
+    return shared.join(values.withColumn("key", key), ["field", "key"]).where(F.contains("value", F.col("part"))).select("field", "part", "value")
+
+
+def _text_hits(products: DataFrame, posting: DataFrame, stated: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Hits (sample_id, parent_asin, pos) of the statements about texts, and the bits (sample_id, default) that are true without a hit."""
     said = stated.where("kind IN ('equal', 'holds', 'lacks')")
     index = posting.select(F.col("field").alias("_field"), F.col("value").alias("_value"), "parent_asin")
     same = (F.col("field") == F.col("_field")) & (F.col("value") == F.col("_value"))
     # A negated value that the index has excludes exact matches, any other one what holds it.
-    listed = index.select("_field", "_value").distinct().withColumn("_listed", F.lit(True))
+    listed = index.join(said.where("kind = 'lacks'").select(F.col("field").alias("_field"), F.col("value").alias("_value")), ["_field", "_value"], "left_semi").select("_field", "_value").distinct().withColumn("_listed", F.lit(True))
     marked = said.join(listed, same, "left").drop("_field", "_value").withColumn("exact", (F.col("kind") == "equal") | ((F.col("kind") == "lacks") & F.col("_listed").isNotNull())).drop("_listed")
-    exact = marked.where("exact").join(index, same).select("sample_id", "parent_asin", "bit")
-    part = marked.where("NOT exact").withColumn("of", F.when(F.col("field").startswith("detail:"), F.concat(F.lit("detail:"), normalize_text(F.expr("substring(field, 8)")))).otherwise(F.col("field")))
-    values = products.select("parent_asin", F.explode("vals").alias("v")).select("parent_asin", F.col("v.field").alias("_field"), F.col("v.value").alias("_value"))
-    values = values.join(part.select(F.col("of").alias("_field")).distinct(), "_field", "left_semi")
-    found = part.select("of", "value").distinct().join(values.select("_field", "_value").distinct(), (F.col("of") == F.col("_field")) & F.contains("_value", F.col("value"))).drop("_field")
-    held = found.join(values, (F.col("of") == F.col("_field")) & (found["_value"] == values["_value"])).select(F.col("of").alias("_of"), F.col("value").alias("_wanted"), "parent_asin").distinct()
-    parts = part.join(held, (F.col("of") == F.col("_of")) & (F.col("value") == F.col("_wanted"))).select("sample_id", "parent_asin", "bit")
-    default = said.where("kind = 'lacks'").groupBy("sample_id").agg(F.bit_or("bit").alias("default"))
-    return exact.unionByName(parts), default
-
-
-def _number_mask(numbers: str = "numbers") -> Column:
-    """Bits of the comparisons (``numbers``: bit, field, operator, number) that the row's price, rating and rating_count satisfy."""
-    actual = lambda f: F.when(f["field"] == "price", F.col("price")).when(f["field"] == "rating", F.col("rating")).otherwise(F.col("rating_count"))
-    holds = lambda f: F.coalesce(match_numeric(actual(f), f["operator"], f["number"]), F.lit(False))
-    return F.aggregate(F.coalesce(numbers, F.array().cast("array<struct<bit:bigint,field:string,operator:string,number:double>>")), F.lit(0).cast("bigint"), lambda m, f: m.bitwiseOR(F.when(holds(f), f["bit"]).otherwise(F.lit(0).cast("bigint"))))
+    marked = written(marked, "mask-texts")
+    hits = marked.where("exact").join(index, same).select("sample_id", "parent_asin", "pos")
+    if not marked.where("NOT exact").isEmpty():
+        of = F.when(F.col("field").startswith("detail:"), F.concat(F.lit("detail:"), normalize_text(F.expr("substring(field, 8)")))).otherwise(F.col("field"))
+        part = marked.where("NOT exact").select("sample_id", "pos", of.alias("field"), F.col("value").alias("part"))
+        values = products.select("parent_asin", F.explode("vals").alias("v")).select("parent_asin", "v.field", "v.value")
+        values = written(values.join(part.select("field").distinct(), "field", "left_semi"), "mask-values")
+        found = containing(part.select("field", "part").distinct(), values.select("field", "value").distinct())
+        held = found.join(values, ["field", "value"]).select("field", "part", "parent_asin").distinct()
+        hits = hits.unionByName(part.join(held, ["field", "part"]).select("sample_id", "parent_asin", "pos"))
+    return hits, said.where("kind = 'lacks'").groupBy("sample_id").agg(F.array(*_words_of(F.col("pos"), words)).alias("default"))
+
 
+def _bucket(value: Column) -> Column:
+    """Where a number is looked for; very large ones share a place."""
+    most = float(1 << 62)
+    return F.floor(F.least(F.greatest(value * NEAR, F.lit(-most)), F.lit(most)))
 
-def _cells(products: DataFrame, stated: DataFrame) -> DataFrame:
-    """(fields, price, rating, rating_count, n): products by cell, for each set of numeric fields that a sample uses.
 
-    A cell is what lies between two neighbouring thresholds; values that are near one are cells of their own.
+def _intervals(products: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Statements as intervals of coordinates, the values' coordinates, and each field's highest one.
+
+    (field, operator, number, lo, hi, turned): true for what has a number above ``lo`` up to ``hi``, or with ``turned``
+    for all else. A product without a number has the coordinate 0, the others 1 plus the cuts below their value.
     """
-    told = stated.where("kind = 'number'")
-    used = {r["field"]: sorted(x for x in r["t"] if x is not None) for r in told.groupBy("field").agg(F.collect_set("number").alias("t")).collect()}  # the stated thresholds
-    sets = [r["f"] for r in told.groupBy("sample_id").agg(F.array_sort(F.collect_set("field")).alias("f")).select("f").distinct().collect()]  # 8 at most
+    actual = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in NUMERIC])).alias("x")
+    values = products.select(actual).select("x.field", "x.v").where("v IS NOT NULL").join(told.select("field").distinct(), "field", "left_semi").distinct()
+    values = written(values.withColumn("bucket", _bucket(F.col("v"))), "mask-numbers")
+    compared = told.where("number IS NOT NULL").where(F.col("operator").isin(*AT_MOST, *AT_LEAST, *EQUAL, "neq"))
+    around = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: _bucket(F.col("number")) + k)).alias("bucket")
+    kind = F.when(F.col("operator").isin(*AT_MOST), "le").when(F.col("operator").isin(*AT_LEAST), "ge").otherwise("eq")
+    near = compared.select("field", "operator", "number", kind.alias("kind"), around).join(values, ["field", "bucket"], "left")
+    match = F.coalesce(match_numeric(F.col("v"), F.when(F.col("kind") == "eq", "eq").otherwise(F.col("operator")), F.col("number")), F.lit(False)) & F.col("v").isNotNull()
+    below = ~match & F.col("v").isNotNull() & ((F.col("kind") != "eq") | (F.col("v") < F.col("number")))
+    # Where no value is near, a cut lies just below the parts that were looked at.
+    edge = F.struct((F.min("bucket") / NEAR).alias("at"), F.lit(-1).alias("side"))
+    cut = lambda test: F.coalesce(F.max(F.when(test, F.struct(F.col("v").alias("at"), F.lit(1).alias("side")))), edge)
+    cuts = near.groupBy("field", "operator", "number", "kind").agg(cut(match).alias("upto"), cut(below).alias("from"))
+    cuts = cuts.withColumn("upto", F.when((F.col("kind") == "eq") & (F.col("upto.side") == -1), F.col("from")).otherwise(F.col("upto")))
+    cuts = written(cuts, "mask-cuts")
+    places = cuts.where("kind <> 'ge'").select("field", "upto.*").unionByName(cuts.where("kind <> 'le'").select("field", "from.*")).distinct()
+    both = places.withColumn("cut", F.lit(1)).unionByName(values.select("field", F.col("v").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("cut")))
+    placed = prefix_sums(both, "cut", F.col("field"), F.col("at"), F.col("side"))
+    offset, upto = {}, 0
+    for r in sorted(placed.groupBy("field").agg(F.sum("cut").alias("n")).collect()):  # three fields at most
+        offset[r["field"]], upto = upto, upto + r["n"]
+        offset[r["field"], "n"] = r["n"]
+    highest = {f: offset.get((f, "n"), 0) + 1 for f in NUMERIC}
+    start = reduce(lambda out, f: F.when(F.col("field") == f, offset.get(f, 0)).otherwise(out), NUMERIC, F.lit(0))
+    corner = (F.col("upto") - start).cast("long")
+    axis = placed.where("cut = 0").select("field", F.col("at").alias("v"), (corner + 1).alias("x"))
+    at = placed.where("cut = 1").select("field", "at", "side", corner.alias("corner"))
+    top = reduce(lambda out, f: F.when(F.col("field") == f, F.lit(highest[f])).otherwise(out), NUMERIC, F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
 
-    def cell(field: str) -> Column:
-        value, bounds = F.col(field), F.array(*[F.lit(float(x)) for x in used[field]]).cast("array<double>")
-        near = F.exists(bounds, lambda b: F.abs(value - b) <= NEAR)
-        return F.when(value.isNotNull(), F.struct(F.size(F.filter(bounds, lambda b: b < value)).alias("above"), F.when(near, value).alias("own")))
+    def joined(rows: DataFrame, c: str, name: str) -> DataFrame:
+        key = at.select(F.col("field").alias("_f"), F.col("at").alias("_a"), F.col("side").alias("_s"), F.col("corner").alias(name))
+        return rows.join(key, (F.col("field") == F.col("_f")) & (F.col(f"{c}.at") == F.col("_a")) & (F.col(f"{c}.side") == F.col("_s")), "left").drop("_f", "_a", "_s")
 
+    ends = joined(joined(cuts, "upto", "_hi"), "from", "_lo")
+    known = ends.select("field", "operator", "number", F.when(F.col("kind") == "le", zero).otherwise(F.col("_lo")).alias("lo"), F.when(F.col("kind") == "ge", top).otherwise(F.col("_hi")).alias("hi"))
+    return known.withColumn("turned", F.col("operator") == "neq"), axis, highest
+
+
+def _points(products: DataFrame, axis: DataFrame, fields: list[str]) -> DataFrame:
+    """Products by their coordinates in some fields."""
+    out = products.groupBy(*fields).agg(F.count("*").alias("n"))
+    for f in fields:
+        of = axis.where(F.col("field") == f).select(F.col("v").alias("_v"), F.col("x").alias("_x"))
+        out = out.join(of, F.col(f) == F.col("_v"), "left").withColumn(f, F.coalesce("_x", F.lit(0).cast("long"))).drop("_v", "_x")
+    return out
+
+
+def _boxes(products: DataFrame, numbers: DataFrame, axis: DataFrame, highest: dict[str, int], words: int) -> DataFrame:
+    """(sample_id, own, n): products by the numeric facts of each sample that they satisfy.
+
+    ``numbers``: sample_id, pos, field, lo, hi, turned.
+    """
+    ends = numbers.select("sample_id", "field", F.explode(F.array("lo", "hi")).alias("c"))
+    top = reduce(lambda out, f: F.when(F.col("field") == f, F.lit(highest[f])).otherwise(out), NUMERIC, F.lit(0)).cast("long")
+    corners = ends.groupBy("sample_id", "field").agg(F.collect_set("c").alias("c")).withColumn("c", F.array_sort(F.array_union("c", F.array(F.lit(0).cast("long"), top))))
+    cells = corners.select("sample_id", "field", F.posexplode("c").alias("cell", "c"))
+    true = (F.col("lo") < F.col("c")) & (F.col("c") <= F.col("hi"))
+    marked = cells.join(numbers, ["sample_id", "field"]).groupBy("sample_id", "field", "cell", "c").agg(F.array(*_words_of(F.when(true != F.col("turned"), F.col("pos")), words)).alias("mask"))
+    rows = marked.groupBy("sample_id", "field").agg(F.array_sort(F.collect_list(F.struct("cell", "c", "mask"))).alias("m"))
+    # A corner counts for its own cell and against the next one.
+    signed = F.transform("m", lambda e, i: F.struct(e["c"].alias("c"), F.array_compact(F.array(
+        F.struct(e["mask"].alias("mask"), F.lit(1).alias("sign")), F.when(i + 1 < F.size("m"), F.struct(F.get("m", i + 1)["mask"].alias("mask"), F.lit(-1).alias("sign"))),
+    )).alias("s")))
+    by_field = [F.max(F.when(F.col("field") == f, signed)).alias(f) for f in NUMERIC]
+    wide = written(rows.groupBy("sample_id").agg(*by_field, F.array_sort(F.collect_set("field")).alias("fields")), "mask-cells")
     out = None
-    for fields in [[], *[s for s in sets if s]]:
-        keys = [cell(f).alias(f"_{f}") for f in fields]
-        shown = [(F.any_value(f) if f in fields else F.lit(None).cast("double")).alias(f) for f in NUMERIC]
-        part = products.groupBy(*keys).agg(F.count("*").alias("n"), *shown).select(F.lit(",".join(fields)).alias("fields"), *NUMERIC, "n")
+    for fields in sorted(r["fields"] for r in wide.select("fields").distinct().collect()):  # seven at most
+        own = wide.where(F.col("fields") == F.array(*map(F.lit, fields))).select("sample_id", *fields)
+        for f in fields:
+            own = own.withColumn("_e", F.explode(f)).withColumn(f, F.col("_e.c")).withColumn(f"_{f}", F.col("_e.s")).drop("_e")
+        dims = sorted(fields, key=lambda f: -highest[f])  # what has the most cuts is sorted, the others are divided
+        below = dominated(_points(products, axis, fields), own, dims, highest)
+        part = own.join(below, fields).withColumn("sign", F.col("below")).withColumn("own", F.array(*[F.lit(0).cast("bigint")] * words))
+        for f in fields:
+            part = part.withColumn("_e", F.explode(f"_{f}")).withColumn("own", _either(F.col("own"), F.col("_e.mask"))).withColumn("sign", F.col("sign") * F.col("_e.sign"))
+        part = part.select("sample_id", "own", F.col("sign").alias("n"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _own(words: int) -> Column:
+    """The mask of the comparisons (``numbers``: pos, field, operator, number) that the row's price, rating and rating_count satisfy."""
+    actual = lambda f: F.when(f["field"] == "price", F.col("price")).when(f["field"] == "rating", F.col("rating")).otherwise(F.col("rating_count"))
+    holds = lambda f: F.coalesce(match_numeric(actual(f), f["operator"], f["number"]), F.lit(False))
+    zero = F.lit(0).cast("bigint")
+    some = F.coalesce("numbers", F.array().cast("array<struct<pos:int,field:string,operator:string,number:double>>"))
+    word = lambda w: F.aggregate(F.filter(some, lambda f: F.floor(f["pos"] / BITS) == w), zero, lambda m, f: m.bitwiseOR(F.when(holds(f), _bit(f["pos"])).otherwise(zero)))
+    return F.array(*[word(w) for w in range(words)])
+
+
 def mask_histogram(catalog: DataFrame, posting: DataFrame, samples: DataFrame) -> DataFrame:
     """(sample_id, mask, n, target_mask): products by mask, and the target's own mask on its row.
 
-    ``samples``: sample_id, target, facts; a sample of more than ``MOST_FACTS`` facts fails the query.
+    ``samples``: sample_id, target, facts, of any number.
     """
     products = (catalog if "vals" in catalog.columns else with_values(catalog)).select("parent_asin", "vals", "price", "rating", F.col("rating_count").cast("double").alias("rating_count"))
     # Each is read several times below, and texts are to be normalised once.
     products, posting, stated = written(products, "mask-products"), written(posting, "mask-postings"), written(_stated(samples), "mask-facts")
     samples = written(samples.select("sample_id", "target"), "mask-samples")
-    hits, default = _text_hits(products, posting, stated)
-    flips = hits.groupBy("sample_id", "parent_asin").agg(F.bit_or("bit").alias("flip"))
-    numbers = stated.where("kind = 'number'").groupBy("sample_id").agg(F.collect_list(F.struct("bit", "field", "operator", "number")).alias("numbers"), F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
-    asked = samples.select("sample_id", "target").join(default, "sample_id", "left").join(numbers, "sample_id", "left").select(
-        "sample_id", "target", F.coalesce("default", F.lit(0).cast("bigint")).alias("default"), "numbers", F.coalesce("fields", F.lit("")).alias("fields")
-    )
+    words = (stated.agg(F.max("pos")).first()[0] or 0) // BITS + 1
+    none = F.array(*[F.lit(0).cast("bigint")] * words)
+    hits, default = _text_hits(products, posting, stated, words)
+    flips = hits.groupBy("sample_id", "parent_asin").agg(F.array(*_words_of(F.col("pos"), words)).alias("flip"))
+    told = stated.where("kind = 'number'")
+    numbers = told.groupBy("sample_id").agg(F.collect_list(F.struct("pos", "field", "operator", "number")).alias("numbers"))
+    asked = samples.join(default, "sample_id", "left").join(numbers, "sample_id", "left").withColumn("default", F.coalesce("default", none))
+    asked = written(asked, "mask-asked")
     measured = products.select("parent_asin", *NUMERIC)
-    whole = asked.join(_cells(products, stated), "fields").select("sample_id", F.col("default").bitwiseOR(_number_mask()).alias("mask"), "n")
-    touched = flips.join(asked, "sample_id").join(measured, "parent_asin").withColumn("own", _number_mask())
+    bare = asked.where("numbers IS NULL").select("sample_id", F.col("default").alias("mask"), F.lit(products.count()).cast("bigint").alias("n"))
+    whole = bare
+    if not told.isEmpty():
+        intervals, axis, highest = _intervals(measured, told.select("field", "operator", "number").distinct())
+        same = [F.col("field") == F.col("_f"), F.col("operator") == F.col("_o"), F.col("number") == F.col("_n")]
+        known = told.join(intervals.select(F.col("field").alias("_f"), F.col("operator").alias("_o"), F.col("number").alias("_n"), "lo", "hi", "turned"), same, "left")
+        zero = F.lit(0).cast("long")
+        # What can't be compared is false, or true of all if it is negated.
+        known = written(known.select("sample_id", "pos", "field", F.coalesce("lo", zero).alias("lo"), F.coalesce("hi", zero).alias("hi"), (F.col("operator") == "neq").alias("turned")), "mask-intervals")
+        boxes = _boxes(measured, known, axis, highest, words)
+        whole = whole.unionByName(boxes.join(asked, "sample_id").select("sample_id", _either(F.col("default"), F.col("own")).alias("mask"), "n"))
+    touched = flips.join(asked, "sample_id").join(measured, "parent_asin").withColumn("own", _own(words))
+    turned = F.zip_with("default", "flip", lambda x, y: x.bitwiseXOR(y))
     moved = F.array(
-        F.struct(F.col("default").bitwiseXOR(F.col("flip")).bitwiseOR(F.col("own")).alias("mask"), F.lit(1).cast("bigint").alias("n")),
-        F.struct(F.col("default").bitwiseOR(F.col("own")).alias("mask"), F.lit(-1).cast("bigint").alias("n")),
+        F.struct(_either(turned, F.col("own")).alias("mask"), F.lit(1).cast("bigint").alias("n")),
+        F.struct(_either(F.col("default"), F.col("own")).alias("mask"), F.lit(-1).cast("bigint").alias("n")),
     )
     counted = whole.unionByName(touched.select("sample_id", F.explode(moved).alias("m")).select("sample_id", "m.mask", "m.n")).groupBy("sample_id", "mask").agg(F.sum("n").alias("n")).where("n > 0")
     own = asked.join(measured, F.col("target") == F.col("parent_asin")).join(flips, ["sample_id", "parent_asin"], "left")
-    target = own.select("sample_id", F.col("default").bitwiseXOR(F.coalesce("flip", F.lit(0).cast("bigint"))).bitwiseOR(_number_mask()).alias("mask"), F.lit(True).alias("_own"))
+    target = own.select("sample_id", _either(F.zip_with("default", F.coalesce("flip", none), lambda x, y: x.bitwiseXOR(y)), _own(words)).alias("mask"), F.lit(True).alias("_own"))
     return counted.join(target, ["sample_id", "mask"], "left").select("sample_id", "mask", "n", F.when(F.col("_own"), F.col("mask")).alias("target_mask"))
 
 
-def subset_count(subset: Column, mask: str = "mask", n: str = "n") -> Column:
-    """Aggregate over a sample's histogram: products that satisfy all facts of the subset."""
-    return F.coalesce(F.sum(F.when(F.col(mask).bitwiseAND(subset) == subset, F.col(n))), F.lit(0))
+def subset_count(places: list[int], mask: str = "mask", n: str = "n") -> Column:
+    """Aggregate over a sample's histogram: products that satisfy all facts at some places."""
+    held = reduce(lambda out, p: out & has(F.col(mask), F.lit(p)), places, F.lit(True))
+    return F.coalesce(F.sum(F.when(held, F.col(n))), F.lit(0))
+
+
+def superset_sums(hist: DataFrame, facts: int) -> DataFrame:
+    """(sample_id, counts): for each subset of the first ``facts`` facts, as a number of 2**facts, how many products satisfy all of it.
+
+    One addition of shifted counts a fact turns the counts by mask into those of all subsets.
+    """
+    by_mask = hist.select("sample_id", (F.get("mask", 0).bitwiseAND(F.lit((1 << facts) - 1))).alias("m"), "n").groupBy("sample_id", "m").agg(F.sum("n").alias("n"))
+    found = by_mask.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("m", "n"))).alias("by"))
+    zero = F.lit(0).cast("bigint")
+    out = found.select("sample_id", F.transform(F.sequence(zero, F.lit((1 << facts) - 1).cast("bigint")), lambda m: F.coalesce(F.try_element_at(F.col("by"), m), zero)).alias("counts"))
+    for k in range(facts):
+        bit = 1 << k
+        out = out.select("sample_id", F.transform("counts", lambda x, i: x + F.when(i.bitwiseAND(F.lit(bit)) == 0, F.get(F.col("counts"), i + bit)).otherwise(zero)).alias("counts"))  # noqa: B023
+    return out

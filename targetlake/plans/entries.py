@@ -95,7 +95,7 @@ def candidate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = V.products(spark, sf_dir)
     samples = _facts(spark).select(F.col("fact_no").cast("string").alias("sample_id"), F.lit("0").alias("target"), F.array("fact").alias("facts"))
     hist = masks.mask_histogram(catalog, C.postings(catalog), samples)
-    return hist.groupBy("sample_id").agg(masks.subset_count(F.lit(1).cast("bigint")).cast("bigint").alias("n"))
+    return hist.groupBy("sample_id").agg(masks.subset_count([0]).cast("bigint").alias("n"))
 
 
 def negation_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def mask_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate counts of every prefix of the derived samples' facts."""
     catalog = V.products(spark, sf_dir)
     hist = masks.mask_histogram(catalog, C.postings(catalog), V.samples(catalog).select("sample_id", "target", F.col("signature").alias("facts")))
-    counts = [masks.subset_count(F.lit((1 << k) - 1).cast("bigint")).cast("bigint").alias(f"n{k}") for k in range(5)]
+    counts = [masks.subset_count(list(range(k))).cast("bigint").alias(f"n{k}") for k in range(5)]
     return hist.groupBy("sample_id").agg(*counts)
 
 
@@ -133,8 +133,8 @@ def redundant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether leaving out each fact of the derived samples leaves the count as it is."""
     catalog = V.products(spark, sf_dir)
     hist = masks.mask_histogram(catalog, C.postings(catalog), V.samples(catalog).select("sample_id", "target", F.col("signature").alias("facts")))
-    full = masks.subset_count(F.lit(15).cast("bigint"))
-    return hist.groupBy("sample_id").agg(*[(masks.subset_count(F.lit(15 - (1 << k)).cast("bigint")) == full).alias(f"redundant_{name}") for k, name in enumerate(("category", "store", "size", "price"))])
+    full = masks.subset_count([0, 1, 2, 3])
+    return hist.groupBy("sample_id").agg(*[(masks.subset_count([i for i in range(4) if i != k]) == full).alias(f"redundant_{name}") for k, name in enumerate(("category", "store", "size", "price"))])
 
 
 def first_target(spark: SparkSession, sf_dir: str) -> DataFrame:
