@@ -244,9 +244,8 @@ def decoy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def negative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The negative statement that the derived samples' targets may begin with, among the products of their category."""
     catalog = V.products(spark, sf_dir)
-    own = V.sample_targets(catalog).select(F.col("parent_asin").alias("target"), T.normalize_text(F.get("categories", 0)).alias("value"))
-    pools = own.join(C.postings(catalog).where("field = 'category'"), "value").select("target", "parent_asin")
-    return generate.negative_facts(catalog, C.with_values(catalog), pools).select("target", F.col("fact.field").alias("field"), F.col("fact.value_str").alias("value"))
+    starts = V.sample_targets(catalog).select(F.col("parent_asin").alias("target"), T.normalize_text(F.get("categories", 0)).alias("category"))
+    return generate.negative_facts(C.with_values(catalog), starts, C.postings(catalog)).select("target", F.col("fact.field").alias("field"), F.col("fact.value_str").alias("value"))
 
 
 def generated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
