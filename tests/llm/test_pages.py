@@ -1,6 +1,7 @@
 """HTML extraction on small pages."""
 
 import random
+import time
 
 from targetlake.llm import html_extraction as h
 
@@ -12,18 +13,18 @@ PAGE = (
 
 
 def test_blocks_of_a_page():
-    assert h.extracted(h.blocks(PAGE), "html>body>article") == "Head & line\n\nFirst text here. more\n\nSecond <b> text"
+    assert h.extracted(h.blocks(PAGE), ["html>body>article"]) == "Head & line\n\nFirst text here. more\n\nSecond <b> text"
     assert h.extracted(h.blocks("<p>unclosed <"), None) == "unclosed <"
     assert h.extracted(h.blocks(""), None) == "" and h.blocks("<!-- open") == [] and h.blocks("<p class='x") == []
 
 
 def test_consensus_beats_a_page_of_its_own(spark):
     body = lambda main, noise: f"<html><body><div class='post-{len(main)}'><p>{main}</p></div><div class='extra'><p>{noise}</p></div></body></html>"
-    rows = [(i, "http://h.example/x", body("main text " * 30, "noise"), "clash") for i in range(5)] + [(9, "http://h.example/y", body("short", "noise " * 200), "clash")]
-    rows += [(10, None, None, None), (11, "http://other.example/", "<p>alone</p>", None), (9, "http://h.example/y", body("short", "noise " * 200), "clash")]
+    rows = [(i, "http://h.example/x", body("main text " * 30, "noise"), "clash") for i in range(5)] + [(9, "http://h.example/y", body("short text of the page", "noise " * 30), "clash")]
+    rows += [(10, None, None, None), (11, "http://other.example/", "<p>alone</p>", None), (9, "http://h.example/y", body("short text of the page", "noise " * 30), "clash")]
     got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     by = {r["page_id"]: r["text"] for r in got}
-    assert len(got) == len(rows) and by[9] == "short" and by[10] == "" and by[11] == "alone"
+    assert len(got) == len(rows) and by[9] == "short text of the page" and by[10] == "" and by[11] == "alone"
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -109,3 +110,53 @@ def test_quotes_and_unended_elements():
     assert read("<article>one <svg> two <noscript> three</article>") == "one two three"
     assert read("<body><div class=header>site</div><article><div class=entry-header><h1>Title</h1></div><p>text<script>end</article>") == "Title\n\ntext"
     assert read("<article><p title='class=ad'>kept</p><p id=ad>no</p></article>") == "kept"
+
+
+def texts(spark, pages):
+    """Extracted texts by page, each (host, html)."""
+    rows = [(i, f"http://{host}.example/{i}", page) for i, (host, page) in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def prose(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+
+def test_no_main_text_is_lost(spark):
+    """Parts beside each other in the body, names that only look like notices, headings before the article, odd comments."""
+    intro = [(f"i{k % 2}", f"<html><body><div class=intro><p>{prose(k, 20)}</div><div class=content><p>{prose(100 + k)}</div><div class=foot><p>x</div></body></html>") for k in range(8)]
+    names = ["<section id=related-work>", "<div class=share-price>", "<p class=notice-of-death>", "<section class=menu-week>", "<section class=commentary>"]
+    named = [("n", f"<html><body><article><h1>T{k}</h1><p>{prose(200 + k)}</p>{name}{prose(300 + k, 20)}</article></body></html>") for k, name in enumerate(names)]
+    teaser = [("t", f"<body><div class=post><p>{prose(400 + k)}</div></body>") for k in range(6)] + [("t", f"<body><div class=post><p>teaser</div><div class=story><p>{prose(450)}</div></body>")]
+    heading = [("h", f"<body><header><h1>Site</h1></header><h1>Title {k}</h1><article><p>{prose(500 + k)}</article></body>") for k in range(2)]
+    odd = [("o", f"<body><article><p>{prose(600)}<!--> <p>{prose(601)}<!-- x --!><p>{prose(602)}<!---><p>{prose(603)}</article></body>")]
+    got = texts(spark, [*intro, *named, *teaser, *heading, *odd])
+    want = [f"{prose(k, 20)}\n\n{prose(100 + k)}" for k in range(8)] + [f"T{k}\n\n{prose(200 + k)}\n\n{prose(300 + k, 20)}" for k in range(5)]
+    want += [prose(400 + k) for k in range(6)] + [prose(450)] + [f"Title {k}\n\n{prose(500 + k)}" for k in range(2)] + ["\n\n".join(map(prose, range(600, 604)))]
+    assert got == dict(enumerate(want))
+
+
+def test_named_containers_go_by_evidence(spark):
+    """Short, mostly links or repeated on the host: gone; long and its own: kept. Copies of a page are one page."""
+    notice, links = prose(1, 90), " ".join(f"<a href=/{k}>{prose(k, 3)}</a>" for k in range(40))
+    page = lambda k, extra: f"<html><body><article><p>{prose(700 + k)}</p>{extra}</article></body></html>"
+    pages = [("r", page(k, f"<div class=cookie-notice>{notice}</div><div class=ad>buy {k}</div><div class=related>{links}</div>")) for k in range(5)]
+    own = page(9, f"<div class=promo-text>{prose(9, 90)}</div><div class=comments><p>{prose(2, 200)}</div>")
+    got = texts(spark, [*pages, ("c", own), ("c", own)])
+    assert got == {**{k: prose(700 + k) for k in range(5)}, 5: f"{prose(709)}\n\n{prose(9, 90)}", 6: f"{prose(709)}\n\n{prose(9, 90)}"}
+
+
+def test_unended_tags_take_time_in_proportion():
+    """Pages of 5 MB of tags that never end."""
+    for tag in ("<noscript>", "<svg>", "<object data=x>", "<iframe>", "<!-- x --!>", "<select><canvas>"):
+        page = "<article><p>first</p>" + tag * (5_000_000 // len(tag)) + "<p>last</article>"
+        began = time.process_time()
+        text = h.extracted(h.blocks(page), None)
+        assert text == "first\n\nlast" and time.process_time() - began < 20
+
+
+def test_tied_votes_and_missing_winners(spark):
+    page = lambda name, k: f"<html><body><div class=page><div class={name}><p>{prose(k)}</div></div></body></html>"
+    got = texts(spark, [("v", page("b", 800)), ("v", page("a", 801)), ("w", "<body><main><p>one</main></body>"), ("w", "<body><main><p>two</main></body>"), ("w", f"<div><p>{prose(802)}</div>"), ("w", "")])
+    assert got == {0: prose(800), 1: prose(801), 2: "one", 3: "two", 4: prose(802), 5: ""}
