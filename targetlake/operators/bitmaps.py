@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from ..functions.text import normalize_text
 from ..functions.vocab import EQUAL, HOLDS, NEGATIVE, NUMERIC
@@ -55,9 +56,9 @@ def _arrow_and_not(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([x.tobytes() for x in _matrix(a) & ~_matrix(b)], pa.binary())
 
 
-and_count = F.arrow_udf(_arrow_and_count, "long")
-both = F.arrow_udf(_arrow_and, "binary")
-without = F.arrow_udf(_arrow_and_not, "binary")
+and_count = F.arrow_udf(_arrow_and_count, LongType())
+both = F.arrow_udf(_arrow_and, BinaryType())
+without = F.arrow_udf(_arrow_and_not, BinaryType())
 
 
 class Numbered:

@@ -30,7 +30,7 @@ from ..functions.vocab import COLORS, MATERIALS, NEGATIVE, NEGATIVE_UNSAFE_KEYS,
 from ..sources.catalog import category_leaf
 from ..sources.scratch import written
 from .bitmaps import Numbered, and_count, bit_at, bitmaps, both, fact_bitmaps, subset_histogram
-from .facts import extracted, make_fact, render_fact
+from .facts import make_fact, product_facts, render_fact
 from .masks import superset_sums
 from .predicates import FACT, match_fact
 from .validate import SAMPLE
@@ -62,7 +62,8 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def fact_pool(catalog: DataFrame, config: GeneratorConfig, large: bool) -> DataFrame:
     """(parent_asin, fact, key): the facts that a signature of the product may use."""
-    long = extracted(catalog).select("parent_asin", F.posexplode("facts").alias("pos", "fact"))
+    facts = product_facts(catalog)
+    long = facts.select("parent_asin", "pos", F.struct(*[c for c in facts.columns if c not in ("parent_asin", "pos")]).alias("fact"))
     prose = F.col("fact.source").isin("features", "description")
     if large:
         long = long.where(~prose)
@@ -259,30 +260,29 @@ def composed(rows: DataFrame, scenarios: Iterable[str], config: GeneratorConfig)
     s, counts, first = F.col("scenario"), F.col("counts"), F.col("first")
     wanted = rows.select("*", every).where(F.col("variant") == F.when(s == "negative_constraint", "negative").otherwise("base"))
     guard = F.transform("all", lambda f: F.when(s == "negative_constraint", (f["polarity"] == "negative") | f["operator"].isin(*NEGATIVE)).when(s == "budget_rating", f["field"].isin(*NUMERIC)).otherwise(F.lit(False)))
-    out = wanted.withColumn("_guard", guard).withColumn("chosen", minimal(counts, first, F.col("_guard")))
     same = F.transform("all", lambda f: F.to_json(F.struct(f["field"], f["operator"], f["value_str"], f["value_num"])))
-    out = out.withColumn("_same", same)
+    out = wanted.withColumn("_guard", guard).withColumn("_same", same).withColumn("chosen", minimal(counts, first, F.col("_guard")))
     later = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda p: (p >= first) & (F.get(F.col("_same"), p) != F.get(F.col("_same"), F.get(F.col("chosen"), 0))))
     short = (s == "intent_override") & (F.size("chosen") < 2)
-    out = out.withColumn("chosen", F.when(short, F.concat("chosen", F.slice(later, 1, 1))).otherwise(F.col("chosen"))).where((s != "intent_override") | (F.size("chosen") >= 2))
+    # Written before each use in conditions, which Spark would else push down with all that they are made of.
+    out = _kept(out.withColumn("chosen", F.when(short, F.concat("chosen", F.slice(later, 1, 1))).otherwise(F.col("chosen"))).drop("_same", "_guard"))
     facts = F.transform("chosen", lambda p: F.get(F.col("all"), p))
+    out = out.where((s != "intent_override") | (F.size("chosen") >= 2))
     out = out.where((s != "budget_rating") | F.exists(facts, lambda f: f["field"].isin("price", "rating"))).where((s != "negative_constraint") | F.exists(facts, lambda f: f["polarity"] == "negative"))
     low, high = config.min_initial_candidates, config.max_initial_candidates
-    out = out.withColumn("_prefix", F.transform("chosen", lambda p, k: count_of(counts, F.slice(F.col("chosen"), F.lit(1), k + 1))))
+    out = _kept(out.withColumn("_prefix", F.transform("chosen", lambda p, k: count_of(counts, F.slice(F.col("chosen"), F.lit(1), k + 1)))))
     told = prefix_length(F.col("_prefix"), low, high)
-    out = out.withColumn("_told", F.when(s == "direct_search", F.size("chosen")).when(s == "intent_override", F.least(told, F.size("chosen") - 1)).otherwise(told))
     # Something stays hidden, but where all is shown.
-    ask = ~s.isin("direct_search", "intent_override") & (F.col("_told") == F.size("chosen")) & (F.col("_told") > 1)
-    out = out.withColumn("_told", F.col("_told") - F.when(ask, 1).otherwise(0)).withColumn("initial", F.get("_prefix", F.col("_told") - 1))
+    ask = F.when(~s.isin("direct_search", "intent_override") & (told == F.size("chosen")) & (told > 1), 1).otherwise(0)
+    out = _kept(out.withColumn("_told", F.when(s == "direct_search", F.size("chosen")).when(s == "intent_override", F.least(told, F.size("chosen") - 1)).otherwise(told - ask)))
     few = F.when((s == "clarification_required") & (F.col("_told") > 2), 1).when(s.isin("profile_hidden", "multi_constraint", "budget_rating") & (F.col("_told") > 1), 1).otherwise(0)
-    out = out.withColumn("_few", few)
     part = lambda start, length: F.slice("chosen", start, length)
-    out = out.withColumns({
-        "query": part(F.lit(1), F.col("_told") - F.col("_few")), "profile": part(F.col("_told") - F.col("_few") + 1, F.col("_few")), "hidden": part(F.col("_told") + 1, F.size("chosen") - F.col("_told")),
-        "decoy": F.get(F.filter(F.transform("chosen", lambda p: F.get(F.filter("decoys", lambda d: d["pos"] == p), 0)["fact"]), lambda d: d.isNotNull()), 0),
-    })
+    out = _kept(out.withColumns({
+        "initial": F.get("_prefix", F.col("_told") - 1), "query": part(F.lit(1), F.col("_told") - few), "profile": part(F.col("_told") - few + 1, few), "hidden": part(F.col("_told") + 1, F.size("chosen") - F.col("_told")),
+        "decoy": F.get(F.filter(F.transform("chosen", lambda p: F.get(F.filter("decoys", lambda d: d["pos"] == p), 0)["fact"]), lambda d: d.isNotNull()), 0), "_left": F.get("_prefix", F.size("chosen") - 1),
+    }))
     out = out.where((s != "intent_override") | F.col("decoy").isNotNull()).where((s != "clarification_required") | (F.size("hidden") > 0)).where((s != "profile_hidden") | (F.size("profile") > 0))
-    out = out.where((s == "direct_search") | F.col("initial").between(low, high)).where(count_of(counts, F.col("chosen")) == 1)
+    out = out.where((s == "direct_search") | F.col("initial").between(low, high)).where("_left = 1")
     return out.select("number", "target", "scenario", "all", "chosen", "query", "profile", "hidden", "decoy", "initial", "leaf")
 
 

@@ -96,11 +96,14 @@ def containing(parts: DataFrame, values: DataFrame) -> DataFrame:
     return shared.join(values.withColumn("key", key), ["field", "key"]).where(F.contains("value", F.col("part"))).select("field", "part", "value")
 
 
-def _text_hits(products: DataFrame, posting: DataFrame, stated: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+def _text_hits(products: DataFrame, posting: DataFrame, stated: DataFrame, words: int, some_parts: bool) -> tuple[DataFrame, DataFrame]:
     """Hits (sample_id, parent_asin, pos) of the statements about texts, and the bits (sample_id, default) that are true without a hit."""
     said = stated.where("kind IN ('equal', 'holds', 'lacks')")
+    default = said.where("kind = 'lacks'").groupBy("sample_id").agg(F.array(*_words_of(F.col("pos"), words)).alias("default"))
     index = posting.select(F.col("field").alias("_field"), F.col("value").alias("_value"), "parent_asin")
     same = (F.col("field") == F.col("_field")) & (F.col("value") == F.col("_value"))
+    if not some_parts:
+        return said.join(index, same).select("sample_id", "parent_asin", "pos"), default
     # A negated value that the index has excludes exact matches, any other one what holds it.
     listed = index.join(said.where("kind = 'lacks'").select(F.col("field").alias("_field"), F.col("value").alias("_value")), ["_field", "_value"], "left_semi").select("_field", "_value").distinct().withColumn("_listed", F.lit(True))
     marked = said.join(listed, same, "left").drop("_field", "_value").withColumn("exact", (F.col("kind") == "equal") | ((F.col("kind") == "lacks") & F.col("_listed").isNotNull())).drop("_listed")
@@ -114,7 +117,7 @@ def _text_hits(products: DataFrame, posting: DataFrame, stated: DataFrame, words
         found = containing(part.select("field", "part").distinct(), values.select("field", "value").distinct())
         held = found.join(values, ["field", "value"]).select("field", "part", "parent_asin").distinct()
         hits = hits.unionByName(part.join(held, ["field", "part"]).select("sample_id", "parent_asin", "pos"))
-    return hits, said.where("kind = 'lacks'").groupBy("sample_id").agg(F.array(*_words_of(F.col("pos"), words)).alias("default"))
+    return hits, default
 
 
 def _bucket(value: Column) -> Column:
@@ -225,22 +228,23 @@ def mask_histogram(catalog: DataFrame, posting: DataFrame, samples: DataFrame) -
 
     ``samples``: sample_id, target, facts, of any number.
     """
-    products = (catalog if "vals" in catalog.columns else with_values(catalog)).select("parent_asin", "vals", "price", "rating", F.col("rating_count").cast("double").alias("rating_count"))
     # Each is read several times below, and texts are to be normalised once.
-    products, posting, stated = written(products, "mask-products"), written(posting, "mask-postings"), written(_stated(samples), "mask-facts")
+    products, posting, stated = written(with_values(catalog), "mask-products"), written(posting, "mask-postings"), written(_stated(samples), "mask-facts")
     samples = written(samples.select("sample_id", "target"), "mask-samples")
-    words = (stated.agg(F.max("pos")).first()[0] or 0) // BITS + 1
+    told_of = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
+    last, some_numbers, some_parts = stated.agg(F.max("pos"), told_of("number"), told_of("holds", "lacks")).first()
+    words = (last or 0) // BITS + 1
     none = F.array(*[F.lit(0).cast("bigint")] * words)
-    hits, default = _text_hits(products, posting, stated, words)
+    hits, default = _text_hits(products, posting, stated, words, some_parts > 0)
     flips = hits.groupBy("sample_id", "parent_asin").agg(F.array(*_words_of(F.col("pos"), words)).alias("flip"))
     told = stated.where("kind = 'number'")
     numbers = told.groupBy("sample_id").agg(F.collect_list(F.struct("pos", "field", "operator", "number")).alias("numbers"))
     asked = samples.join(default, "sample_id", "left").join(numbers, "sample_id", "left").withColumn("default", F.coalesce("default", none))
     asked = written(asked, "mask-asked")
-    measured = products.select("parent_asin", *NUMERIC)
+    measured = products.select("parent_asin", "price", "rating", F.col("rating_count").cast("double").alias("rating_count"))
     bare = asked.where("numbers IS NULL").select("sample_id", F.col("default").alias("mask"), F.lit(products.count()).cast("bigint").alias("n"))
     whole = bare
-    if not told.isEmpty():
+    if some_numbers:
         intervals, axis, highest = _intervals(measured, told.select("field", "operator", "number").distinct())
         same = [F.col("field") == F.col("_f"), F.col("operator") == F.col("_o"), F.col("number") == F.col("_n")]
         known = told.join(intervals.select(F.col("field").alias("_f"), F.col("operator").alias("_o"), F.col("number").alias("_n"), "lo", "hi", "turned"), same, "left")

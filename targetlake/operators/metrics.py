@@ -18,9 +18,15 @@ def target_rank(values: Column, target: Column) -> Column:
     return F.when(place > 0, place)
 
 
+def exact_rank(values: Column, target: Column) -> Column:
+    """1-based place of the target among ids as they are, or null."""
+    place = F.array_position(values, target)
+    return F.when(place > 0, place)
+
+
 def first_target(trace: DataFrame) -> DataFrame:
-    """One row a sample: ``turn`` and ``rank`` of the target's first appearance, and its revealed turns."""
-    rank = target_rank(F.col("recommendations"), F.col("target"))
+    """One row a sample: ``turn`` and ``rank`` of the target's first appearance, ids being compared as they are, and its revealed turns."""
+    rank = exact_rank(F.col("recommendations"), F.col("target"))
     seen = trace.withColumn("_rank", F.when(F.col("turn") >= F.col("start_turn"), rank))
     first = F.min(F.when(F.col("_rank").isNotNull(), F.struct("obs_pos", F.col("turn").alias("turn"), F.col("_rank").alias("rank"))))
     return seen.groupBy("sample_id").agg(
@@ -64,6 +70,15 @@ def summarized(scores: DataFrame) -> DataFrame:
     return named.groupingSets([[], ["scenario_type"]], "scenario_type").agg(*_means())
 
 
+#: What is counted over observations, by column of the trace.
+COUNTED = ("status", "route_reason", "question_reason", "reply_reason")
+
+
+def failed_sessions(trace: DataFrame) -> DataFrame:
+    """One row: how many sessions have errors of the protocol."""
+    return trace.groupBy("sample_id").agg(F.max("errors").alias("errors")).agg(F.count_if(F.col("errors") > 0).alias("error_count"))
+
+
 def counters(observations: DataFrame, columns: list[str]) -> DataFrame:
     """(kind, value, n) of the non-empty values of some columns."""
     pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in columns])

@@ -12,11 +12,19 @@ from ..functions.vocab import ASKED_FOR, ATTRIBUTE_ALIASES, ATTRIBUTES, BROAD, G
 from ..operators import facts as FA
 from ..operators import generate, masks, metrics, predicates, questions, validate
 from ..sources import catalog as C
+from ..sources import traces
+from ..sources.scratch import written
 from . import views as V
 
 _NORMAL = r"trim(regexp_replace(lower(replace({}, 'ß', 'ss')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The products with their values, and the postings, both written."""
+    catalog = written(C.with_values(V.products(spark, sf_dir)), "catalog")
+    return catalog, written(C.postings(catalog), "postings")
+
+
 def unique_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of category, store and size identify each product, and how many share the first two."""
     parts = V.table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
@@ -92,9 +100,9 @@ def match_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many products are candidates under each of the same facts, by the index's semantics."""
-    catalog = V.products(spark, sf_dir)
+    catalog, posting = _indexed(spark, sf_dir)
     samples = _facts(spark).select(F.col("fact_no").cast("string").alias("sample_id"), F.lit("0").alias("target"), F.array("fact").alias("facts"))
-    hist = masks.mask_histogram(catalog, C.postings(catalog), samples)
+    hist = masks.mask_histogram(catalog, posting, samples)
     return hist.groupBy("sample_id").agg(masks.subset_count([0]).cast("bigint").alias("n"))
 
 
@@ -123,20 +131,59 @@ def render_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate counts of every prefix of the derived samples' facts."""
-    catalog = V.products(spark, sf_dir)
-    hist = masks.mask_histogram(catalog, C.postings(catalog), V.samples(catalog).select("sample_id", "target", F.col("signature").alias("facts")))
+    catalog, posting = _indexed(spark, sf_dir)
+    hist = masks.mask_histogram(catalog, posting, V.samples(catalog).select("sample_id", "target", F.col("signature").alias("facts")))
     counts = [masks.subset_count(list(range(k))).cast("bigint").alias(f"n{k}") for k in range(5)]
     return hist.groupBy("sample_id").agg(*counts)
 
 
 def redundant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether leaving out each fact of the derived samples leaves the count as it is."""
-    catalog = V.products(spark, sf_dir)
-    hist = masks.mask_histogram(catalog, C.postings(catalog), V.samples(catalog).select("sample_id", "target", F.col("signature").alias("facts")))
+    catalog, posting = _indexed(spark, sf_dir)
+    hist = masks.mask_histogram(catalog, posting, V.samples(catalog).select("sample_id", "target", F.col("signature").alias("facts")))
     full = masks.subset_count([0, 1, 2, 3])
     return hist.groupBy("sample_id").agg(*[(masks.subset_count([i for i in range(4) if i != k]) == full).alias(f"redundant_{name}") for k, name in enumerate(("category", "store", "size", "price"))])
 
 
+def _subset_sums(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Catalog, postings, derived samples and the counts of all subsets of their facts."""
+    catalog, posting = _indexed(spark, sf_dir)
+    samples = written(V.samples(catalog), "derived-samples")
+    hist = masks.mask_histogram(catalog, posting, samples.select("sample_id", "target", F.col("signature").alias("facts")))
+    return catalog, posting, samples, masks.superset_sums(hist, len(V.SAMPLE_FACTS))
+
+
+def prefix_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many facts of each derived sample are told at first, and how many candidates that leaves."""
+    counts = _subset_sums(spark, sf_dir)[3]
+    places = F.array(*map(F.lit, range(len(V.SAMPLE_FACTS))))
+    prefix = F.transform(places, lambda p, k: generate.count_of(F.col("counts"), F.slice(places, F.lit(1), k + 1)))
+    told = counts.select("sample_id", prefix.alias("prefix")).withColumn("told", generate.prefix_length(F.col("prefix"), 2, 200))
+    return told.select("sample_id", F.col("told").cast("bigint").alias("told"), F.get("prefix", F.col("told") - 1).alias("candidates"))
+
+
+def minimal_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the derived samples' facts that stay when redundant ones are dropped one after the other."""
+    counts = _subset_sums(spark, sf_dir)[3]
+    n = len(V.SAMPLE_FACTS)
+    stay = generate.minimal(F.col("counts"), F.lit(n), F.array(*[F.lit(False)] * n))
+    return counts.select("sample_id", F.array_join(stay, ",").alias("places"))
+
+
+#: Scenarios that derived samples are parted by.
+PARTED = ("direct_search", "clarification_required", "profile_hidden", "multi_constraint", "budget_rating", "intent_override")
+
+
+def scenario_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the facts in query, profile and hidden part of each derived sample under each scenario that it can be made for."""
+    catalog, posting, samples, counts = _subset_sums(spark, sf_dir)
+    base = samples.select("sample_id", "target", F.lit("base").alias("variant"), F.col("signature").alias("facts"))
+    decoys = generate.decoys(catalog, posting, base).groupBy("target").agg(F.collect_list(F.struct("pos", "fact")).alias("decoys"))
+    rows = base.join(counts, "sample_id").join(decoys, "target", "left").select("sample_id", "target", F.lit(0).alias("number"), "variant", F.col("facts").alias("all"), F.size("facts").alias("first"), "counts", "decoys", F.lit("").alias("leaf"))
+    made = generate.composed(rows, PARTED, generate.GeneratorConfig())
+    return made.select("target", "scenario", *[F.array_join(c, ",").alias(c) for c in ("query", "profile", "hidden")], F.col("initial").alias("candidates"))
+
+
 def first_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First appearance of each order's target."""
     return metrics.first_target(V.trace(spark, sf_dir)).select("sample_id", F.col("target_turn").cast("bigint").alias("target_turn"), F.col("target_rank").cast("bigint").alias("target_rank"), "clarification_turns")
@@ -166,6 +213,39 @@ def stage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.trace(spark, sf_dir).select("sample_id", "turn", rank.cast("bigint").alias("rank")).where("rank IS NOT NULL")
 
 
+def session_first_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First appearance of the target in sessions that are read from JSON: odd turns, padded ids, starts of 3."""
+    found = metrics.first_target(traces.observed(V.session_lines(spark, sf_dir)))
+    return found.select("sample_id", F.col("target_turn").cast("bigint").alias("target_turn"), F.col("target_rank").cast("bigint").alias("target_rank"), "clarification_turns")
+
+
+def session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses and reasons of the same sessions."""
+    return metrics.counters(traces.observed(V.session_lines(spark, sf_dir)), list(metrics.COUNTED))
+
+
+def session_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the same sessions have errors."""
+    return metrics.failed_sessions(traces.observed(V.session_lines(spark, sf_dir)))
+
+
+def recommendation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known products with their scores from payloads of all forms, five of each order."""
+    text = lambda c: F.col(c).cast("string")
+    ident = F.concat(F.lit("P-"), text("id"))
+    form = F.pmod("id", F.lit(6))
+    item = (
+        F.when(form == 0, F.concat(F.lit('{"parent_asin":"'), ident, F.lit('","score":'), text("pos"), F.lit(".5}"))).when(form == 1, F.concat(F.lit('{"parent_asin":"","product_id":" '), ident, F.lit(' ","score":"7"}')))
+        .when(form == 2, F.concat(F.lit('" '), ident, F.lit('  "'))).when(form == 3, F.concat(F.lit('{"parent_asin":"'), ident, F.lit('","score":true}'))).when(form == 4, F.concat(F.lit('{"product_id":"'), ident, F.lit('","score":3}'))).otherwise(text("id"))
+    )
+    lines = V.ranked_lines(spark, sf_dir).select("sample_id", (F.col("turn") * 100 + F.col("pos")).alias("at"), item.alias("item"))
+    payload = lines.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("x")).select("sample_id", F.parse_json(F.concat(F.lit("[null,"), F.array_join(F.transform("x", lambda e: e["item"]), ","), F.lit("]"))).alias("p"))
+    rows = payload.select(F.col("sample_id").alias("key"), F.posexplode(traces.recommended(F.col("p"))).alias("pos", "r")).select("key", "pos", F.col("r.parent_asin").alias("id"), "r.score")
+    found = metrics.normalized_recommendations(rows, V.products(spark, sf_dir), 5)
+    shown = F.transform("recommendations", lambda r: F.concat(r["parent_asin"], F.lit(":"), F.coalesce(r["score"].cast("string"), F.lit("-"))))
+    return found.select("key", F.array_join(shown, ",").alias("found"))
+
+
 # (message, structured attribute) and what they resolve to.
 QUESTIONS = [
     ("What colour would you like?", None, "color", "natural_language", "ask:color"), ("Which company makes it?", None, "brand", "natural_language", "ask:brand"),
@@ -190,15 +270,15 @@ def conversation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation of the derived samples: counts and whether they pass."""
-    catalog = V.products(spark, sf_dir)
-    found = validate.validated(catalog, C.postings(catalog), V.samples(catalog))
+    catalog, posting = _indexed(spark, sf_dir)
+    found = validate.validated(catalog, posting, V.samples(catalog))
     return found.select("sample_id", "valid", F.size("errors").cast("bigint").alias("errors"), F.col("diagnostics.initial_candidate_count").alias("initial_count"), F.col("diagnostics.full_candidate_count").alias("full_count"))
 
 
 def validation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many derived samples are valid."""
-    catalog = V.products(spark, sf_dir)
-    return validate.rolled_up(validate.validated(catalog, C.postings(catalog), V.samples(catalog)))
+    catalog, posting = _indexed(spark, sf_dir)
+    return validate.rolled_up(validate.validated(catalog, posting, V.samples(catalog)))
 
 
 #: What is broken in the derived samples, by the target's number modulo how many there are; 0 breaks nothing.
@@ -223,8 +303,8 @@ def broken_samples(samples: DataFrame) -> DataFrame:
 
 def validate_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules that the derived samples break when each is broken in one way."""
-    catalog = V.products(spark, sf_dir)
-    found = validate.validated(catalog, C.postings(catalog), broken_samples(V.samples(catalog)))
+    catalog, posting = _indexed(spark, sf_dir)
+    found = validate.validated(catalog, posting, broken_samples(V.samples(catalog)))
     return found.select("sample_id", F.array_join(F.array_sort("errors"), ",").alias("rules"))
 
 
@@ -236,22 +316,21 @@ def fact_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoy_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The false value that a change of mind may take back, for each fact of the derived samples."""
-    catalog = V.products(spark, sf_dir)
+    catalog, posting = _indexed(spark, sf_dir)
     found = V.samples(catalog).select("target", F.lit("base").alias("variant"), F.col("signature").alias("facts"))
-    return generate.decoys(catalog, C.postings(catalog), found).select("target", F.col("pos").cast("bigint").alias("pos"), F.col("fact.value_str").alias("value"), F.col("fact.display").alias("shown"))
+    return generate.decoys(catalog, posting, found).select("target", F.col("pos").cast("bigint").alias("pos"), F.col("fact.value_str").alias("value"), F.col("fact.display").alias("shown"))
 
 
 def negative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The negative statement that the derived samples' targets may begin with, among the products of their category."""
-    catalog = V.products(spark, sf_dir)
+    catalog, posting = _indexed(spark, sf_dir)
     starts = V.sample_targets(catalog).select(F.col("parent_asin").alias("target"), T.normalize_text(F.get("categories", 0)).alias("category"))
-    return generate.negative_facts(C.with_values(catalog), starts, C.postings(catalog)).select("target", F.col("fact.field").alias("field"), F.col("fact.value_str").alias("value"))
+    return generate.negative_facts(catalog, starts, posting).select("target", F.col("fact.field").alias("field"), F.col("fact.value_str").alias("value"))
 
 
 def generated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generated sample of each scenario: its candidates at first and in full, and whether it is valid."""
-    catalog = V.products(spark, sf_dir)
-    posting = C.postings(catalog)
+    catalog, posting = _indexed(spark, sf_dir)
     made = generate.generated(catalog, posting, len(generate.SCENARIOS))
     found = validate.validated(catalog, posting, made)
     return made.select("sample_id", "scenario_type").join(found, "sample_id").select(
@@ -263,7 +342,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The library's own queries by name."""
     every = (
         unique_prefix, normalize_text, compact_text, tokens, parse_number, stable_id, postings, duplicate_ids, color_presence, match_facts, candidate_members, negation_antijoin, numeric_thresholds,
-        extract_facts, render_facts, mask_histogram, redundant_facts, first_target, exact_metrics, status_counts, recommendations_topk, stage_rank, interpret_question, conversation_questions,
+        extract_facts, render_facts, mask_histogram, redundant_facts, prefix_lengths, minimal_signatures, scenario_parts, first_target, exact_metrics, status_counts, recommendations_topk, session_first_target, session_counters, session_errors, recommendation_payloads, stage_rank, interpret_question, conversation_questions,
         validate_rules, validation_rollup, validate_broken, fact_pool, decoy_facts, negative_facts, generated_samples,
     )
     return {f.__name__: f for f in every}
@@ -302,6 +381,17 @@ def oracle_sql() -> dict[str, str]:
     means = f"count(*) AS count, {mean('CAST(h AS INT)', 'hit_at_10')}, {mean('CAST(o AS INT)', 'exact_top1')}, {mean('m', 'mrr')}, {mean('t', 'mttc')}, {mean('c', 'mean_clarification_turns')}, count(*) FILTER (h) AS hits, count(*) FILTER (NOT h) AS misses"
     counts = ", ".join(f"count(*) FILTER ({' AND '.join(f'f{i}' for i in range(k)) or 'true'}) AS n{k}" for k in range(5))
     alone = ", ".join(f"count(*) FILTER ({' AND '.join(f'f{i}' for i in range(4) if i != k)}) = count(*) FILTER (f0 AND f1 AND f2 AND f3) AS redundant_{n}" for k, n in enumerate(("category", "store", "size", "price")))
+    subsets = "[" + ", ".join(f"count(*) FILTER ({' AND '.join(f'f{i}' for i in range(4) if m >> i & 1) or 'true'})" for m in range(16)) + "]"
+    bits_of = lambda places: f"CAST(coalesce(list_sum(list_transform({places}, lambda x: 1 << x)), 0) AS BIGINT)"
+    folded, state = f"u0 AS (SELECT sample_id, {subsets} AS c, 15 AS s, guard FROM hit, (SELECT unnest([0, 8]) AS guard) GROUP BY sample_id, guard)", "u0"
+    for i in range(4):
+        rest = f"(s & {15 - (1 << i)})"
+        folded += f", u{i + 1} AS (SELECT sample_id, c, guard, CASE WHEN {rest} <> 0 AND guard & {1 << i} = 0 AND c[{rest} + 1] = 1 THEN {rest} ELSE s END AS s FROM {state})"
+        state = f"u{i + 1}"
+    folded += f", st AS (SELECT sample_id, c, guard, list_filter([0, 1, 2, 3], lambda x: (s >> x) & 1 = 1) AS stay FROM {state})"
+    prefixes = lambda places: f"list_transform(range(1, len({places}) + 1), lambda k: c[{bits_of(f'{places}[1:k]')} + 1])"
+    longest = "coalesce(list_max(list_filter(range(1, len(prefix) + 1), lambda k: prefix[k] BETWEEN 2 AND 200)), CASE WHEN prefix[1] > 1 THEN 1 ELSE len(prefix) END)"
+    parted = ", ".join(f"'{x}'" for x in PARTED)
     checked = """ck AS (SELECT sample_id, count(*) FILTER (f0 AND f1) AS initial_count, count(*) FILTER (f0 AND f1 AND f2 AND f3) AS full_count FROM hit GROUP BY sample_id),
       er AS (SELECT *, CAST(CAST(full_count <> 1 AS INT) + CAST(initial_count NOT BETWEEN 2 AND 200 AS INT) AS BIGINT) AS errors FROM ck)"""
     ceiling = "CASE WHEN price < 20 THEN round(ceil(price - 1e-9), 2) ELSE round(ceil((price - 1e-9) / 5.0) * 5.0, 2) END"
@@ -364,11 +454,29 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT parent_asin, 'rating', printf('I would like at least %.1f stars.', {stars}), printf('Yes — please look for something rated %.1f stars or higher.', {stars}) FROM prod""",
         "mask_histogram": f"WITH {p}, {targets} SELECT sample_id, {counts} FROM hit GROUP BY sample_id",
         "redundant_facts": f"WITH {p}, {targets} SELECT sample_id, {alone} FROM hit GROUP BY sample_id",
+        "prefix_lengths": f"""WITH {p}, {targets}, {folded}, x AS (SELECT sample_id, {prefixes('[0, 1, 2, 3]')} AS prefix FROM u0 WHERE guard = 0), y AS (SELECT *, {longest} AS told FROM x)
+          SELECT sample_id, told, prefix[told] AS candidates FROM y""",
+        "minimal_signatures": f"WITH {p}, {targets}, {folded} SELECT sample_id, array_to_string(stay, ',') AS places FROM st WHERE guard = 0",
+        "scenario_parts": f"""WITH {p}, {targets}, {folded}, x AS (SELECT sample_id, c, stay, scenario, {prefixes('stay')} AS prefix FROM st, (SELECT unnest([{parted}]) AS scenario) WHERE (guard = 8) = (scenario = 'budget_rating')),
+          y AS (SELECT *, len(stay) AS n, {longest} AS fits FROM x),
+          z AS (SELECT *, CASE WHEN scenario = 'direct_search' THEN n WHEN scenario = 'intent_override' THEN least(fits, n - 1) WHEN fits = n AND n > 1 THEN n - 1 ELSE fits END AS told FROM y),
+          w AS (SELECT *, CASE WHEN scenario = 'clarification_required' AND told > 2 OR scenario IN ('profile_hidden', 'multi_constraint', 'budget_rating') AND told > 1 THEN 1 ELSE 0 END AS few FROM z)
+          SELECT substring(sample_id, 3) AS target, scenario, array_to_string(stay[1:told - few], ',') AS query, array_to_string(stay[told - few + 1:told], ',') AS profile, array_to_string(stay[told + 1:], ',') AS hidden, prefix[told] AS candidates
+          FROM w WHERE prefix[n] = 1 AND (scenario <> 'intent_override' OR (n >= 2 AND stay[1] < 3)) AND (scenario <> 'budget_rating' OR list_contains(stay, 3)) AND (scenario <> 'clarification_required' OR told < n)
+          AND (scenario <> 'profile_hidden' OR few = 1) AND (scenario = 'direct_search' OR prefix[told] BETWEEN 2 AND 200)""",
         "first_target": f"WITH {first} SELECT sample_id, CAST(target_turn AS BIGINT) AS target_turn, target_rank, clarification_turns FROM ft",
         "exact_metrics": f"WITH {score} SELECT scenario_type, {means} FROM sc GROUP BY GROUPING SETS ((), (scenario_type))",
         "status_counts": f"WITH {tr} SELECT 'status' AS kind, CASE l_returnflag WHEN 'R' THEN 'revealed' ELSE 'repeated' END AS value, count(*) AS n FROM tr WHERE pos = 1 AND l_returnflag IN ('R', 'A') GROUP BY 2",
         "recommendations_topk": f"""WITH {tr}, o AS (SELECT sample_id, id, min(turn * 100 + pos) AS p FROM tr GROUP BY sample_id, id), r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p) AS k FROM o)
           SELECT sample_id AS key, string_agg('P-' || id, ',' ORDER BY p) AS ids FROM r WHERE k <= 3 GROUP BY sample_id""",
+        "session_first_target": f"""WITH {tr}, o AS (SELECT *, CASE WHEN sample_id % 5 = 0 THEN 0 ELSE turn END AS t, CASE WHEN sample_id % 4 = 0 THEN 3 ELSE 1 END AS start FROM tr)
+          SELECT CAST(sample_id AS VARCHAR) AS sample_id, CAST(arg_min(t, turn * 1000 + pos) FILTER (hit) AS BIGINT) AS target_turn, CAST(arg_min(pos, turn * 1000 + pos) FILTER (hit) AS BIGINT) AS target_rank,
+          count(*) FILTER (pos = 1 AND l_returnflag = 'R') AS clarification_turns FROM (SELECT *, id = target AND pos % 2 = 1 AND t >= start AS hit FROM o) GROUP BY sample_id""",
+        "session_counters": f"""WITH {tr}, o AS (SELECT * FROM tr WHERE pos = 1) SELECT 'status' AS kind, 'revealed' AS value, count(*) AS n FROM o WHERE l_returnflag = 'R' UNION ALL SELECT 'route_reason', 'route ' || (sample_id % 3), count(*) FROM o GROUP BY ALL
+          UNION ALL SELECT 'question_reason', 'asked ' || (turn % 2), count(*) FROM o GROUP BY ALL UNION ALL SELECT 'reply_reason', 'second', count(*) FROM o WHERE turn = 2""",
+        "session_errors": "SELECT count(DISTINCT l_orderkey) AS error_count FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 7 = 0",
+        "recommendation_payloads": f"""WITH {tr}, o AS (SELECT sample_id, id, min(turn * 100 + pos) AS place, arg_min(pos, turn * 100 + pos) AS pos FROM tr WHERE id % 6 <> 5 GROUP BY sample_id, id), r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY place) AS k FROM o)
+          SELECT sample_id AS key, string_agg('P-' || id || ':' || CASE id % 6 WHEN 0 THEN pos || '.5' WHEN 4 THEN '3.0' ELSE '-' END, ',' ORDER BY place) AS found FROM r WHERE k <= 5 GROUP BY sample_id""",
         "stage_rank": f"WITH {tr} SELECT sample_id, turn, min(pos) AS rank FROM tr WHERE id = target GROUP BY sample_id, turn",
         "interpret_question": f"SELECT * FROM (VALUES {answers}) AS v(q, resolved, reason, signature)",
         "validate_rules": f"WITH {p}, {targets}, {checked} SELECT sample_id, errors = 0 AS valid, errors, initial_count, full_count FROM er",

@@ -22,11 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows whose files have fewer splits than the session has cores are dealt out, as facts and values take much work a row; others stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as products: type is the category, brand the store, size a detail; ratings follow sales."""
     sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
     none = F.array().cast("array<string>")
-    return table(spark, sf_dir, "part").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left").select(
+    return spread(table(spark, sf_dir, "part")).join(sold, F.col("p_partkey") == F.col("l_partkey"), "left").select(
         F.concat(F.lit("P-"), F.col("p_partkey")).alias("parent_asin"), F.col("p_name").alias("title"), F.array("p_type").alias("categories"), none.alias("features"), none.alias("description"),
         F.array(F.struct(F.lit("Size").alias("key"), F.col("p_size").cast("string").alias("value"))).alias("details"), F.col("p_brand").alias("store"), F.col("p_retailprice").alias("price"),
         ((10 + F.coalesce("q", F.lit(0)) % 41) / F.lit(10.0)).alias("rating"), F.coalesce("n", F.lit(0)).cast("bigint").alias("rating_count"),
@@ -89,3 +95,22 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.get("r", 0)["l_returnflag"] == "R", "revealed").when(F.get("r", 0)["l_returnflag"] == "A", "repeated").otherwise("").alias("status"),
         F.transform("r", lambda x: x["id"]).alias("recommendations"),
     )
+
+
+def session_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as recorded sessions, parsed (``value``, ``j``): turns as numbers and texts, ids as objects and blank-padded texts, starts of 3, reasons and errors."""
+    lists = ranked_lines(spark, sf_dir).groupBy("sample_id", "scenario_type", "turn", "target").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "l_returnflag"))).alias("r"))
+    key, number = F.col("sample_id"), F.col("turn").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    turn = F.when(key % 5 == 0, quoted(F.concat(number, F.lit(".9")))).when(key % 5 == 1, quoted(number)).otherwise(number)
+    ids = F.transform("r", lambda x: F.when(x["pos"] % 2 == 0, quoted(F.concat(F.lit(" "), x["id"].cast("string")))).otherwise(F.concat(F.lit('{"parent_asin":"'), x["id"].cast("string"), F.lit('"}'))))
+    status = F.when(F.get("r", 0)["l_returnflag"] == "R", "revealed").otherwise("")
+    reasons = F.concat(F.lit('{"route_reason":"route '), F.pmod(key, F.lit(3)).cast("string"), F.lit('","reply_reason":'), F.when(F.col("turn") == 2, '"second"').otherwise("0"), F.lit(',"question_interpretation":{"reason":"asked '), F.pmod("turn", F.lit(2)).cast("string"), F.lit('"}}'))
+    seen = F.concat(F.lit('{"turn":'), turn, F.lit(',"recommendations":['), F.array_join(ids, ","), F.lit('],"simulator_status":'), quoted(status), F.lit(',"simulator_diagnostics":'), reasons, F.lit("}"))
+    sessions = lists.withColumn("seen", seen).groupBy("sample_id", "scenario_type", "target").agg(F.array_sort(F.collect_list(F.struct("turn", "seen"))).alias("s"))
+    start, errors = F.when(key % 4 == 0, "3").otherwise('"1"'), F.when(key % 7 == 0, '["timed out"]').otherwise("[]")
+    value = F.concat(
+        F.lit('{"sample_id":'), quoted(key.cast("string")), F.lit(',"scenario_type":'), quoted(F.col("scenario_type")), F.lit(',"target_parent_asin":'), quoted(F.col("target").cast("string")), F.lit(',"metrics_start_turn":'), start,
+        F.lit(',"errors":'), errors, F.lit(',"trace":["no object",'), F.array_join(F.transform("s", lambda x: x["seen"]), ","), F.lit("]}"),
+    )
+    return sessions.select(value.alias("value")).withColumn("j", F.parse_json("value"))

@@ -35,12 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return it reread.
 
-    Each call takes a folder of its own; the returned table is read lazily.
+    Each call takes a folder of its own; the returned table is read lazily. What was returned by an earlier call stays as it is.
     """
+    if getattr(df, "_stored", False):
+        return df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = True
+    return out
 
 
 def clear(spark: SparkSession) -> None:
