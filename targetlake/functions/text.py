@@ -15,18 +15,35 @@ BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
 ID_LIKE = r"\b(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{8,}\b"
 
 
+#: Common characters that fold to several: replaced by themselves, as a text that has them is looked at once more otherwise.
+_COMMON = ("ß", "ﬀ", "ﬁ", "ﬂ", "ﬃ", "ﬄ")
+
+
 @cache
 def _folds() -> tuple[str, str]:
-    """Characters whose case folding is one other character than their lower case, and those, by rule."""
-    lower = [c for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c.lower() and len(c.casefold()) == 1]
-    return "".join(lower) + "ς", "".join(c.casefold() for c in lower) + "σ"
+    """All characters that case folding turns into one other character, and what they become, by rule."""
+    one = [c for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c and len(c.casefold()) == 1]
+    return "".join(one), "".join(c.casefold() for c in one)
+
+
+@cache
+def _expansions() -> dict[str, str]:
+    """The other characters, which fold to several, and these, by rule."""
+    return {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if len(c.casefold()) > 1 and c not in _COMMON}
 
 
 def casefold(text: Column) -> Column:
-    """Unicode case folding. Of the characters that fold to several, ß and the Latin ligatures are expanded."""
-    out = F.replace(F.translate(F.lower(text), *_folds()), F.lit("ß"), F.lit("ss"))
-    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        out = F.replace(out, F.lit(ligature), F.lit(letters))
+    """Unicode case folding of every character, as far as this Python's tables know it.
+
+    Characters that fold to one other are translated. The few texts with a rare character that folds to several are
+    split into characters, which are looked up.
+    """
+    many = _expansions()
+    table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    split = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    out = F.translate(F.when(text.rlike("[" + "".join(many) + "]"), split).otherwise(text), *_folds())
+    for c in _COMMON:
+        out = F.replace(out, F.lit(c), F.lit(c.casefold()))
     return out
 
 

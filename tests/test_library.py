@@ -173,16 +173,61 @@ def test_traces_and_metrics(spark, tmp_path):
     trace = TR.read_traces(spark, str(tmp_path / "t.jsonl")).cache()
     assert trace.where("sample_id = '1'").count() == 3
     got = {r["sample_id"]: (r["target_turn"], r["target_rank"], r["clarification_turns"]) for r in metrics.first_target(trace).collect()}
-    assert got == {"1": (1, 2, 1), "2": (None, None, 1), "3": (2, 1, 1), "4": (None, None, 0), "5": (1, 2, 1), "6": (None, None, 0)}
+    assert got == {"1": (2, 1, 1), "2": (None, None, 1), "3": (2, 1, 1), "4": (None, None, 0), "5": (2, 1, 1), "6": (None, None, 0)}
     summary = cli.report(trace)["summary"]
-    assert (summary["count"], summary["hits"], summary["mrr"]) == (6, 3, round((0.5 + 1 + 0.5) / 6, 6)) and summary["statuses"] == {"revealed": 4}
+    assert (summary["count"], summary["hits"], summary["mrr"]) == (6, 3, 0.5) and summary["statuses"] == {"revealed": 4}
     assert "direct_search" in cli.format_report({"summary": summary})
+    assert summary["error_count"] == 0 and "protocol errors" not in cli.format_report({"summary": summary})
     # The same from a stream of files.
     query = streams.first_targets(spark, str(tmp_path)).writeStream.format("memory").queryName("first_hits").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "_state")).start()
     query.awaitTermination(120)
     assert {r["sample_id"]: (r["target_turn"], r["target_rank"], r["clarification_turns"]) for r in spark.table("first_hits").collect()} == got
 
 
+def test_payloads_turns_and_reasons(spark):
+    payload = [{"parent_asin": " a ", "score": 1}, {"parent_asin": "", "product_id": "b", "score": True}, {"product_id": 7, "score": "2"}, None, "  c", 12, 0, True, {"score": 3.5}, ["x"]]
+    lines = spark.createDataFrame([(json.dumps({"p": payload}),), (json.dumps({"p": "a"}),), (json.dumps({"p": {"a": 1}}),)], "value string").withColumn("j", F.parse_json("value"))
+    got = [[tuple(x) for x in r["r"]] for r in lines.select(TR.recommended(F.try_variant_get("j", "$.p", "variant")).alias("r")).collect()]
+    assert got[0][:9] == [("a", 1.0), ("b", None), ("7", None), ("", None), ("c", None), ("12", None), ("", None), ("True", None), ("", 3.5)] and got[1:] == [[], []]
+    seen = lambda turn, reasons: {"turn": turn, "recommendations": ["t"], "simulator_status": "", "simulator_diagnostics": reasons}
+    sessions = [
+        session("1", "t", [seen("7.9", {"route_reason": "r", "reply_reason": 0, "question_interpretation": {"reason": "q"}}), seen(" 3 ", {"route_reason": "r"}), seen(4, "x")], errors=["timed out"], metrics_start_turn=3),
+        session("2", " t", [seen(True, {}), seen(2.7, None)], errors=[], metrics_start_turn="x"), session("3", "t", [{"turn": 1, "recommendations": [" t "]}]),
+    ]
+    trace = TR.observed(spark.createDataFrame([(json.dumps(x),) for x in sessions], "value string").withColumn("j", F.parse_json("value"))).cache()
+    assert [r["turn"] for r in trace.orderBy("sample_id", "obs_pos").collect()] == [0, 3, 4, 1, 2, 1]
+    assert {r["sample_id"]: (r["target_turn"], r["target_rank"]) for r in metrics.first_target(trace).collect()} == {"1": (3, 1), "2": (None, None), "3": (None, None)}
+    summary = cli.report(trace)["summary"]
+    assert summary["error_count"] == 1 and summary["simulator"] == {"status_counts": {}, "route_reason_counts": {"r": 2}, "question_reason_counts": {"q": 1}, "reply_reason_counts": {}}
+    assert "sessions with protocol errors  1" in cli.format_report({"summary": summary})
+
+
+def test_case_folding_of_all_characters(spark):
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    rows = [("".join(map(chr, points[i : i + 500])),) for i in range(0, len(points), 500)] + [("Straße ᾳ̈ ﬃ ŉ İ",), ("",)]
+    got = spark.createDataFrame(rows, "t string").select("t", T.casefold(F.col("t")).alias("f")).collect()
+    assert [r["t"] for r in got if r["t"].casefold() != r["f"]] == []
+
+
+def test_line_numbers_in_files_of_several_splits(spark, tmp_path):
+    """One pass parses; the number counts the lines of the splits before."""
+    lines = [json.dumps({"parent_asin": f"A{i}", "title": "x" * 50}) for i in range(5000)]
+    (tmp_path / "ok.jsonl").write_text("\n".join(lines))
+    lines[4321] = "[]"
+    (tmp_path / "bad.jsonl").write_text("\n".join(lines))
+    lines[4321], lines[17] = lines[0].replace("A0", "Z"), '{"title": "no id"}'
+    (tmp_path / "none.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        assert C.read_catalog(spark, str(tmp_path / "ok.jsonl")).count() == 5000
+        with pytest.raises(ValueError, match=r"bad\.jsonl, line 4322: not a JSON object: \[\]"):
+            C.read_catalog(spark, str(tmp_path / "bad.jsonl"))
+        with pytest.raises(ValueError, match=r"none\.jsonl, line 18: a catalog row without parent_asin"):
+            C.read_catalog(spark, str(tmp_path / "none.jsonl"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_commands(spark, catalog, posting, samples, tmp_path, capsys):
     (tmp_path / "catalog.jsonl").write_text("\n".join(json.dumps(r) for r in RECORDS))
     jsonl.write_samples(samples, str(tmp_path / "set"))
