@@ -20,8 +20,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, from a new ledger."""
-    return secret_scans.scan(table(spark, sf_dir, "documents"))
+    """Secrets of every document, scanned in two increments that share a new ledger."""
+    return secret_scans.scan_in_parts(table(spark, sf_dir, "documents"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

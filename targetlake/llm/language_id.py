@@ -3,12 +3,15 @@
 Evidence of a row: the likelihood of its text under each language's byte trigrams,
 the language declared in the markup or metadata, the suffix of its address, and a
 prior of its host. Trigram counts are added up over all rows with a declared
-language; every declared language has a model, and the languages are scored in
+language; every declared primary subtag has a model, and the languages are scored in
 broadcast blocks, one pass over the texts each, that meet again by row. How often a declared language or a suffix goes
 with a language, and the priors of hosts, are grouped sums of text posteriors;
 a host is smoothed towards its domain and that towards all rows, so that small
 hosts follow the larger group.
 
+Declarations are reduced to primary subtags. One that names no language has no model
+and no posterior of its own; how often it goes with each language is evidence all the same.
+
 Nulls: a null text has no likelihood evidence and a null declaration, address or
 host none of its kind; with no evidence at all the global prior decides. Repeated
 rows are counted and returned one by one; of equally probable languages the first
@@ -33,6 +36,8 @@ from .words import raw_texts, slices
 GRAMS = 1 << 16
 #: Languages whose models one broadcast holds (GRAMS numbers each); all declared ones are told apart.
 BLOCK = 64
+#: What a declaration looks like that names a language, after :func:`primary`; so there are fewer than 36**3 of them. Others are evidence alone.
+LANGUAGE = r"^[a-z][a-z0-9]{1,2}$"
 #: Weight of the text's log likelihood, as neighbouring trigrams repeat each other.
 TEMPER = 0.25
 #: Rows' worth of the wider group that a host's and a domain's prior hold.
@@ -55,7 +60,7 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def trigram_counts(rows: DataFrame) -> tuple[list[str], DataFrame]:
     """All declared languages, and the counts (i, g, n) of gram bucket g in language i, from all rows (``text``, ``declared``)."""
-    named = rows.where("declared IS NOT NULL AND declared <> ''")
+    named = rows.where(F.col("declared").rlike(LANGUAGE))
     languages = sorted(r["declared"] for r in named.select("declared").distinct().collect())
     number = {x: i for i, x in enumerate(languages)}
 
@@ -179,18 +184,25 @@ def identified(rows: DataFrame) -> DataFrame:
     return fused.select(*ids, F.get(named, F.array_position("_p", best).cast("int") - 1).alias("language"), best.alias("probability")).withColumn("kept", F.col("probability") >= 0.5)
 
 
+def primary(declared: Column) -> Column:
+    """A declaration's primary subtag, in lower case (en of en-US and en_gb); what names no language stays as it is, and what is empty is null."""
+    plain = F.lower(F.trim(declared))
+    tag = F.regexp_extract(plain, r"^([a-z][a-z0-9]{1,2})(?:[-_].*)?$", 1)
+    return F.nullif(F.when(tag != "", tag).otherwise(plain), F.lit(""))
+
+
 def of_documents(docs: DataFrame) -> DataFrame:
     """Documents as rows for :func:`identified`: the source is the host; there is no address."""
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    return docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", primary(F.col("lang")).alias("declared"), none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
     """Pages as rows for :func:`identified`: markup is taken off the text, the declaration is the root's ``lang``."""
     name = host(F.col("url"))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
-    declared = F.lower(F.regexp_extract("html", r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1))
+    declared = F.regexp_extract("html", r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([^\s"'>]+)""", 1)
     return pages.select(
-        F.lit(None).cast("long").alias("doc_id"), "page_id", text.alias("text"), F.nullif(declared, F.lit("")).alias("declared"),
+        F.lit(None).cast("long").alias("doc_id"), "page_id", text.alias("text"), primary(declared).alias("declared"),
         F.regexp_extract(name, r"([^.]+)$", 1).alias("suffix"), name.alias("host"), F.regexp_extract(name, r"([^.]+\.[^.]+)$", 1).alias("domain"),
     )

@@ -26,8 +26,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import shared_dir
+from .scratch import shared_dir, written
 
+#: Unseen blobs that are broadcast at most, 64 characters each.
+SENT = 1_000_000
 # Kinds in the order in which equal starts are listed.
 #: kind: (pattern, capture group that is measured, its least length)
 RULES = {
@@ -100,10 +102,18 @@ def scanned(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
 
 
 def unseen(versions: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """One copy of each blob of ``versions`` (``blob``, ``text``) that the ledger lacks under this rule version."""
+    """One copy of each blob of ``versions`` (``blob``, ``text``) that the ledger lacks under this rule version.
+
+    Hashes meet the ledger first, and texts are fetched by what is left of them. Up to ``SENT`` unseen blobs are
+    broadcast, so that no text that was seen before is moved; beyond, copies meet task by task and one of each is moved.
+    """
     seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
-    # Copies meet before the shuffle, task by task, and only then the ledger.
-    return versions.groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left_anti")
+    if seen.isEmpty():
+        return versions.groupBy("blob").agg(F.first("text").alias("text"))
+    new = written(versions.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen-blobs")
+    if new.count() <= SENT:
+        return versions.join(F.broadcast(new), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    return versions.groupBy("blob").agg(F.first("text").alias("text")).join(new, "blob", "left_semi")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -122,18 +132,33 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rule_version: str = RU
     return by_blob(docs, ledger_path, rule_version).drop("blob")
 
 
-def by_blob(docs: DataFrame, ledger_path: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """:func:`scan` with the ``blob`` of each row's text."""
-    spark = docs.sparkSession
-    path = ledger_path or f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+def scan_in_parts(docs: DataFrame, parts: int = 2) -> DataFrame:
+    """Findings of every row, scanned as so many increments that share one new ledger: each scans what those before it didn't hold."""
+    path = f"{shared_dir(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))  # a null id has one too
+    for k in range(parts):
+        update(docs.where(part == k), path)
+    # Read once when all is written: Spark takes two reads of a folder for one, whatever it held at each time.
+    return findings(docs, path).drop("blob")
+
+
+def _versions(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    versions = docs.select("doc_id", text.alias("text")).withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
-    scanned(unseen(versions.select("blob", "text"), _read(spark, path), rule_version), rule_version).write.mode("append").parquet(path)
-    ledger = spark.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == rule_version)
+    return docs.select("doc_id", text.alias("text")).withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
+
+
+def update(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -> None:
+    """Append to the ledger what it lacks of the rows' texts."""
+    ledger = _read(docs.sparkSession, path)
+    scanned(unseen(_versions(docs).select("blob", "text"), ledger, rule_version), rule_version).write.mode("append").parquet(path)
+
+
+def findings(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """What the ledger holds of each row's text."""
+    ledger = docs.sparkSession.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == rule_version)
     held = ledger.where(F.length("spans") > 0).drop("rule_version").dropDuplicates(["blob"])  # runs at the same time may both have scanned a blob
-    paths = versions.select("doc_id", "blob")
     none = F.sha2(F.lit("").cast("binary"), 256)
-    return paths.join(held, "blob", "left").select(
+    return _versions(docs).select("doc_id", "blob").join(held, "blob", "left").select(
         "doc_id", "blob",
         *[F.coalesce(F.col(f"n_{k}"), F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE],
         F.coalesce(F.sha2(F.encode("base_spans", "UTF-8"), 256), none).alias("base_sha256"),
@@ -141,6 +166,13 @@ def by_blob(docs: DataFrame, ledger_path: str | None = None, rule_version: str =
     )
 
 
+def by_blob(docs: DataFrame, ledger_path: str | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+    """:func:`scan` with the ``blob`` of each row's text."""
+    path = ledger_path or f"{shared_dir(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}"
+    update(docs, path, rule_version)
+    return findings(docs, path, rule_version)
+
+
 def redacted(docs: DataFrame, findings: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with the secrets that the rules find replaced in their texts, whole rows kept.
 

@@ -559,3 +559,36 @@ def test_fused_evidence_against_brute_force(spark):
         fused = normal(logs + np.log(p))
         want.append((i, langs[int(fused.argmax())], round(float(fused.max()), 4)))
     assert sorted((r["doc_id"], r["language"], round(r["probability"], 4)) for r in got) == sorted(want)
+
+
+def test_second_scan_moves_no_seen_text(spark, tmp_path):
+    """An unchanged table has nothing to scan; of a changed one only new texts meet a shuffle."""
+    path = str(tmp_path / "ledger")
+    first = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("token = secret"), F.pmod("id", F.lit(100)).cast("string")).alias("text"))
+    assert secret_scans.scan(first, path).where("n_assign = 1").count() == 300 and spark.read.parquet(path).count() == 100
+    versions = lambda docs: docs.select(F.sha2("text", 256).alias("blob"), "text")
+    ledger = spark.read.schema(secret_scans.LEDGER).parquet(path)
+    assert secret_scans.unseen(versions(first), ledger).count() == 0
+    more = first.unionByName(spark.range(300, 310).select(F.col("id").alias("doc_id"), F.lit("api_key: abcdefgh").alias("text")))
+    todo = secret_scans.unseen(versions(more), ledger)
+    assert [r["text"] for r in todo.collect()] == ["api_key: abcdefgh"]
+    plan = todo._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("BroadcastHashJoin") > plan.index("Exchange hashpartitioning(blob")  # the semi join is below the texts' only shuffle
+    whole = secret_scans.scan_in_parts(more).groupBy("n_assign").count().collect()
+    assert [tuple(r) for r in whole] == [(1, 310)]
+
+
+def test_dirty_declarations(spark):
+    """Subtags are one language, 500 odd values are none, and wrong declarations don't win over the text."""
+    rng = random.Random(12)
+    vocab = {"en": ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(40)], "fr": ["".join(rng.choice("pqrstuv") for _ in range(6)) for _ in range(40)]}
+    rows = []
+    for i in range(1500):
+        true = "en" if i % 3 else "fr"
+        said = f"junk value {i % 500}" if i % 5 == 0 else rng.choice([true, f"{true}-US", f"{true}_x", true.upper(), f" {true} "]) if i % 5 != 1 else rng.choice(["en", "fr"])
+        rows.append((i, " ".join(rng.choice(vocab[true]) for _ in range(rng.choice([1, 4, 30]))), said, rng.choice(["a", "b", None]), true))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, true string")
+    languages, _ = language_id.trigram_counts(language_id.of_documents(table))
+    assert languages == ["en", "fr"]
+    got = {r["doc_id"]: r["language"] for r in language_id.identified(language_id.of_documents(table)).collect()}
+    assert sum(got[r[0]] == r[4] for r in rows) >= 1470
