@@ -308,6 +308,36 @@ def validate_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sample_id", F.array_join(F.array_sort("errors"), ",").alias("rules"))
 
 
+#: What is broken in the change of mind of derived samples, by the target's number modulo how many there are; 0 breaks nothing.
+OVERRIDE_BREAKS = (
+    "nothing", "turn", "incomplete", "old_true", "old_unseen", "new_unsigned", "new_untrue", "new_visible", "old_unasked", "old_unsaid", "new_unsaid", "shows_target",
+)
+
+
+def overriding_samples(samples: DataFrame) -> DataFrame:
+    """The samples as changes of mind from another store to the size, most of them broken in one way (see ``OVERRIDE_BREAKS``)."""
+    no = F.pmod(F.expr("CAST(substring(target, 3) AS BIGINT)"), F.lit(len(OVERRIDE_BREAKS)))
+    on = lambda name: F.col("_no") == OVERRIDE_BREAKS.index(name)
+    own, size, store = F.get("query_facts", 1)["display"], F.get("clarification_facts", 0), F.get("query_facts", 1)
+    brand = F.when(on("old_unseen"), "Brand#999").when(own == "Brand#1", "Brand#2").otherwise("Brand#1")
+    decoy = FA.make_fact(F.lit("store"), "eq", T.normalize_text(brand), "decoy", brand, "brand", "decoy")
+    old = decoy.withField("source", F.when(on("old_true"), "store").otherwise("decoy"))
+    new = F.when(on("new_visible"), store).when(on("new_unsigned"), size.withField("fact_id", F.lit("zz"))).when(on("new_untrue"), size.withField("value_str", F.lit("999"))).otherwise(size)
+    lead, end = F.concat(F.lit("Actually, ignore that earlier preference for "), brand, F.lit(".")), F.concat(F.lit("Please prioritize "), new["display"], F.lit("."))
+    message = F.when(on("old_unsaid"), end).when(on("new_unsaid"), lead).when(on("shows_target"), F.concat_ws(" ", lead, end, "target")).otherwise(F.concat_ws(" ", lead, end))
+    kind = samples.schema["override"].dataType
+    override = F.struct(F.when(on("turn"), 3).otherwise(2).alias("turn"), old.alias("old_fact"), F.when(~on("incomplete"), new).alias("new_fact"), old["fact_id"].alias("replaces_fact_id"), message.alias("message"))
+    asked = F.when(on("old_unasked"), F.col("query")).otherwise(F.concat("query", F.lit(" I initially thought I wanted "), brand, F.lit(", but I am still deciding.")))
+    return samples.withColumn("_no", no).withColumns({"scenario_type": F.lit("intent_override"), "override": override.cast(kind), "query": asked}).drop("_no")
+
+
+def validate_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that the derived samples break as changes of mind, when each is broken in one way."""
+    catalog, posting = _indexed(spark, sf_dir)
+    found = validate.validated(catalog, posting, overriding_samples(V.samples(catalog)))
+    return found.select("sample_id", F.array_join(F.array_sort("errors"), ",").alias("rules"))
+
+
 def fact_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many facts a signature of each product may use, by source."""
     pool = generate.fact_pool(V.products(spark, sf_dir), generate.GeneratorConfig(), large=True)
@@ -343,7 +373,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         unique_prefix, normalize_text, compact_text, tokens, parse_number, stable_id, postings, duplicate_ids, color_presence, match_facts, candidate_members, negation_antijoin, numeric_thresholds,
         extract_facts, render_facts, mask_histogram, redundant_facts, prefix_lengths, minimal_signatures, scenario_parts, first_target, exact_metrics, status_counts, recommendations_topk, session_first_target, session_counters, session_errors, recommendation_payloads, stage_rank, interpret_question, conversation_questions,
-        validate_rules, validation_rollup, validate_broken, fact_pool, decoy_facts, negative_facts, generated_samples,
+        validate_rules, validation_rollup, validate_broken, validate_overrides, fact_pool, decoy_facts, negative_facts, generated_samples,
     )
     return {f.__name__: f for f in every}
 
@@ -415,11 +445,21 @@ def oracle_sql() -> dict[str, str]:
         "negative": "['no_negative_fact']", "profile_scenario": "['no_profile_facts']", "override": "['no_override']", "display": "['signature[3].bad_fact_id', 'signature[3].display_differs', 'signature[3].display_unfaithful']",
         "value": "['signature[3].bad_fact_id', 'signature[3].display_differs', 'signature[3].untrue', 'signature[3].display_unfaithful', 'clarification[1].not_signed', 'parts_incomplete']",
     }
+    changed = {
+        "turn": "['override_turn']", "incomplete": "['override_incomplete']", "old_true": "['override_old_true']", "old_unseen": "['override_old_unseen']", "new_unsigned": "['override_new_unsigned', 'override_new_visible']",
+        "new_untrue": "['override_new_untrue', 'override_not_unique']", "new_visible": "['override_new_visible']", "old_unasked": f"CASE WHEN contains({normal('b')}, {normal('old')}) THEN [] ELSE ['override_old_unasked'] END",
+        "old_unsaid": "['override_old_unsaid']", "new_unsaid": f"CASE WHEN contains({normal('old')}, CAST(s AS VARCHAR)) THEN [] ELSE ['override_new_unsaid'] END", "shows_target": "['override_shows_target']",
+    }
+    minds = " ".join(f"WHEN {OVERRIDE_BREAKS.index(k)} THEN {v}" for k, v in changed.items())
+    silent = ", ".join(str(OVERRIDE_BREAKS.index(k)) for k in ("incomplete", "new_untrue"))
     told = " ".join(f"WHEN {BREAKS.index(k)} THEN {v}" for k, v in breaks.items())
     return {
         "validate_broken": f"""WITH {p}, {targets}, {checked}, b AS (SELECT *, CAST(substring(sample_id, 5) AS BIGINT) % {len(BREAKS)} AS b FROM er)
           SELECT sample_id, CASE WHEN b = {BREAKS.index('target')} THEN 'unknown_target' ELSE array_to_string(list_sort(list_concat(CASE b {told} ELSE [] END,
           CASE WHEN full_count <> 1 OR b = {BREAKS.index('value')} THEN ['not_unique'] ELSE [] END, CASE WHEN initial_count NOT BETWEEN 2 AND 200 THEN ['initial_bounds'] ELSE [] END)), ',') END AS rules FROM b""",
+        "validate_overrides": f"""WITH {p}, {targets}, {checked}, b AS (SELECT er.*, sm.b, sm.s, CASE WHEN sm.b = 'Brand#1' THEN 'Brand#2' ELSE 'Brand#1' END AS old, CAST(substring(sample_id, 5) AS BIGINT) % {len(OVERRIDE_BREAKS)} AS k FROM er JOIN sm USING (sample_id))
+          SELECT sample_id, array_to_string(list_sort(list_concat(CASE k {minds} ELSE [] END, CASE WHEN full_count <> 1 THEN ['not_unique'] ELSE [] END,
+          CASE WHEN full_count <> 1 AND k NOT IN ({silent}) THEN ['override_not_unique'] ELSE [] END, CASE WHEN initial_count NOT BETWEEN 2 AND 200 THEN ['initial_bounds'] ELSE [] END)), ',') AS rules FROM b""",
         "extract_facts": f"WITH {p}, {facts} SELECT field, operator, source, attribute, count(*) AS n, count(DISTINCT shown) AS ids FROM fx GROUP BY ALL",
         "fact_pool": f"WITH {p}, {facts} SELECT parent_asin, source, count(*) AS n, string_agg(shown, ',' ORDER BY shown) AS shown FROM fx GROUP BY ALL",
         "decoy_facts": f"""WITH {p}, tg AS (SELECT min(p_partkey) AS k FROM prod GROUP BY p_type, p_brand), o AS (SELECT parent_asin AS target, p_type, p_brand, CAST(p_size AS VARCHAR) AS s FROM prod JOIN tg ON k = p_partkey)
