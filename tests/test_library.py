@@ -1,6 +1,7 @@
 """Catalog, facts, masks, generation, validation, traces and metrics on a catalog of four products."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,28 @@ def test_nested_values_become_text(spark):
     assert [(d["key"], d["value"]) for d in row["details"]] == [("Sizes", "10 11"), ("Care", "wash cold"), ("Note", "[x")]
 
 
+def flat(value):
+    """A nested value as text, by plain recursion."""
+    if isinstance(value, dict):
+        return " ".join(f"{k} {flat(x)}" for k, x in value.items() if x is not None and x != "" and x != [])
+    return " ".join(flat(x) for x in value if x is not None and x != "") if isinstance(value, list) else str(value)
+
+
+def test_values_nested_to_any_usual_depth(spark):
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice(["red", "12", 7, "", None, "a b", 2.5])
+        return [value(depth - 1) for _ in range(rng.randint(0, 3))] if kind < 0.6 else {f"k{i}": value(depth - 1) for i in range(rng.randint(0, 3))}
+
+    records = [{"parent_asin": f"N{i}", "title": [value(4), "end"], "store": {"in": value(4), "name": "x"}, "features": {"f": value(3), "g": "y"}, "details": {"a": value(5), "b": value(5), "c": "z"}} for i in range(60)]
+    want = {r["parent_asin"]: (flat(r["title"]).strip(), flat(r["store"]).strip(), [(k, flat(x).strip()) for k, x in r["details"].items() if x is not None and x != "" and x != [] and flat(x).strip()]) for r in records}
+    got = {r["parent_asin"]: (r["title"], r["store"], [tuple(d) for d in r["details"]]) for r in C.catalog_from_records(spark, records).collect()}
+    assert got == want
+
+
 def test_text_forms(spark):
     row = spark.createDataFrame([("Straße ﬁx ΟΔΟΣ µ_1, A", "x -1,234.5 y", "The RED red shoe 12 x9y")], "a string, b string, c string")
     got = row.select(T.normalize_text(F.col("a")).alias("a"), T.parse_number(F.col("b")).alias("b"), T.tokens(F.col("c")).alias("c"), T.compact_text(F.lit(" a   b ")).alias("d"), T.parse_int(F.lit("-2.7")).alias("e")).first()
