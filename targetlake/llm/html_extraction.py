@@ -43,7 +43,7 @@ from .scratch import written
 from .words import slices
 
 RESULT = "page_id long, url string, text string, n_chars long"
-#: Hosts up to which their winning paths are broadcast (about 100 bytes each); beyond that they are joined by a shuffle.
+#: Paths and hashes of all hosts up to which they are broadcast (about 100 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
 # Element names by how they are treated.
@@ -417,7 +417,8 @@ def consensus(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     winners = written(consensus(pages), "host-paths")
-    small = winners.count() <= BROADCAST_HOSTS
+    some = lambda c: F.coalesce(F.size(c), F.lit(0))
+    small = (winners.agg(F.sum(1 + F.greatest(some("wide"), F.lit(0)) + F.greatest(some("repeated"), F.lit(0)))).first()[0] or 0) <= BROADCAST_HOSTS
     named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     both = named.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "path", "wide", "repeated")
 
