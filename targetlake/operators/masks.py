@@ -229,7 +229,7 @@ def mask_histogram(catalog: DataFrame, posting: DataFrame, samples: DataFrame) -
     ``samples``: sample_id, target, facts, of any number.
     """
     # Each is read several times below, and texts are to be normalised once.
-    products, posting, stated = written(with_values(catalog), "mask-products"), written(posting, "mask-postings"), written(_stated(samples), "mask-facts")
+    products, posting, stated = written(catalog if "vals" in catalog.columns else with_values(catalog), "mask-products"), written(posting, "mask-postings"), written(_stated(samples), "mask-facts")
     samples = written(samples.select("sample_id", "target"), "mask-samples")
     told_of = lambda *kinds: F.count_if(F.col("kind").isin(*kinds))
     last, some_numbers, some_parts = stated.agg(F.max("pos"), told_of("number"), told_of("holds", "lacks")).first()
