@@ -1,20 +1,27 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic regression on surface features gives each document's own log-odds; it
-is fitted on at most ``LABELS`` labelled documents. Posteriors are summed by host
-(the source) and path (source and language). The strength of the prior is
-estimated from how much hosts differ beyond what the spread within them explains;
-hosts shrink towards the global rate and paths towards their host, so that sparse
-sites follow the wider group. Posteriors under these rates give new sums, for some
-rounds. A document's final log-odds are its own plus what its path's rate adds to
-the global one.
-
-Nulls: a null text has the features of the empty text; null sources or languages
-are groups of their own; a null id has no label. Repeated rows are scored one by
-one; an id with several labels is good if one of them says so, and of several
-texts with a labelled id the one with the least features is learned from. Without
-labels of both kinds the features are not used and every document has the log-odds
-0. An empty table gives no rows. Extra columns are passed by.
+A document's own evidence is a logistic regression on surface measures and on what
+its words and word pairs say. Hashed words and pairs are counted by label in how
+many learned texts they occur; a bucket's weight is the log of the ratio of its
+shares in good and bad texts, and a text has the mean of its buckets' weights and
+their sum over the root of their number. Learned texts fall into ``FOLDS`` by their
+id, and the weights for a text of one fold come from the others, so that the
+regression is fitted on evidence that doesn't know the label. The regression's
+Newton steps are sums over the learned rows in Spark. Texts are learned from if
+their label is among the ``LABELS`` that have the least hashes of their ids.
+
+Posteriors are summed by host (the source) and path (source and language). The
+strength of the prior is estimated from how much hosts differ beyond what the spread
+within them explains; hosts shrink towards the global rate and paths towards their
+host, so that sparse sites follow the wider group. Posteriors under these rates give
+new sums, for some rounds. A document's final log-odds are its own plus what its
+path's rate adds to the global one.
+
+Nulls: a null text has the measures of the empty text, and no words; null sources or
+languages are groups of their own; a null id has no label. Repeated rows are scored
+and, if labelled, learned from one by one; an id with several labels is good if one of
+them says so. Without learned texts of both kinds the measures are not used and every
+document has the log-odds 0. An empty table gives no rows. Extra columns are passed by.
 """
 
 from __future__ import annotations
@@ -22,20 +29,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .words import blank_separated, raw_texts, slices
+from .words import Words, blank_separated, raw_texts, slices
 
-#: Labelled documents that the regression is fitted on, at most: those with the least hash of their id.
-LABELS = 20_000
+#: Labels that are learned from, at most: those with the least hash of their id. Their ids are broadcast.
+LABELS = 100_000
+#: Buckets of hashed words and word pairs, and folds of the learned texts.
+BUCKETS = 1 << 17
+FOLDS = 4
 #: Width of the cells of log-odds that groups are counted by, and rounds of new rates.
 CELL = 0.25
 ROUNDS = 4
-FEATURES = ("words", "length", "types", "types_by_words", "symbols", "digits", "capitals", "marks")
+FEATURES = ("words", "length", "types", "types_by_words", "symbols", "digits", "capitals", "marks", "grams", "grams_by_root")
 
 
 def _classes() -> dict[str, np.ndarray]:
@@ -46,9 +55,8 @@ def _classes() -> dict[str, np.ndarray]:
     return out
 
 
-def features(texts: pa.Array) -> np.ndarray:
-    """A row of ``FEATURES`` for each text."""
-    words = blank_separated(texts)
+def surface(texts: pa.Array, words: Words) -> np.ndarray:
+    """A row of the surface measures among ``FEATURES`` for each text."""
     n = np.maximum(words.counts, 1)
     owner = np.repeat(np.arange(len(words.counts)), words.counts)
     pairs = np.unique(owner << 32 | words.index.astype(np.int64)) if len(owner) else np.zeros(0, np.int64)
@@ -65,44 +73,127 @@ def features(texts: pa.Array) -> np.ndarray:
     return np.column_stack([logged, np.log1p(size / n), types, types * logged, np.log1p(1000 * by["symbols"]), np.log1p(1000 * by["digits"]), by["capitals"], np.log1p(1000 * by["marks"])])
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, host, path, x) of every document."""
+def buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the distinct buckets of each text's words and word pairs, in order."""
+    owner = np.repeat(np.arange(len(words.counts), dtype=np.int64), words.counts)
+    pairs = words.grams(2)
+    inside = owner[:-1] == owner[1:]  # no pair goes across texts
+    texts, h = np.concatenate([owner, owner[:-1][inside]]), np.concatenate([words.h, pairs[inside]])
+    held = np.unique(texts * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
+    return held // BUCKETS, held % BUCKETS
+
+
+def learned_ids(labels: DataFrame, most: int = LABELS) -> DataFrame:
+    """At most ``most`` labels (doc_id, quality, fold): those with the least hash of their id.
+
+    Which hashes are low enough follows from how many labels there are, so that no more
+    than the labels wanted, and a few to be sure that they are enough, are sorted.
+    """
+    told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    told = written(told.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)), "quality-labels")
+    n = told.count()
+    wanted = most + 6 * most**0.5 + 10
+    low = told if n <= wanted else told.where(F.col("h") < F.lit(int(wanted / n * 2**63)))
+    low = low if n <= most else low.orderBy("h", "doc_id").limit(most)
+    return written(low.select("doc_id", F.col("quality").cast("int").alias("quality"), (F.col("h") % FOLDS).cast("int").alias("fold")), "quality-learned")
+
+
+def _rows(docs: DataFrame, learned: DataFrame, how: str) -> DataFrame:
+    """(doc_id, host, path, text, quality, fold) of the documents; ``learned`` has ``LABELS`` rows at most."""
+    return docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), "text").join(F.broadcast(learned), "doc_id", how)
+
+
+def gram_counts(docs: DataFrame, learned: DataFrame) -> DataFrame:
+    """(bucket, cell, n): in how many learned texts of a fold and label (cell: twice the fold, plus 1 if good) a bucket occurs; bucket -1 counts the texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS + 1) * 2 * FOLDS, np.int64)
+        for batch in (part for whole in batches for part in slices(whole)):
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            text, bucket = buckets(blank_separated(batch.column("text")))
+            total += np.bincount((bucket + 1) * 2 * FOLDS + cell[text], minlength=len(total))
+            total[: 2 * FOLDS] += np.bincount(cell, minlength=2 * FOLDS)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part // (2 * FOLDS) - 1), pa.array(part % (2 * FOLDS)), pa.array(total[part])], names=["bucket", "cell", "n"])
+
+    cell = F.col("fold").cast("long") * 2 + (F.col("quality") > 0).cast("long")
+    return _rows(docs, learned, "inner").select("text", cell.alias("cell")).mapInArrow(count, "bucket long, cell long, n long").groupBy("bucket", "cell").agg(F.sum("n").alias("n"))
+
+
+def gram_weights(counted: DataFrame) -> np.ndarray:
+    """The weight of each bucket, by column: as told by the texts outside a fold, and in the last column by all."""
+    table = np.zeros((BUCKETS + 1, FOLDS, 2))
+    held = counted.toPandas()  # at most 2 * FOLDS numbers a bucket
+    cell = held["cell"].to_numpy(np.int64)
+    table[held["bucket"].to_numpy(np.int64) + 1, cell // 2, cell % 2] = held["n"].to_numpy(float)
+    every = table.sum(axis=1)
+    out = np.stack([every - table[:, k] for k in range(FOLDS)] + [every], axis=1)
+    share = np.log((out[1:] + 1) / (out[:1] + 2))
+    return share[:, :, 1] - share[:, :, 0]
+
+
+def featured(docs: DataFrame, learned: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, host, path, quality, x) of every document; x by ``FEATURES``, quality null where it is not learned from."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # FOLDS + 1 numbers a bucket
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            x = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("lang"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "host", "path", "x"])
-
-    return docs.select("doc_id", "source", "lang", "text").mapInArrow(rows, "doc_id long, host string, path string, x array<double>")
-
-
-def fitted(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights with the constant first) of a ridge logistic regression by Newton steps."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-    w = np.zeros(z.shape[1])
-    ridge = np.diag([1e-6] + [penalty] * x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return mean, scale, w
+            words = blank_separated(batch.column("text"))
+            fold = batch.column("fold").fill_null(FOLDS).to_numpy(zero_copy_only=False)
+            text, bucket = buckets(words)
+            total = np.bincount(text, sent.value[bucket, fold[text]], len(fold))
+            n = np.maximum(np.bincount(text, minlength=len(fold)), 1)
+            x = np.column_stack([surface(batch.column("text"), words), total / n, total / np.sqrt(n)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path", "quality")), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "host", "path", "quality", "x"])
 
+    return _rows(docs, learned, "left").mapInArrow(rows, "doc_id long, host string, path string, quality int, x array<double>")
 
-def labelled_sample(rows: DataFrame, labels: DataFrame, most: int = LABELS) -> pd.DataFrame:
-    """At most ``most`` labelled documents (doc_id, x, quality): those with the least hash of their id.
 
-    Which hashes are low enough follows from how many labelled documents there are, so
-    that tasks send no more than the sample, and a few to be sure that it is full.
+def regression(rows: DataFrame, penalty: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(mean, scale, weights with the constant first) of a ridge logistic regression of ``quality`` on ``x``; None without both kinds.
+
+    A Newton step is one grouped sum over the rows: gradient and curvature have one number for
+    each pair of features. A step that makes the loss greater is halved until it does not.
     """
-    told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    labelled = written(rows.join(told, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality")).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1)), "quality-labelled")
-    n = labelled.count()
-    wanted = most + 6 * most**0.5 + 10
-    low = labelled if n <= wanted else labelled.where(F.col("h") < F.lit(int(wanted / n * 2**63)))
-    return low.toPandas().sort_values(["h", "doc_id"]).head(most)  # about `most` rows
+    n = len(FEATURES)
+    x = [F.get("x", i) for i in range(n)]
+    learned = rows.where("quality IS NOT NULL")
+    first = learned.agg(F.count("*"), F.sum((F.col("quality") > 0).cast("int")), *[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first()
+    if not first[0] or first[1] in (0, first[0]):
+        return None
+    mean, scale = np.array(first[2 : 2 + n], float), np.array(first[2 + n :], float) + 1e-9
+    z = [F.lit(1.0), *[F.col(f"z{i}") for i in range(n)]]
+    held = learned.select((F.col("quality") > 0).cast("double").alias("y"), *[((c - float(mean[i])) / float(scale[i])).alias(f"z{i}") for i, c in enumerate(x)])
+    at = [(i, j) for i in range(n + 1) for j in range(i + 1)]
+    ridge = np.diag([1e-6] + [penalty] * n)
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        odds = F.lit(float(w[0]))
+        for i in range(n):
+            odds = odds + z[i + 1] * float(w[i + 1])
+        p = 1 / (1 + F.exp(-F.col("odds")))
+        loss = F.greatest("odds", F.lit(0.0)) - F.col("y") * F.col("odds") + F.log1p(F.exp(-F.abs("odds")))
+        told = held.withColumn("odds", odds).withColumns({"p": p, "loss": loss})
+        got = told.agg(F.sum("loss"), *[F.sum(c * (F.col("y") - F.col("p"))) for c in z], *[F.sum(z[i] * z[j] * F.col("p") * (1 - F.col("p"))) for i, j in at]).first()
+        curve = np.zeros((n + 1, n + 1))
+        for (i, j), value in zip(at, got[n + 2 :], strict=True):
+            curve[i, j] = curve[j, i] = value
+        return got[0] + w @ ridge @ w / 2, np.array(got[1 : n + 2]) - ridge @ w, curve + ridge
+
+    w = np.zeros(n + 1)
+    loss, gradient, curve = sums(w)
+    for _ in range(steps):
+        step = np.linalg.solve(curve, gradient)
+        if np.abs(step).max() < 1e-6:
+            break
+        new = sums(w + step)
+        while new[0] > loss + 1e-9 and np.abs(step).max() > 1e-6:
+            step = step / 2
+            new = sums(w + step)
+        w, (loss, gradient, curve) = w + step, new
+    return mean, scale, w
 
 
 def _logit(p: Column) -> Column:
@@ -151,11 +242,11 @@ def rates(scored: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Posterior of good quality of every document, and what it was made of."""
-    rows = written(featured(docs), "quality-features")
-    sample = labelled_sample(rows, labels)
+    learned = learned_ids(labels)
+    rows = written(featured(docs, learned, gram_weights(gram_counts(docs, learned))), "quality-features")
     own = F.lit(0.0)
-    if sample["quality"].nunique() == 2:
-        mean, scale, w = fitted(np.array(sample["x"].tolist()), sample["quality"].to_numpy(float))
+    if model := regression(rows):
+        mean, scale, w = model
         for i in range(len(FEATURES)):
             own = own + (F.get("x", i) - float(mean[i])) * float(w[i + 1] / scale[i])
         own = own + float(w[0])

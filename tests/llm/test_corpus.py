@@ -9,10 +9,12 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from targetlake.llm import components, decontamination, jaccard, language_id, lm_scoring, packing, quality_classifier, quality_rules, scratch, secret_scans, sharding
+from targetlake.llm.words import blank_separated
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_crc32 string, sequence_id int, n_words string"
 
@@ -440,13 +442,66 @@ def test_classifier(spark, docs, empty):
     assert quality_classifier.classified(empty, labels).count() == 0
 
 
-def test_labelled_sample_is_bounded(spark):
-    rows = spark.createDataFrame([(i, [float(i or 0)]) for i in [*range(3000), 7, 7, None]], "doc_id long, x array<double>")
-    labels = spark.createDataFrame([(i, (i or 0) % 2) for i in [*range(3000), 7, 8, None]] + [(8, 1), (5, None)], "doc_id long, quality int")
-    got = quality_classifier.labelled_sample(rows, labels, 200)
-    every = quality_classifier.labelled_sample(rows, labels, 5000)
-    assert len(got) == 200 and len(every) == 3000 and got["doc_id"].tolist() == every["doc_id"].tolist()[:200]
-    assert every.set_index("doc_id").loc[8, "quality"] == 1
+def test_learned_labels_are_bounded(spark):
+    labels = spark.createDataFrame([(i, (i or 0) % 2, "x") for i in [*range(3000), 7, 8, None]] + [(8, 1, None), (5, None, None)], "doc_id long, quality int, fold string")
+    some, every = ([tuple(r) for r in quality_classifier.learned_ids(labels, most).collect()] for most in (200, 5000))
+    assert len(some) == 200 and set(some) < set(every) and len(every) == 3000
+    assert {i: q for i, q, _ in every} == {i: int(i % 2 or i == 8) for i in range(3000)}
+    assert {k for *_, k in every} == set(range(quality_classifier.FOLDS))
+
+
+def _topics(spark, seed, told):
+    """Texts of equal surface whose words lean to their kind, or not at all."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows, truth = [], {}
+    for i in range(900):
+        truth[i] = rng.random() < 0.6
+        half = vocab[:200] if truth[i] else vocab[200:]
+        rows.append((i, " ".join(rng.choice(half if told and rng.random() < 0.3 else vocab) for _ in range(30)), "en", f"h{i % 7}"))
+    rows += [(None, None, None, None), (900, "", "en", "h1"), rows[4], rows[4]]
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(0, 900, 2)], "doc_id long, quality int")
+    return rows, truth, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3), labels
+
+
+def test_words_are_evidence_out_of_fold(spark):
+    """Counts, weights, measures and regression against plain loops."""
+    q = quality_classifier
+    rows, truth, docs, labels = _topics(spark, 3, told=True)
+    learned = q.learned_ids(labels)
+    fold = {r["doc_id"]: r["fold"] for r in learned.collect()}
+    hashes = lambda text: [blank_separated(pa.array([text]))] if text else []
+    grams = lambda text: {int(h) % q.BUCKETS for w in hashes(text) for h in [*w.h, *w.grams(2)]}
+    total = {(k, y): sum(i in fold and fold[i] != k and truth[i] == y for i, *_ in rows) for k in range(q.FOLDS + 1) for y in (True, False)}
+    held = [(i, grams(text)) for i, text, *_ in rows]
+    seen = {(k, y): Counter(g for i, found in held if i in fold and fold[i] != k and truth[i] == y for g in found) for k, y in total}
+    weight = lambda g, k: np.log((seen[k, True][g] + 1) / (total[k, True] + 2)) - np.log((seen[k, False][g] + 1) / (total[k, False] + 2))
+    table = q.gram_weights(q.gram_counts(docs, learned))
+    got = q.featured(docs, learned, table).collect()
+    assert len(got) == len(rows)
+    text_of = {i: text or "" for i, text, *_ in rows}
+    assert sum(len(grams(text_of[i])) for i in range(50)) > 50 * 57  # words and pairs, few of them in one bucket
+    for r in got:
+        i = r["doc_id"]
+        assert r["quality"] == (int(truth[i]) if i in fold else None)
+        told = [weight(g, fold.get(i, q.FOLDS)) for g in grams(text_of[i])]
+        assert r["x"][8:] == pytest.approx([sum(told) / max(len(told), 1), sum(told) / max(len(told), 1) ** 0.5], abs=1e-5)
+    x, y = np.array([r["x"] for r in got if r["quality"] is not None]), np.array([r["quality"] for r in got if r["quality"] is not None])
+    mean, scale, w = q.regression(spark.createDataFrame([(r["x"], r["quality"]) for r in got], "x array<double>, quality int").repartition(3))
+    z = np.column_stack([np.ones(len(x)), (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)])
+    residual = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - np.array([1e-6] + [1] * len(q.FEATURES)) * w
+    assert mean == pytest.approx(x.mean(axis=0)) and np.abs(residual).max() < 1e-3  # at the optimum
+    kept = {r["doc_id"]: r["kept"] for r in q.classified(docs, labels).collect()}
+    right = np.mean([kept[i] == truth[i] for i in truth if i not in fold])
+    print("by words alone, held out:", right)
+    assert right > 0.9
+
+
+def test_labels_do_not_leak_into_their_own_evidence(spark):
+    rows, truth, docs, labels = _topics(spark, 4, told=False)
+    got = {r["doc_id"]: r["document_logit"] for r in quality_classifier.classified(docs, labels).collect() if r["doc_id"] is not None}
+    learned = [(got[i] >= 0) == truth[i] for i in range(0, 900, 2)]
+    assert np.mean(learned) < 0.68  # 60 % are good: words that say nothing must not tell the learned texts apart
 
 
 def test_fusion_by_host_and_path(spark):
