@@ -104,39 +104,50 @@ def _rows(docs: DataFrame, learned: DataFrame, how: str) -> DataFrame:
 
 
 def gram_counts(docs: DataFrame, learned: DataFrame) -> DataFrame:
-    """(bucket, cell, n): in how many learned texts of a fold and label (cell: twice the fold, plus 1 if good) a bucket occurs; bucket -1 counts the texts."""
+    """(bucket, n0, n1, ...): in how many learned texts of each fold and label (twice the fold, plus 1 if good) a bucket occurs; bucket -1 counts the texts."""
+    cells = [f"n{i}" for i in range(2 * FOLDS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS + 1) * 2 * FOLDS, np.int64)
+        total = np.zeros((BUCKETS + 1) * len(cells), np.int64)
         for batch in (part for whole in batches for part in slices(whole)):
             cell = batch.column("cell").to_numpy(zero_copy_only=False)
             text, bucket = buckets(blank_separated(batch.column("text")))
-            total += np.bincount((bucket + 1) * 2 * FOLDS + cell[text], minlength=len(total))
-            total[: 2 * FOLDS] += np.bincount(cell, minlength=2 * FOLDS)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part // (2 * FOLDS) - 1), pa.array(part % (2 * FOLDS)), pa.array(total[part])], names=["bucket", "cell", "n"])
+            total += np.bincount((bucket + 1) * len(cells) + cell[text], minlength=len(total))
+            total[: len(cells)] += np.bincount(cell, minlength=len(cells))
+        table = total.reshape(-1, len(cells))
+        at = np.flatnonzero(table.any(axis=1))
+        for i in range(0, len(at), 20_000):
+            part = at[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part - 1), *(pa.array(table[part, k]) for k in range(len(cells)))], names=["bucket", *cells])
 
     cell = F.col("fold").cast("long") * 2 + (F.col("quality") > 0).cast("long")
-    return _rows(docs, learned, "inner").select("text", cell.alias("cell")).mapInArrow(count, "bucket long, cell long, n long").groupBy("bucket", "cell").agg(F.sum("n").alias("n"))
+    counted = _rows(docs, learned, "inner").select("text", cell.alias("cell")).mapInArrow(count, ", ".join(f"{c} long" for c in ("bucket", *cells)))
+    return written(counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cells]), "quality-grams")
 
 
 def gram_weights(counted: DataFrame) -> np.ndarray:
     """The weight of each bucket, by column: as told by the texts outside a fold, and in the last column by all."""
-    table = np.zeros((BUCKETS + 1, FOLDS, 2))
-    held = counted.toPandas()  # at most 2 * FOLDS numbers a bucket
-    cell = held["cell"].to_numpy(np.int64)
-    table[held["bucket"].to_numpy(np.int64) + 1, cell // 2, cell % 2] = held["n"].to_numpy(float)
-    every = table.sum(axis=1)
-    out = np.stack([every - table[:, k] for k in range(FOLDS)] + [every], axis=1)
-    share = np.log((out[1:] + 1) / (out[:1] + 2))
-    return share[:, :, 1] - share[:, :, 0]
+    out = np.zeros((BUCKETS, FOLDS + 1), np.float32)
+    texts = counted.where("bucket = -1").first()
+    if texts is None:
+        return out
+    columns = []
+    for fold in range(FOLDS + 1):
+        share = []
+        for good in (0, 1):
+            cells = [f"n{2 * k + good}" for k in range(FOLDS) if k != fold]
+            share.append(F.log((sum(map(F.col, cells), F.lit(0)) + 1) / (sum(texts[c] for c in cells) + 2)))
+        columns.append((share[1] - share[0]).cast("float").alias(f"w{fold}"))
+        none = [sum(texts[f"n{2 * k + good}"] for k in range(FOLDS) if k != fold) for good in (0, 1)]
+        out[:, fold] = np.log((none[0] + 2) / (none[1] + 2))  # buckets that no learned text has
+    held = counted.where("bucket >= 0").select(F.col("bucket").cast("int").alias("bucket"), *columns).toPandas()  # FOLDS + 1 numbers a bucket
+    out[held["bucket"].to_numpy()] = held.drop(columns="bucket").to_numpy()
+    return out
 
 
 def featured(docs: DataFrame, learned: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, host, path, quality, x) of every document; x by ``FEATURES``, quality null where it is not learned from."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # FOLDS + 1 numbers a bucket
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # FOLDS + 1 numbers a bucket
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
