@@ -165,8 +165,8 @@ def featured(docs: DataFrame, learned: DataFrame, weights: np.ndarray) -> DataFr
 def regression(rows: DataFrame, penalty: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(mean, scale, weights with the constant first) of a ridge logistic regression of ``quality`` on ``x``; None without both kinds.
 
-    A Newton step is one grouped sum over the rows: gradient and curvature have one number for
-    each pair of features. A step that makes the loss greater is halved until it does not.
+    A Newton step is one sum over the rows: of each partition, the loss, the gradient and the
+    curvature's number for each pair of features. A step that makes the loss greater is halved until it does not.
     """
     n = len(FEATURES)
     x = [F.get("x", i) for i in range(n)]
@@ -175,22 +175,27 @@ def regression(rows: DataFrame, penalty: float = 1.0, steps: int = 40) -> tuple[
     if not first[0] or first[1] in (0, first[0]):
         return None
     mean, scale = np.array(first[2 : 2 + n], float), np.array(first[2 + n :], float) + 1e-9
-    z = [F.lit(1.0), *[F.col(f"z{i}") for i in range(n)]]
-    held = learned.select((F.col("quality") > 0).cast("double").alias("y"), *[((c - float(mean[i])) / float(scale[i])).alias(f"z{i}") for i, c in enumerate(x)])
-    at = [(i, j) for i in range(n + 1) for j in range(i + 1)]
+    held = learned.select((F.col("quality") > 0).cast("double").alias("y"), "x")
     ridge = np.diag([1e-6] + [penalty] * n)
+    below = np.tril_indices(n + 1)
+    names = [f"s{i}" for i in range(n + 2 + len(below[0]))]
 
     def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        odds = F.lit(float(w[0]))
-        for i in range(n):
-            odds = odds + z[i + 1] * float(w[i + 1])
-        p = 1 / (1 + F.exp(-F.col("odds")))
-        loss = F.greatest("odds", F.lit(0.0)) - F.col("y") * F.col("odds") + F.log1p(F.exp(-F.abs("odds")))
-        told = held.withColumn("odds", odds).withColumns({"p": p, "loss": loss})
-        got = told.agg(F.sum("loss"), *[F.sum(c * (F.col("y") - F.col("p"))) for c in z], *[F.sum(z[i] * z[j] * F.col("p") * (1 - F.col("p"))) for i, j in at]).first()
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(names))
+            for batch in batches:
+                y = batch.column("y").to_numpy(zero_copy_only=False)
+                z = np.column_stack([np.ones(len(y)), (batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(y), n) - mean) / scale])
+                odds = z @ w
+                p = 1 / (1 + np.exp(-odds))
+                curve = (z * (p * (1 - p))[:, None]).T @ z
+                total += np.concatenate([[np.sum(np.logaddexp(0, odds) - y * odds)], z.T @ (y - p), curve[below]])
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
+
+        got = held.mapInArrow(part, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
         curve = np.zeros((n + 1, n + 1))
-        for (i, j), value in zip(at, got[n + 2 :], strict=True):
-            curve[i, j] = curve[j, i] = value
+        curve[below] = got[n + 2 :]
+        curve = curve + np.tril(curve, -1).T
         return got[0] + w @ ridge @ w / 2, np.array(got[1 : n + 2]) - ridge @ w, curve + ridge
 
     w = np.zeros(n + 1)
