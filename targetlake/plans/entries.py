@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from ..functions.vocab import ASKED_FOR, ATTRIBUTE_ALIASES, ATTRIBUTES, BROAD, G
 from ..operators import facts as FA
 from ..operators import generate, masks, metrics, predicates, questions, validate
 from ..sources import catalog as C
-from ..sources import traces
-from ..sources.scratch import written
+from ..sources import jsonl, traces
+from ..sources.scratch import shared_dir, written
 from . import views as V
 
 _NORMAL = r"trim(regexp_replace(lower(replace({}, 'ß', 'ss')), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
@@ -338,6 +339,29 @@ def validate_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sample_id", F.array_join(F.array_sort("errors"), ",").alias("rules"))
 
 
+def catalog_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products written as JSON lines in the forms that catalogs have, and read again."""
+    path = f"{shared_dir(spark)}/catalog-files-{uuid.uuid4().hex}"
+    V.catalog_lines(V.products(spark, sf_dir)).write.text(path)
+    back = C.read_catalog(spark, path)
+    sizes = F.filter("details", lambda e: e["key"] == "Size")
+    return back.select("parent_asin", "title", C.category_path(F.col("categories")).alias("category"), "store", F.get(sizes, 0)["value"].alias("size"), "price", "rating", "rating_count")
+
+
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived samples and their changes of mind written as JSON lines and read again: their facts, and whether all of a sample is as it was."""
+    plain = V.samples(written(V.products(spark, sf_dir), "catalog"))
+    minds = overriding_samples(plain).withColumn("sample_id", F.concat(F.lit("o-"), "target")).where("override.new_fact IS NOT NULL")
+    samples = written(plain.unionByName(minds), "samples")
+    path = f"{shared_dir(spark)}/sample-files-{uuid.uuid4().hex}"
+    jsonl.write_samples(samples, path)
+    whole = lambda df: df.select("sample_id", F.to_json(F.struct(*sorted(samples.columns))).alias("whole"), "signature", F.col("override.turn").alias("turn"))
+    back = whole(jsonl.read_samples(spark, path).select(*samples.columns))
+    stated = F.transform("signature", lambda f: F.concat_ws(" ", f["field"], f["operator"], f["display"]))
+    same = back.join(whole(samples).select("sample_id", F.col("whole").alias("was")), "sample_id", "full")
+    return same.select("sample_id", F.array_join(stated, ",").alias("facts"), F.col("turn").cast("bigint").alias("turn"), F.col("whole").eqNullSafe(F.col("was")).alias("same"))
+
+
 def fact_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many facts a signature of each product may use, by source."""
     pool = generate.fact_pool(V.products(spark, sf_dir), generate.GeneratorConfig(), large=True)
@@ -373,7 +397,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         unique_prefix, normalize_text, compact_text, tokens, parse_number, stable_id, postings, duplicate_ids, color_presence, match_facts, candidate_members, negation_antijoin, numeric_thresholds,
         extract_facts, render_facts, mask_histogram, redundant_facts, prefix_lengths, minimal_signatures, scenario_parts, first_target, exact_metrics, status_counts, recommendations_topk, session_first_target, session_counters, session_errors, recommendation_payloads, stage_rank, interpret_question, conversation_questions,
-        validate_rules, validation_rollup, validate_broken, validate_overrides, fact_pool, decoy_facts, negative_facts, generated_samples,
+        validate_rules, validation_rollup, validate_broken, validate_overrides, catalog_files, sample_files, fact_pool, decoy_facts, negative_facts, generated_samples,
     )
     return {f.__name__: f for f in every}
 
@@ -460,6 +484,10 @@ def oracle_sql() -> dict[str, str]:
         "validate_overrides": f"""WITH {p}, {targets}, {checked}, b AS (SELECT er.*, sm.b, sm.s, CASE WHEN sm.b = 'Brand#1' THEN 'Brand#2' ELSE 'Brand#1' END AS old, CAST(substring(sample_id, 5) AS BIGINT) % {len(OVERRIDE_BREAKS)} AS k FROM er JOIN sm USING (sample_id))
           SELECT sample_id, array_to_string(list_sort(list_concat(CASE k {minds} ELSE [] END, CASE WHEN full_count <> 1 THEN ['not_unique'] ELSE [] END,
           CASE WHEN full_count <> 1 AND k NOT IN ({silent}) THEN ['override_not_unique'] ELSE [] END, CASE WHEN initial_count NOT BETWEEN 2 AND 200 THEN ['initial_bounds'] ELSE [] END)), ',') AS rules FROM b""",
+        "catalog_files": f"WITH {p} SELECT parent_asin, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN 'Goods / ' ELSE '' END || p_type AS category, p_brand AS store, CAST(p_size AS VARCHAR) AS size, price, rating, rating_count FROM prod",
+        "sample_files": f"""WITH {p}, {targets}, f AS (SELECT substring(sample_id, 3) AS target, 'category eq ' || t || ',store eq ' || b || ',detail:size eq ' || s || ',price le ' || CAST(CAST(c AS DOUBLE) AS VARCHAR) AS facts FROM sm)
+          SELECT 's-' || target AS sample_id, facts, CAST(NULL AS BIGINT) AS turn, true AS same FROM f
+          UNION ALL SELECT 'o-' || target, facts, CASE WHEN k = {OVERRIDE_BREAKS.index("turn")} THEN CAST(3 AS BIGINT) ELSE 2 END, true FROM (SELECT *, CAST(substring(target, 3) AS BIGINT) % {len(OVERRIDE_BREAKS)} AS k FROM f) WHERE k <> {OVERRIDE_BREAKS.index("incomplete")}""",
         "extract_facts": f"WITH {p}, {facts} SELECT field, operator, source, attribute, count(*) AS n, count(DISTINCT shown) AS ids FROM fx GROUP BY ALL",
         "fact_pool": f"WITH {p}, {facts} SELECT parent_asin, source, count(*) AS n, string_agg(shown, ',' ORDER BY shown) AS shown FROM fx GROUP BY ALL",
         "decoy_facts": f"""WITH {p}, tg AS (SELECT min(p_partkey) AS k FROM prod GROUP BY p_type, p_brand), o AS (SELECT parent_asin AS target, p_type, p_brand, CAST(p_size AS VARCHAR) AS s FROM prod JOIN tg ON k = p_partkey)

@@ -39,6 +39,24 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalog_lines(products: DataFrame) -> DataFrame:
+    """Products as lines (``value``) of a catalog file: by number, prices as numbers and texts, categories as a list and a text, details as an object, padded ids, and the names that ratings and their counts have."""
+    no = F.expr("CAST(substring(parent_asin, 3) AS BIGINT)")
+    json = lambda c: F.to_json(F.array(c))
+    one = lambda c: F.substring(json(c), F.lit(2), F.length(json(c)) - 2)
+    leaf, size, count = F.get("categories", 0), F.get("details", 0)["value"], F.col("rating_count").cast("string")
+    parts = {
+        "parent_asin": one(F.when(no % 2 == 0, F.concat(F.lit(" "), "parent_asin", F.lit("  "))).otherwise(F.col("parent_asin"))), "title": one(F.col("title")), "store": one(F.col("store")),
+        "categories": F.when(no % 3 == 0, F.to_json(F.array(F.lit("Goods"), leaf))).when(no % 3 == 1, one(leaf)).otherwise(json(leaf)),
+        "price": F.when(no % 2 == 1, one(F.format_string("$%.2f", "price"))).otherwise(F.col("price").cast("string")),
+    }
+    rating = F.concat(F.when(no % 5 == 0, '"rating":').otherwise('"average_rating":'), F.col("rating").cast("string"))
+    counts = F.when(no % 4 == 0, "").when(no % 4 == 1, F.concat(F.lit(',"rating_count":'), count)).otherwise(F.concat(F.lit(',"rating_number":'), count))
+    inner = F.when(no % 4 == 0, F.concat(F.lit(',"Rating Count":"'), count, F.lit(' ratings"'))).otherwise("")
+    pairs = [F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]
+    return products.select(F.concat(F.lit("{"), F.concat_ws(",", *pairs, rating), counts, F.lit(',"details":{"Size":'), one(size), inner, F.lit("}}")).alias("value"))
+
+
 #: Facts of a derived sample, in order.
 SAMPLE_FACTS = ("category", "store", "detail:size", "price")
 
