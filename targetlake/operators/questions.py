@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_words, normalize_text
+from ..functions.text import normalize_text
 from ..functions.vocab import ASKED_FOR, ATTRIBUTE_ALIASES, ATTRIBUTES, BROAD, COMPATIBLE, QUESTION
 
 
@@ -15,16 +15,19 @@ def _rlike(text: Column, pattern: str) -> Column:
 
 def text_attributes(message: Column) -> Column:
     """Attributes that the text names, in their fixed order."""
-    normal = normalize_text(message)
-    found = []
-    for attribute in ATTRIBUTES[:-1]:
-        hit = F.lit(False)
-        for alias in ATTRIBUTE_ALIASES[attribute]:
-            hit = hit | contains_words(normal, alias)
-        for pattern in ASKED_FOR[attribute]:
-            hit = hit | _rlike(message, pattern)
-        found.append(F.when(hit, F.lit(attribute)))
-    return F.array_compact(F.array(*found))
+
+    def named(x: Column) -> Column:
+        found = []
+        for attribute in ATTRIBUTES[:-1]:
+            hit = F.lit(False)
+            for alias in ATTRIBUTE_ALIASES[attribute]:
+                hit = hit | F.contains(x["normal"], F.lit(f" {alias} "))
+            found.append(F.when(hit | _rlike(x["text"], "(?:" + "|".join(ASKED_FOR[attribute]) + ")"), F.lit(attribute)))
+        return F.array_compact(F.array(*found))
+
+    # An item of an array is made once, however often it is looked at.
+    normal = F.concat(F.lit(" "), normalize_text(message), F.lit(" "))
+    return F.element_at(F.transform(F.array(F.struct(normal.alias("normal"), message.alias("text"))), named), 1)
 
 
 def interpreted(message: Column, ask_attribute: Column) -> Column:
