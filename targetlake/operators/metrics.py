@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import MAX_TURNS, TOP_K
+from ..sources.scratch import dealt
 
 
 def target_rank(values: Column, target: Column) -> Column:
@@ -86,9 +87,12 @@ def counters(observations: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 
-def normalized_recommendations(rows: DataFrame, catalog: DataFrame, limit: int = TOP_K) -> DataFrame:
-    """(key, recommendations) from raw (key, pos, id, score): known ids only, first occurrence, in order, at most ``limit``."""
-    known = rows.withColumn("id", F.trim("id")).where("id <> ''").join(catalog.select(F.col("parent_asin").alias("id")), "id", "left_semi")
-    first = known.groupBy("key", "id").agg(F.min_by("score", "pos").alias("score"), F.min("pos").alias("pos"))
+def normalized_recommendations(rows: DataFrame, catalog: DataFrame, limit: int = TOP_K, number: int = 0) -> DataFrame:
+    """(key, recommendations) from raw (key, pos, id, score): known ids only, first occurrence, in order, at most ``limit``.
+
+    ``number`` is about how many rows there are, if that is known: many are dealt out so that no task holds more of them when there are more.
+    """
+    known = dealt(rows.withColumn("id", F.trim("id")).where("id <> ''"), number, "id").join(catalog.select(F.col("parent_asin").alias("id")), "id", "left_semi")
+    first = dealt(known, number, "key").groupBy("key", "id").agg(F.min_by("score", "pos").alias("score"), F.min("pos").alias("pos"))
     kept = F.slice(F.array_sort(F.collect_list(F.struct("pos", F.col("id").alias("parent_asin"), "score"))), 1, max(limit, 1))
     return first.groupBy("key").agg(F.transform(kept, lambda x: F.struct(x["parent_asin"].alias("parent_asin"), x["score"].alias("score"))).alias("recommendations"))
