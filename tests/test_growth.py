@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from targetlake.functions import text as T
 from targetlake.operators import facts, metrics, questions
+from targetlake.plans import entries
 from targetlake.plans import views as V
 from targetlake.sources import catalog as C
 from targetlake.sources import scratch
@@ -51,3 +52,9 @@ def test_many_rows_are_dealt_out(spark):
     assert scratch.dealt(rows, scratch.ROWS * shuffles + 1, "key").rdd.getNumPartitions() == shuffles + 1
     found = metrics.normalized_recommendations(rows, spark.createDataFrame([("a",)], "parent_asin string"), 3, scratch.ROWS * 20)
     assert "hashpartitioning(key" in plan(found) and ", 20), REPARTITION_BY_NUM" in plan(found) and found.count() == 100
+
+
+def test_sentences_take_the_facts_of_their_fields_alone(spark):
+    assert "p_name" not in plan(entries.render_facts(spark, SF))  # titles are neither read nor cut into tokens
+    of = lambda fields: facts.product_facts(V.products(spark, SF), fields).where("field IN ('store', 'price')").drop("pos").collect()
+    assert sorted(map(str, of(None))) == sorted(map(str, of(("store", "price")))) != []
