@@ -58,3 +58,7 @@ def test_sentences_take_the_facts_of_their_fields_alone(spark):
     assert "p_name" not in plan(entries.render_facts(spark, SF))  # titles are neither read nor cut into tokens
     of = lambda fields: facts.product_facts(V.products(spark, SF), fields).where("field IN ('store', 'price')").drop("pos").collect()
     assert sorted(map(str, of(None))) == sorted(map(str, of(("store", "price")))) != []
+
+
+def test_candidates_make_their_postings_once(spark):
+    assert "Generate" not in plan(entries.negation_antijoin(spark, SF))  # hits are read; postings were made for each of them
