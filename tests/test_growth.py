@@ -6,7 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from targetlake.functions import text as T
-from targetlake.operators import facts, metrics, questions
+from targetlake.operators import facts, masks, metrics, questions
 from targetlake.plans import entries
 from targetlake.plans import views as V
 from targetlake.sources import catalog as C
@@ -62,3 +62,27 @@ def test_sentences_take_the_facts_of_their_fields_alone(spark):
 
 def test_candidates_make_their_postings_once(spark):
     assert "Generate" not in plan(entries.negation_antijoin(spark, SF))  # hits are read; postings were made for each of them
+
+
+def test_products_that_facts_don_t_tell_apart_are_one_profile(spark, monkeypatch):
+    rows = [{"parent_asin": f"p{i}", "title": f"Thing {i}", "categories": ["Rings"], "features": [], "description": [], "details": {}, "store": "Acme" if i % 2 else "Other", "price": float(i), "average_rating": 4.0, "rating_number": i} for i in range(40)]
+    catalog = C.with_values(C.catalog_from_records(spark, rows))
+    said = [("a", "p3", [("category", "eq", "rings"), ("store", "neq", "acme"), ("price", "le", "9")]), ("b", "p4", [("category", "eq", "rings"), ("store", "eq", "acme"), ("price", "ge", "30")])]
+    kind = "sample_id string, target string, facts array<struct<field:string,operator:string,value_str:string>>"
+    samples = spark.createDataFrame(said, kind).withColumn("facts", F.transform("facts", lambda f: f.withField("value_num", F.lit(None).cast("double"))))
+    sizes = {}
+
+    def counted(df, name, written=masks.written):
+        out = written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(masks, "written", counted)
+    got = {(r["sample_id"], r["mask"][0]): (r["n"], r["target_mask"] is not None) for r in masks.mask_histogram(catalog, C.postings(catalog), samples).collect()}
+    want = {}
+    for i in range(40):
+        for name, mask in (("a", 1 | (i % 2 == 0) << 1 | (i <= 9) << 2), ("b", 1 | (i % 2) << 1 | (i >= 30) << 2)):
+            want[name, mask] = want.get((name, mask), 0) + 1
+    own = {("a", 1 | 4), ("b", 1)}
+    assert got == {k: (n, k in own) for k, n in want.items()}
+    assert sizes["mask-profiles"] == 6  # two stores in three ranges of prices, not 40 products
