@@ -6,7 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from targetlake.functions import text as T
-from targetlake.operators import facts, masks, metrics, questions
+from targetlake.operators import facts, generate, masks, metrics, questions
 from targetlake.plans import entries
 from targetlake.plans import views as V
 from targetlake.sources import catalog as C
@@ -86,3 +86,19 @@ def test_products_that_facts_don_t_tell_apart_are_one_profile(spark, monkeypatch
     own = {("a", 1 | 4), ("b", 1)}
     assert got == {k: (n, k in own) for k, n in want.items()}
     assert sizes["mask-profiles"] == 6  # two stores in three ranges of prices, not 40 products
+
+
+def test_decoys_look_at_the_targets_postings(spark, monkeypatch):
+    catalog = C.with_values(V.products(spark, SF))
+    sizes = []
+
+    def counted(df, name, written=generate.written):
+        out = written(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(generate, "written", counted)
+    posting = C.postings(catalog)
+    found = V.samples(catalog).select("target", F.lit("base").alias("variant"), F.col("signature").alias("facts")).limit(3)
+    assert not generate.decoys(catalog, posting, found).isEmpty()
+    assert sizes and max(sizes) <= 30  # those of three products
