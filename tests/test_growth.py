@@ -6,7 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from targetlake.functions import text as T
-from targetlake.operators import facts, generate, masks, metrics, questions
+from targetlake.operators import bitmaps, facts, generate, masks, metrics, predicates, questions
 from targetlake.plans import entries
 from targetlake.plans import views as V
 from targetlake.sources import catalog as C
@@ -102,3 +102,14 @@ def test_decoys_look_at_the_targets_postings(spark, monkeypatch):
     found = V.samples(catalog).select("target", F.lit("base").alias("variant"), F.col("signature").alias("facts")).limit(3)
     assert not generate.decoys(catalog, posting, found).isEmpty()
     assert sizes and max(sizes) <= 30  # those of three products
+
+
+def test_a_block_is_compared_at_once(spark):
+    numbers = [1.0, 1.0 + 1e-7, 0.0, -2.5, None, float("nan"), float("inf"), float("-inf"), 7.0]
+    values = spark.createDataFrame([(bitmaps.BLOCK - 4 + i, x, x, x) for i, x in enumerate(numbers)], "number long, price double, rating double, rating_count double")
+    told = [(i, field, op, x) for i, (field, op, x) in enumerate((f, o, x) for f in ("price", "rating") for o in ("le", "max", "ge", "eq", "neq", "contains") for x in (1.0, 7.0, None))]
+    facts_of = spark.createDataFrame(told, "fid long, field string, operator string, expected double")
+    rows = values.crossJoin(facts_of).where(predicates.match_numeric(F.when(F.col("field") == "price", F.col("price")).otherwise(F.col("rating")), F.col("operator"), F.col("expected")))
+    want = sorted((r["fid"], r["block"], bytes(r["bits"])) for r in bitmaps.bitmaps(rows, ["fid"]).collect())
+    assert sorted((r["fid"], r["block"], bytes(r["bits"])) for r in bitmaps.compared(values, told).collect()) == want != []
+    assert "Generate" not in plan(bitmaps.compared(values, told))
