@@ -60,6 +60,17 @@ def test_sentences_take_the_facts_of_their_fields_alone(spark):
     assert sorted(map(str, of(None))) == sorted(map(str, of(("store", "price")))) != []
 
 
+def test_items_are_counted_before_they_become_facts(spark):
+    assert "HashAggregate(keys=[field" in plan(entries.extract_facts(spark, SF)).split("sha1")[-1]  # ids were made for every product's items
+    rows = [{"parent_asin": f"p{i}", "title": "Red running shoe", "categories": ["Shoes", "Trail"], "features": ["Soft woven upper", "soft  woven upper"], "description": [], "details": {"Color": "Red", "color": "red "}, "store": "Acme" if i % 2 else None, "price": [0, 19.5, -1][i % 3], "average_rating": 4.0, "rating_number": i} for i in range(6)]
+    catalog = C.catalog_from_records(spark, rows)
+    columns = [c for c in facts.product_facts(catalog).columns if c not in ("parent_asin", "pos")]
+    of = lambda df, n: {tuple(r)[:-1]: r["n"] for r in df.groupBy(*columns).agg(n.alias("n")).collect()}
+    want = of(facts.product_facts(catalog), F.count("*"))
+    assert of(facts.counted_facts(catalog), F.sum("n")) == want and len(want) > 10
+    assert facts.counted_facts(catalog).count() == len(want)
+
+
 def test_candidates_make_their_postings_once(spark):
     assert "Generate" not in plan(entries.negation_antijoin(spark, SF))  # hits are read; postings were made for each of them
 
