@@ -54,6 +54,19 @@ def test_many_rows_are_dealt_out(spark):
     assert "hashpartitioning(key" in plan(found) and ", 20), REPARTITION_BY_NUM" in plan(found) and found.count() == 100
 
 
+def test_postings_of_many_products_meet_in_small_partitions(spark, monkeypatch):
+    monkeypatch.setattr(C, "PRODUCTS", 20)
+    products = V.products(spark, SF)
+    products = C.with_values(products.unionByName(products.limit(5)))  # ids may repeat
+    got = C.postings(products, products.count())
+    assert plan(got).count("REPARTITION_BY_NUM") == plan(products).count("REPARTITION_BY_NUM") + 1 and "Exchange hashpartitioning(field" not in plan(got)  # one by one task's hash table of all its rows before
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, C.postings(products).collect()))
+    sizes = []
+    monkeypatch.setattr(entries, "written", lambda df, name: sizes.append(plan(df).count("REPARTITION_BY_NUM")) or scratch.written(df, name))
+    entries._indexed(spark, SF)
+    assert sizes[1] == 1  # the queries' postings are made so
+
+
 def test_sentences_take_the_facts_of_their_fields_alone(spark):
     assert "p_name" not in plan(entries.render_facts(spark, SF))  # titles are neither read nor cut into tokens
     of = lambda fields: facts.product_facts(V.products(spark, SF), fields).where("field IN ('store', 'price')").drop("pos").collect()
