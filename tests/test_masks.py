@@ -95,6 +95,28 @@ def test_histograms(spark):
     assert got == direct(spark, catalog, posting, samples)
 
 
+def test_products_are_their_own_index(spark, monkeypatch):
+    """Without postings none are written, and products that agree in what is asked for are one row; counts and target masks stay."""
+    catalog = make_catalog(spark, 150).cache()
+    samples = [
+        ("a", "Q0003", [("store", "eq", "Ridge"), ("store", "neq", "town"), ("price", "le", "20")]), ("b", "Q0003", [("category", "exact", "ring")]),
+        ("c", "Q0007", [("store", "contains", "id"), ("detail:Color", "neq", "red"), ("price", "ge", "49.99")]), ("none", "gone", []), ("lost", "gone", [("store", "not", "own"), ("price", "eq", "20")]),
+    ]
+    sizes = {}
+
+    def counted(df, name, written=masks.written):
+        out = written(df, name)
+        sizes[name] = out.count() if name == "mask-rows" else None
+        return out
+
+    monkeypatch.setattr(masks, "written", counted)
+    got = {(r["sample_id"], places(r["mask"])): (r["n"], r["target_mask"] is not None) for r in masks.mask_histogram(catalog, None, fact_rows(spark, samples)).collect()}
+    assert got == direct(spark, catalog, C.postings(catalog), samples)
+    assert "mask-postings" not in sizes and "mask-products" not in sizes
+    alike = catalog.select("store", F.get("categories", 1), F.get("details", 0), "price").distinct().count()
+    assert sizes["mask-rows"] == alike + 2 < 150  # one more for each target
+
+
 def test_superset_sums(spark):
     hist = [("s", [0b101], 3), ("s", [0b111], 2), ("s", [0], 7), ("t", [0b10], 1)]
     got = {r["sample_id"]: r["counts"] for r in masks.superset_sums(spark.createDataFrame(hist, "sample_id string, mask array<bigint>, n long"), 3).collect()}
