@@ -137,3 +137,15 @@ def test_a_block_is_compared_at_once(spark):
     want = sorted((r["fid"], r["block"], bytes(r["bits"])) for r in bitmaps.bitmaps(rows, ["fid"]).collect())
     assert sorted((r["fid"], r["block"], bytes(r["bits"])) for r in bitmaps.compared(values, told).collect()) == want != []
     assert "Generate" not in plan(bitmaps.compared(values, told))
+
+
+def test_changed_samples_are_filtered_after_they_are_written(spark, monkeypatch):
+    sizes = []
+
+    def sized(df, name):
+        sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString()))
+        return scratch.written(df, name)
+
+    monkeypatch.setattr(entries, "written", sized)
+    assert entries.sample_files(spark, SF).where("same").count() > 0
+    assert max(sizes) < 2_000_000  # 23 MB before, the filter's condition being pushed below all that the samples are made of
