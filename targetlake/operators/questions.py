@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,24 @@ def _rlike(text: Column, pattern: str) -> Column:
     return text.rlike(f"(?iu){pattern}")
 
 
+_APART = re.compile(r"(\w+)\\s\+\.\*\\s\+(\w+)")
+
+
+def linear(patterns: tuple[str, ...]) -> str:
+    r"""The patterns as one that finds the same in steps that grow with the text alone.
+
+    In ``first\s+.*\s+last`` each ``first`` looks through the rest of its line. If any of them reaches ``last``, the line's
+    first one does, unless it is another at the line's end, whose blanks go on to the next line. In ``\s+(?:..)?\s*`` blanks are
+    shared out in all ways.
+    """
+    blanks = r"(?:[^\S\n]|\n\s*+)"
+    at_end = lambda m: rf"{m[1]}[^\S\n]*+\n\s*+(?:(?<=\s\s)|[^\n]*{blanks}){m[2]}"
+    found = [_APART.sub(at_end, re.sub(r"\(\?:([^()]*)\)\?\\s\*", r"(?:(?:\1)\\s*)?", p)) for p in patterns]
+    # The words are compared before it is seen whether they begin one, which takes longer.
+    first = [rf"(?>[^\n]*?{a}(?<=\b{a})[^\S\n])[^\n]*{blanks}{b}\b" for p in patterns for a, b in _APART.findall(p)]
+    return "(?:" + "|".join(found + ([f"(?md:^)(?:{'|'.join(first)})"] if first else [])) + ")"
+
+
 def text_attributes(message: Column) -> Column:
     """Attributes that the text names, in their fixed order."""
 
@@ -22,7 +42,7 @@ def text_attributes(message: Column) -> Column:
             hit = F.lit(False)
             for alias in ATTRIBUTE_ALIASES[attribute]:
                 hit = hit | F.contains(x["normal"], F.lit(f" {alias} "))
-            found.append(F.when(hit | _rlike(x["text"], "(?:" + "|".join(ASKED_FOR[attribute]) + ")"), F.lit(attribute)))
+            found.append(F.when(hit | _rlike(x["text"], linear(ASKED_FOR[attribute])), F.lit(attribute)))
         return F.array_compact(F.array(*found))
 
     # An item of an array is made once, however often it is looked at.
@@ -31,8 +51,8 @@ def text_attributes(message: Column) -> Column:
 
 
 def interpreted(message: Column, ask_attribute: Column) -> Column:
-    """struct<structured, text, resolved, broad, question, conflict, confidence, reason, signature>."""
-    text = F.substring(F.coalesce(message, F.lit("")), 1, 1200)
+    """struct<structured, text, resolved, broad, question, conflict, confidence, reason, signature>, of the whole message."""
+    text = F.coalesce(message, F.lit(""))
     raw = F.trim(F.lower(F.coalesce(ask_attribute, F.lit(""))))
     known = F.struct(text_attributes(text).alias("text"), _rlike(text, BROAD).alias("broad"), _rlike(text, QUESTION).alias("asks"), F.when(raw.isin(*ATTRIBUTES), raw).alias("structured"), ((raw != "") & ~raw.isin(*ATTRIBUTES)).alias("invalid"))
 
