@@ -18,6 +18,15 @@ def _rlike(text: Column, pattern: str) -> Column:
 _APART = re.compile(r"(\w+)\\s\+\.\*\\s\+(\w+)")
 
 
+def _parts(patterns: tuple[str, ...]) -> list[str]:
+    blanks = r"(?:[^\S\n]|\n\s*+)"
+    at_end = lambda m: rf"{m[1]}[^\S\n]*+\n\s*+(?:(?<=\s\s)|[^\n]*{blanks}){m[2]}"
+    found = [_APART.sub(at_end, re.sub(r"\(\?:([^()]*)\)\?\\s\*", r"(?:(?:\1)\\s*)?", p)) for p in patterns]
+    # The words are compared before it is seen whether they begin one, which takes longer.
+    first = [rf"(?>[^\n]*?{a}(?<=\b{a})[^\S\n])[^\n]*{blanks}{b}\b" for p in patterns for a, b in _APART.findall(p)]
+    return found + ([f"(?md:^)(?:{'|'.join(first)})"] if first else [])
+
+
 def linear(patterns: tuple[str, ...]) -> str:
     r"""The patterns as one that finds the same in steps that grow with the text alone.
 
@@ -25,16 +34,19 @@ def linear(patterns: tuple[str, ...]) -> str:
     first one does, unless it is another at the line's end, whose blanks go on to the next line. In ``\s+(?:..)?\s*`` blanks are
     shared out in all ways.
     """
-    blanks = r"(?:[^\S\n]|\n\s*+)"
-    at_end = lambda m: rf"{m[1]}[^\S\n]*+\n\s*+(?:(?<=\s\s)|[^\n]*{blanks}){m[2]}"
-    found = [_APART.sub(at_end, re.sub(r"\(\?:([^()]*)\)\?\\s\*", r"(?:(?:\1)\\s*)?", p)) for p in patterns]
-    # The words are compared before it is seen whether they begin one, which takes longer.
-    first = [rf"(?>[^\n]*?{a}(?<=\b{a})[^\S\n])[^\n]*{blanks}{b}\b" for p in patterns for a, b in _APART.findall(p)]
-    return "(?:" + "|".join(found + ([f"(?md:^)(?:{'|'.join(first)})"] if first else [])) + ")"
+    return "(?:" + "|".join(_parts(patterns)) + ")"
+
+
+def any_asked() -> str:
+    """Finds something wherever one of :data:`ASKED_FOR` does; where words begin is seen once for all of them."""
+    parts = _parts(tuple(p for a in ATTRIBUTES[:-1] for p in ASKED_FOR[a]))
+    words = [p.removeprefix(r"\b") for p in parts if p.startswith(r"\b")]
+    return "|".join([rf"\b(?=\p{{L}})(?:{'|'.join(words)})", *(p for p in parts if not p.startswith(r"\b"))])
 
 
 def text_attributes(message: Column) -> Column:
     """Attributes that the text names, in their fixed order."""
+    aliases = "|".join(a for x in ATTRIBUTES[:-1] for a in ATTRIBUTE_ALIASES[x])
 
     def named(x: Column) -> Column:
         found = []
@@ -43,7 +55,9 @@ def text_attributes(message: Column) -> Column:
             for alias in ATTRIBUTE_ALIASES[attribute]:
                 hit = hit | F.contains(x["normal"], F.lit(f" {alias} "))
             found.append(F.when(hit | _rlike(x["text"], linear(ASKED_FOR[attribute])), F.lit(attribute)))
-        return F.array_compact(F.array(*found))
+        # Most texts name none, which two patterns tell.
+        some = x["normal"].rlike(f" (?:{aliases}) ") | _rlike(x["text"], any_asked())
+        return F.when(some, F.array_compact(F.array(*found))).otherwise(F.array().cast("array<string>"))
 
     # An item of an array is made once, however often it is looked at.
     normal = F.concat(F.lit(" "), normalize_text(message), F.lit(" "))

@@ -7,7 +7,8 @@ import time
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from targetlake.functions.vocab import ASKED_FOR
+from targetlake.functions.text import normalize_text
+from targetlake.functions.vocab import ASKED_FOR, ATTRIBUTE_ALIASES, ATTRIBUTES
 from targetlake.operators import questions
 
 
@@ -47,3 +48,17 @@ def test_a_long_line_is_looked_through_once(spark):
     began = time.time()
     got = {r["i"]: r["a"] for r in asked.select("i", questions.interpreted(F.col("m"), F.lit(None).cast("string"))["text"].alias("a")).collect()}
     assert [i for i in range(len(lines)) if "use_case" in got[i]] == [5] and time.time() - began < 60
+
+
+def test_texts_that_name_nothing_are_told_at_once(spark):
+    rng = random.Random(5)
+    words = sorted({w for a in ATTRIBUTES[:-1] for p in (*ASKED_FOR[a], *ATTRIBUTE_ALIASES[a]) for w in re.findall(r"[a-z口碑]+", re.sub(r"\\.", " ", p))})
+    texts = {"".join(rng.choice((w, w, w.upper(), w.title())) + rng.choice((" ", "  ", "\n", ". ", "s ", "-")) for w in rng.choices(words, k=rng.randint(1, 4))) for _ in range(4000)}
+    texts |= {f" {a}." for x in ATTRIBUTES[:-1] for a in ATTRIBUTE_ALIASES[x]} | {"KİND of \u0131tem", "\u017fize", "ma\u212aer", "the \ufb01t of it", "口碑", "x口碑", ""}
+    every = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").repartition(4)
+    alone = F.array_compact(F.array(*[F.when(F.col("t").rlike("(?iu)(?:" + "|".join(ASKED_FOR[a]) + ")"), F.lit(a)) for a in ATTRIBUTES[:-1]]))
+    normal = F.concat(F.lit(" "), normalize_text(F.col("t")), F.lit(" "))
+    aliased = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(f" {x} ") for x in ATTRIBUTE_ALIASES[a]]), lambda x: F.contains(normal, x)), F.lit(a)) for a in ATTRIBUTES[:-1]]))
+    rows = every.select("t", questions.text_attributes(F.col("t")).alias("got"), alone.alias("alone"), aliased.alias("aliased"), F.col("t").rlike("(?iu)" + questions.any_asked()).alias("some")).collect()
+    assert [r for r in rows if r["some"] != bool(r["alone"]) or set(r["got"]) != {*r["alone"], *r["aliased"]}] == []
+    assert 500 < sum(not r["got"] for r in rows) < len(rows) - 500 and {a for r in rows for a in r["alone"]} == set(ATTRIBUTES[:-1])
